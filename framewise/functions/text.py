@@ -69,11 +69,16 @@ def request_of(clause: Column) -> dict[str, Column]:
     }
 
 
-def residual_keywords(text: Column, used: list[Column]) -> Column:
+def understood_phrases(text: Column) -> Column:
+    """Phrases of all clauses that were turned into labels."""
+    tables = (C.SIZE_PATTERNS, C.ANGLE_PATTERNS, C.MOTION_PATTERNS, C.PEOPLE_PATTERNS)
+    return F.flatten(F.transform(split_clauses(text), lambda c: F.array_compact(
+        F.array(*[first_text(c, t) for t in tables]))))
+
+
+def residual_keywords(text: Column, used: Column) -> Column:
     """Words left after the understood phrases and connectives are taken out."""
-    rest = text
-    for phrase in used:
-        rest = F.when(F.coalesce(phrase, F.lit("")) == "", rest).otherwise(F.replace(rest, phrase, F.lit(" ")))
+    rest = F.aggregate(used, text, lambda left, phrase: F.replace(left, phrase, F.lit(" ")))
     words = F.regexp_extract_all(F.lower(F.regexp_replace(rest, ci(C.SPLIT_PATTERN), " ")),
                                  F.lit(r"([0-9A-Za-z가-힣]{2,})"), 1)
     bare = F.transform(words, lambda x: F.when(x.rlike("[가-힣]"), F.regexp_replace(x, C.PARTICLES, "")).otherwise(x))

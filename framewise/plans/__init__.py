@@ -3,4 +3,6 @@
 from framewise.plans.registry import ORACLES, QUERIES  # noqa: F401
 from framewise.plans import (  # noqa: F401
     q_functions,
+    q_windows,
+    q_validation,
 )

@@ -123,3 +123,51 @@ KP = FR + """, kp AS (SELECT clip, label, frame, vec_id,
  list_transform(range(0, 17), lambda j: {'x': (sig[j*3+1]*2+0.5)*1280, 'y': (sig[j*3+2]*2+0.5)*720,
   'score': least(1.0, abs(sig[j*3+3])*6)}) AS kp,
  abs(sig[52]) AS b0, abs(sig[53]) AS b1, abs(sig[54])+0.05 AS bw, abs(sig[55])*2+0.1 AS bh FROM fr)"""
+
+
+ROLES = ["Pelvis", "Spine", "Neck", "Head", "LeftUpperArm", "LeftLowerArm", "LeftHand", "RightUpperArm", "RightLowerArm",
+         "RightHand", "LeftThigh", "LeftCalf", "LeftFoot", "RightThigh", "RightCalf", "RightFoot", "LeftIndex1",
+         "LeftIndex2", "RightThumb1", "RightThumb2", "LeftClavicle"]
+
+
+def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings -> (pair, side, sample, role, x, y, z): a clip against the clip of the next label, same block.
+
+    Two joints are left out on purpose to exercise the rules for missing roles.
+    """
+    fr = frames(spark, sf_dir)
+    joints = F.array(*[F.struct(F.lit(r).alias("role"), *[F.get("sig", F.lit(3 * j + a)).alias(n) for a, n in enumerate("xyz")])
+                       for j, r in enumerate(ROLES)])
+    both = F.array(F.struct(F.col("clip").alias("pair"), F.lit("s").alias("side")),
+                   F.struct((((F.col("label") + 9) % 10) * KEY_SHIFT + F.col("block")).alias("pair"), F.lit("t").alias("side")))
+    out = fr.select("label", F.col("frame").alias("sample"), F.explode(both).alias("p"), joints.alias("j")).select(
+        "label", "p.pair", "p.side", "sample", F.inline("j"))
+    gone = (((F.col("side") == "s") & (F.col("label") == 3) & (F.col("role") == "Neck"))
+            | ((F.col("side") == "t") & (F.col("label") == 5) & (F.col("role") == "LeftCalf")))
+    return out.where(~gone).drop("label")
+
+
+PO = FR + f""", po AS (SELECT pair, side, sample, role, x, y, z FROM (SELECT CASE WHEN sd = 0 THEN clip ELSE ((label + 9) % 10) * {KEY_SHIFT} + block END AS pair, CASE WHEN sd = 0 THEN 's' ELSE 't' END AS side,
+ frame AS sample, label, ({ROLES})[j + 1] AS role, sig[3*j+1] AS x, sig[3*j+2] AS y, sig[3*j+3] AS z FROM fr, range(0, 21) a(j), range(0, 2) b(sd))
+ WHERE NOT (side = 's' AND label = 3 AND role = 'Neck') AND NOT (side = 't' AND label = 5 AND role = 'LeftCalf'))"""
+
+
+def twists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings -> (pair, side, sample, role, q): two twist joints per clip, unit quaternions."""
+    fr = frames(spark, sf_dir)
+
+    def unit(at: int):
+        part = F.slice("sig", at, 4)
+        return F.transform(part, lambda x: x / F.sqrt(F.aggregate(part, F.lit(0.0), lambda a, y: a + y * y)))
+
+    rows = F.array(F.struct(F.lit("LeftLowerArm").alias("role"), unit(57).alias("q")),
+                   F.struct(F.lit("RightCalf").alias("role"), unit(61).alias("q")))
+    both = F.array(F.struct(F.col("clip").alias("pair"), F.lit("s").alias("side")),
+                   F.struct((((F.col("label") + 9) % 10) * KEY_SHIFT + F.col("block")).alias("pair"), F.lit("t").alias("side")))
+    return fr.select(F.col("frame").alias("sample"), F.explode(both).alias("p"), rows.alias("r")).select(
+        "p.pair", "p.side", "sample", F.inline("r"))
+
+
+TW = FR + f""", tw AS (SELECT CASE WHEN sd = 0 THEN clip ELSE ((label + 9) % 10) * {KEY_SHIFT} + block END AS pair, CASE WHEN sd = 0 THEN 's' ELSE 't' END AS side, frame AS sample,
+ (['LeftLowerArm', 'RightCalf'])[k + 1] AS role, list_transform(sig[57+4*k:60+4*k], lambda x: x / sqrt(list_sum(list_transform(sig[57+4*k:60+4*k], lambda y: y*y)))) AS q
+ FROM fr, range(0, 2) a(k), range(0, 2) b(sd))"""

@@ -195,8 +195,8 @@ def _(spark, sf):
                                             ",").alias("usable"))
 
 
-@query("e10_axis_tilt_confirmed", f"""WITH {B.KP}, u AS (SELECT vec_id, kp, kp[7].x - kp[8].x AS bx, kp[9].y - kp[10].y AS by,
- {SQL_USABLE.format(t=0.2)} AS vis FROM kp), t AS (SELECT *, degrees(atan2(abs(bx), -by)) AS tilt,
+@query("e10_axis_tilt_confirmed", f"""WITH {B.KP}, u AS (SELECT vec_id, kp, kp[7].x - kp[8].x AS bx, kp[9].y - kp[10].y AS by_,
+ {SQL_USABLE.format(t=0.2)} AS vis FROM kp), t AS (SELECT *, degrees(atan2(abs(bx), -by_)) AS tilt,
  kp[6].x - kp[7].x AS sx, kp[6].y - kp[7].y AS sy, kp[12].x - kp[13].x AS hx, kp[12].y - kp[13].y AS hy FROM u)
 SELECT vec_id, round(tilt, 6) AS tilt, tilt >= 35 AND tilt <= 135 AND
  CASE WHEN list_contains(vis, 5) AND list_contains(vis, 6) AND sqrt(sx*sx + sy*sy) >= 6
@@ -344,13 +344,23 @@ def _(spark, sf):
 SQL_STOP = ", ".join(f"'{w}'" for w in C.STOPWORDS if w.isascii())
 
 
-@query("e20_residual_keywords", rf"""WITH {SQL_PROMPTS}, tx AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || reel, prompt FROM pr)
-SELECT id, md5(array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(text, '{SQL_SPLIT}', ' ', 'g')), '[0-9A-Za-z가-힣]{{2,}}'),
- lambda w: NOT list_contains([{SQL_STOP}], w)), ' ')) AS keywords FROM tx""")
+def sql_text(expr: str, patterns) -> str:
+    ascii_only = ["|".join(a for a in p.split("|") if a.isascii()).replace("'", "''") for p, _ in patterns]
+    return "CASE " + " ".join(f"WHEN regexp_matches({expr}, '(?i){p}') THEN regexp_extract({expr}, '(?i){p}')"
+                              for p in ascii_only) + " END"
+
+
+@query("e20_residual_keywords", rf"""WITH {SQL_PROMPTS}, tx AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || reel, prompt FROM pr),
+us AS (SELECT id, text, list_filter(flatten(list_transform(list_transform(regexp_split_to_array(text, '{SQL_SPLIT}'), lambda x: trim(x)), lambda c:
+ [{sql_text('c', C.SIZE_PATTERNS)}, {sql_text('c', C.ANGLE_PATTERNS)}, {sql_text('c', C.MOTION_PATTERNS)}, {sql_text('c', C.PEOPLE_PATTERNS)}])),
+ lambda u: u IS NOT NULL) AS used FROM tx),
+re AS (SELECT id, list_reduce(used, lambda a, u: replace(a, u, ' '), text) AS rest FROM us)
+SELECT id, md5(array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(rest, '{SQL_SPLIT}', ' ', 'g')), '[0-9A-Za-z가-힣]{{2,}}'),
+ lambda w: NOT list_contains([{SQL_STOP}], w)), ' ')) AS keywords FROM re""")
 def _(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     p = prompts(spark, sf).select(F.concat(F.lit("p"), "reel").alias("id"), F.col("prompt").alias("text"))
-    words = T.residual_keywords(F.col("text"), [])
+    words = T.residual_keywords(F.col("text"), T.understood_phrases(F.col("text")))
     return d.unionByName(p).select("id", F.md5(F.array_join(words, " ")).alias("keywords"))
 
 
