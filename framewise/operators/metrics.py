@@ -78,27 +78,24 @@ def line_fit(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def calibrate_ratios(people: DataFrame, key: str, usable: Column, frame_h: float, min_samples: int = 3) -> DataFrame:
     """Body proportions of one video from detections that show hips and ankles: (key, name, ratio, n)."""
-    kp = F.col("kp")
-    has = lambda i: F.array_contains("__u", i)
-    at = lambda i, a: F.get(kp, F.lit(i))[a]
-
-    def mean_of(i: int, j: int, a: str) -> Column:
-        return F.when(has(i) & has(j), (at(i, a) + at(j, a)) / 2).when(has(i), at(i, a)).when(has(j), at(j, a))
-
-    p = people.withColumn("__u", usable)
-    for name, i, j in (("hip", 11, 12), ("foot", 15, 16)):
-        p = p.withColumns({f"__{name}_{a}": mean_of(i, j, a) for a in "xy"})
-    drop = F.col("__foot_y") - F.col("__hip_y")
-    p = p.where((drop >= 30.0) & (F.abs(F.col("__foot_x") - F.col("__hip_x")) <= 0.35 * drop))
+    ids = [*C.UPPER_KEYPOINTS, 11, 12, 15, 16]
+    marked = people.select(key, "kp", usable.alias("__u"))
+    # one-row generators: later filters are not pushed below them and do not repeat the expressions
+    p = marked.select(key, F.inline(F.array(F.struct(*[
+        F.when(F.array_contains("__u", i), F.get("kp", F.lit(i))).alias(f"p{i}") for i in ids]))))
+    middle = lambda i, j, a: F.coalesce((F.col(f"p{i}.{a}") + F.col(f"p{j}.{a}")) / 2, F.col(f"p{i}.{a}"), F.col(f"p{j}.{a}"))
+    p = p.select(*p.columns, F.inline(F.array(F.struct(*[
+        middle(i, j, a).alias(f"{name}_{a}") for name, i, j in (("hip", 11, 12), ("foot", 15, 16)) for a in "xy"]))))
+    drop = F.col("foot_y") - F.col("hip_y")
+    p = p.where((drop >= 30.0) & (F.abs(F.col("foot_x") - F.col("hip_x")) <= 0.35 * drop))
     base = C.KEYPOINT_RATIO
-    unit = drop / (base[11] - base[15])
-    tall = unit >= 0.5 * frame_h
-    gap = lambda i, j: F.sqrt((at(i, "x") - at(j, "x")) ** 2 + (at(i, "y") - at(j, "y")) ** 2) / unit
-    rows = [F.when(has(i), F.struct(F.lit(str(i)).alias("name"), (base[11] + (F.col("__hip_y") - at(i, "y")) / unit).alias("value")))
+    p = p.withColumn("unit", drop / (base[11] - base[15]))
+    gap = lambda i, j: F.sqrt((F.col(f"p{i}.x") - F.col(f"p{j}.x")) ** 2 + (F.col(f"p{i}.y") - F.col(f"p{j}.y")) ** 2) / F.col("unit")
+    rows = [F.struct(F.lit(str(i)).alias("name"), (base[11] + (F.col("hip_y") - F.col(f"p{i}.y")) / F.col("unit")).alias("value"))
             for i in C.UPPER_KEYPOINTS]
-    rows += [F.when(tall & has(i) & has(j), F.struct(F.lit(n).alias("name"), gap(i, j).alias("value")))
+    rows += [F.struct(F.lit(n).alias("name"), F.when(F.col("unit") >= 0.5 * frame_h, gap(i, j)).alias("value"))
              for n, i, j in (("shoulder_width", 5, 6), ("ear_width", 3, 4))]
-    implied = p.select(key, F.inline(F.array_compact(F.array(*rows))))
+    implied = p.select(key, F.inline(F.array(*rows))).where("value IS NOT NULL")
     counts = implied.groupBy(key, "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples)
     med = scale.quantiles(implied, [key, "name"], {"m": ("value", 0.5)}).join(counts, [key, "name"])
     default = F.create_map(*[F.lit(x) for i in C.UPPER_KEYPOINTS for x in (str(i), base[i])],
@@ -119,14 +116,16 @@ def _samples(poses: DataFrame) -> DataFrame:
 
 def segment_angles(poses: DataFrame, segments: Sequence[tuple[str, str]]) -> DataFrame:
     """Angle between source and target direction of each body segment and sample."""
-    def direction(side: str, a: str, b: str):
-        p, q = F.col(side)[a], F.col(side)[b]
-        return tuple(q[c] - p[c] for c in "xyz")
-
-    rows = F.array(*[F.struct(F.lit(f"{a}->{b}").alias("segment"),
-                              V.vector_angle_deg(direction("s", a, b), direction("t", a, b)).alias("deg"))
-                     for a, b in segments])
-    return _samples(poses).select("pair", "sample", F.inline(rows)).where("deg IS NOT NULL")
+    names = F.array(*[F.struct(F.lit(f"{a}->{b}").alias("segment"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+                      for a, b in segments])
+    long = _samples(poses).select("pair", "sample", "s", "t", F.inline(names))
+    ends = long.select("pair", "sample", "segment", *[F.element_at(side, F.col(end)).alias(side + end)
+                                                      for side in "st" for end in "ab"])
+    ends = ends.where(" AND ".join(f"{side}{end} IS NOT NULL" for side in "st" for end in "ab"))
+    moves = ends.select("pair", "sample", "segment", *[(F.col(f"{side}b")[c] - F.col(f"{side}a")[c]).alias(side + c)
+                                                       for side in "st" for c in "xyz"])
+    angle = V.vector_angle_deg(*[tuple(F.col(side + c) for c in "xyz") for side in "st"])
+    return moves.select("pair", "sample", "segment", angle.alias("deg")).where("deg IS NOT NULL")
 
 
 def segment_error(angles: DataFrame) -> DataFrame:
@@ -366,3 +365,48 @@ def group_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max("foot_clearance_error").alias("foot_clearance_worst"), F.max("contact_mismatch").alias("contact_mismatch_worst"),
         F.max("motion_deviation_deg").alias("motion_deviation_worst_deg"), F.count("finger_median_deg").alias("pairs_with_fingers"))
     return agg.join(med, keys) if keys else agg.crossJoin(med)  # without keys both sides are one row
+
+
+def motion_extent(tracks: DataFrame, keys: Sequence[str], roles: Sequence[str]) -> DataFrame:
+    """Largest axis extent of any named track; tells frozen captures from moving ones."""
+    per = tracks.where(F.col("role").isin(list(roles))).groupBy(*keys, "role").agg(
+        *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("n")).where("n > 1")
+    return per.groupBy(*keys).agg(F.max(F.greatest("x", "y", "z")).alias("extent"))
+
+
+def step_median(tracks: DataFrame, keys: Sequence[str], roles: Sequence[str], ordinal: str = "sample") -> DataFrame:
+    """Upper median of the largest axis step between neighbouring samples of one clip."""
+    w = Window.partitionBy(*keys, "role").orderBy(ordinal)
+    t = tracks.where(F.col("role").isin(list(roles)))
+    steps = t.select(*keys, F.greatest(*[F.abs(F.col(c) - F.lag(c).over(w)) for c in "xyz"]).alias("s")).where("s IS NOT NULL")
+    a = steps.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("a"))
+    return a.select(*keys, F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("step"))
+
+
+def active_curves(curves: DataFrame, curve: Sequence[str], value: str = "value", top: int = 12) -> DataFrame:
+    """The most active curves with the number of curves that move at all."""
+    ranges = curves.groupBy(*curve).agg((F.max(value) - F.min(value)).alias("range")).where("range > 0.01")
+    total = ranges.agg(F.count(F.lit(1)).alias("moving"))
+    best = ranges.orderBy(F.desc("range"), *curve).limit(top)
+    return best.join(F.broadcast(total))  # one row
+
+
+def rule_check(metrics: DataFrame, rules: DataFrame, skips: DataFrame, errors: DataFrame) -> DataFrame:
+    """Regression gate: OK / FAIL / SKIP per rule.
+
+    metrics (suite, path, value), rules (suite, path, op, bound), skips (suite,
+    path) mark a skipped subtree, errors (suite) a suite that did not run.  A
+    missing metric fails.
+    """
+    parts = F.split("path", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    above = rules.withColumn("prefix", F.explode(prefixes)).join(
+        skips.select("suite", F.col("path").alias("prefix")), ["suite", "prefix"], "left_semi").select("suite", "path").distinct()
+    j = (rules.join(metrics, ["suite", "path"], "left")
+         .join(above.withColumn("__skip", F.lit(True)), ["suite", "path"], "left")
+         .join(errors.select("suite").withColumn("__err", F.lit(True)), "suite", "left"))
+    good = (F.when(F.col("op") == "min", F.col("value") >= F.col("bound"))
+            .when(F.col("op") == "max", F.col("value") <= F.col("bound")).otherwise(F.col("value") == F.col("bound")))
+    status = (F.when(F.col("__err"), "FAIL").when(F.col("__skip"), "SKIP").when(F.col("value").isNull(), "FAIL")
+              .when(good, "OK").otherwise("FAIL"))
+    return j.select("suite", "path", "op", "value", status.alias("status"))

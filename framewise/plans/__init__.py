@@ -5,4 +5,7 @@ from framewise.plans import (  # noqa: F401
     q_functions,
     q_windows,
     q_validation,
+    q_metrics,
+    q_joins,
+    q_scorecards,
 )

@@ -21,8 +21,8 @@ SPAN = 65536
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Sum of the optimizer's size estimates of all leaf relations (no job is run)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """Sum of Catalyst's size estimates of all leaf relations (no job is run, nothing is optimized)."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 

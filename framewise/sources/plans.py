@@ -197,5 +197,6 @@ def shot_errors(shots: DataFrame, keys: list[str], previous_end: str = "previous
 
 def with_previous_end(plans: DataFrame) -> DataFrame:
     """Add to each shot of the document the end of the shot before it (no shuffle: same document)."""
-    return plans.withColumn("shots", F.transform("shots", lambda s, i: s.withField(
-        "previous_end", F.when(i > 0, F.get(F.col("shots"), i - 1)["end_seconds"]))))
+    ends = F.concat(F.array(F.lit(None).cast("double")), F.transform("shots", lambda s: s["end_seconds"]))
+    return plans.withColumn("shots", F.zip_with(
+        "shots", F.slice(ends, F.lit(1), F.size("shots")), lambda s, e: s.withField("previous_end", e)))
