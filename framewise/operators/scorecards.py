@@ -106,8 +106,11 @@ def roundtrip_scorecard(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def depth_correlation(rows: DataFrame, keys: Sequence[str], truth: str, predicted: str) -> DataFrame:
     """Pearson correlation; null for a flat prediction or fewer than three rows."""
-    ok = (F.stddev_pop(predicted) > 1e-9) & (F.count(predicted) > 2)
-    return rows.groupBy(*keys).agg(F.when(ok, F.corr(truth, predicted)).alias("correlation"), F.count(predicted).alias("n"))
+    both = F.col(truth).isNotNull() & F.col(predicted).isNotNull()
+    a, b = F.when(both, F.col(truth)), F.when(both, F.col(predicted))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    ok = (F.stddev_pop(b) > 1e-9) & (F.count(b) > 2) & (spread > 0)
+    return rows.groupBy(*keys).agg(F.when(ok, F.covar_pop(a, b) / F.when(spread > 0, spread)).alias("correlation"), F.count(b).alias("n"))
 
 
 def skeleton_audit(roles: DataFrame, bones: DataFrame, readiness: DataFrame) -> DataFrame:

@@ -8,4 +8,5 @@ from framewise.plans import (  # noqa: F401
     q_metrics,
     q_joins,
     q_scorecards,
+    q_sequence,
 )
