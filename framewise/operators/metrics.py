@@ -410,3 +410,18 @@ def rule_check(metrics: DataFrame, rules: DataFrame, skips: DataFrame, errors: D
     status = (F.when(F.col("__err"), "FAIL").when(F.col("__skip"), "SKIP").when(F.col("value").isNull(), "FAIL")
               .when(good, "OK").otherwise("FAIL"))
     return j.select("suite", "path", "op", "value", status.alias("status"))
+
+
+def fit_bodies(people: DataFrame, frame_w: float, frame_h: float, threshold: float = 0.35, ratios: dict | None = None) -> DataFrame:
+    """Body line, height and tilt of every detection with usable keypoints (column ``kp``).
+
+    Runs row by row in Arrow batches; no grouping and no shuffle.  ``ratios`` may
+    replace body proportions by calibrated ones (keypoint index or width name).
+    """
+    from framewise.operators import kernels as N
+    given = ratios or {}
+    ratio = {i: given.get(i, r) for i, r in C.KEYPOINT_RATIO.items()}
+    widths = {n: given.get(n, r) for n, r in C.WIDTH_RATIO.items()}
+    fit = N.body_fit(ratio, widths, C.EYE_RATIO, set(C.HIP_AND_LOWER), C.UPPER_KEYPOINTS, threshold, frame_w, frame_h)
+    part = lambda f: F.transform("kp", lambda p: p[f])
+    return people.withColumn("body", fit(part("x"), part("y"), part("score"))).where("body.height IS NOT NULL")

@@ -307,3 +307,15 @@ def _(spark, sf):
         F.col("l_returnflag").alias("suite"), F.concat_ws(".", "l_linestatus", "name").alias("path"), r6(F.col("v")).alias("value"))
     return M.rule_check(m, spark.createDataFrame(RULES, "suite string, path string, op string, bound double"),
                         spark.createDataFrame(SKIPS, "suite string, path string"), spark.createDataFrame([(e,) for e in ERRORS], "suite string"))
+
+
+@query("a4_body_measure")
+def _(spark, sf):
+    return M.fit_bodies(B.keypoints(spark, sf), 1280.0, 720.0).select("vec_id", "body.height", "body.ax", "body.bx", "body.ay", "body.by", "body.score", "body.tilted", "body.used")
+
+
+@query("a3_robust_line_fit")
+def _(spark, sf):
+    """Full-body lines only: detections whose hips and legs stayed in the fit."""
+    fit = M.fit_bodies(B.keypoints(spark, sf), 1280.0, 720.0, 0.2)
+    return fit.where("body.used >= 3").select("vec_id", "body.height", "body.bx", "body.by", "body.tilted")
