@@ -105,3 +105,45 @@ SEGMENTS = [
 GROUND_ROLES = ["LeftFoot", "RightFoot"]
 SCALE_CHAIN = ["Pelvis", "LeftThigh", "LeftCalf", "LeftFoot"]
 FINGER_NAMES = ["Thumb", "Index", "Middle", "Ring", "Pinky"]
+
+# Body roles in order: name, name tokens, parent role, zone, side (-1 left, 1 right), required.
+ROLE_SPECS = [
+    ("Root", ["root", "reference", "rootnode"], "", "Root", 0, True),
+    ("Pelvis", ["pelvis", "hips", "hip", "rigpelvis"], "Root", "Pelvis", 0, True),
+    ("Spine", ["spine", "chest", "torso", "rigspine1"], "Pelvis", "CenterUpper", 0, True),
+    ("Neck", ["neck", "rigneck1"], "Spine", "CenterUpper", 0, False),
+    ("Head", ["head", "righead"], "Spine", "Head", 0, True),
+    ("LeftClavicle", ["clavicle_l", "leftshoulder", "shoulder_l", "l_clavicle", "riglarmcollarbone"], "Spine", "Arm", -1, False),
+    ("LeftUpperArm", ["upperarm_l", "leftarm", "l_upperarm", "riglarm1", "flleg1", "lfrontleg1", "llegfront1", "frontupleg_l"],
+     "Spine", "Arm", -1, True),
+    ("LeftLowerArm", ["lowerarm_l", "leftforearm", "forearm_l", "l_forearm", "riglarm2", "flleg2", "lfrontleg2", "llegfront2",
+                      "frontlowleg_l"], "LeftUpperArm", "Arm", -1, True),
+    ("LeftHand", ["hand_l", "lefthand", "l_hand", "riglarmpalm", "fllegankle", "lfrontlegankle", "llegfrontankle", "frontfoot_l"],
+     "LeftLowerArm", "Hand", -1, True),
+    ("RightClavicle", ["clavicle_r", "rightshoulder", "shoulder_r", "r_clavicle", "rigrarmcollarbone"], "Spine", "Arm", 1, False),
+    ("RightUpperArm", ["upperarm_r", "rightarm", "r_upperarm", "rigrarm1", "frleg1", "rfrontleg1", "rlegfront1", "frontupleg_r"],
+     "Spine", "Arm", 1, True),
+    ("RightLowerArm", ["lowerarm_r", "rightforearm", "forearm_r", "r_forearm", "rigrarm2", "frleg2", "rfrontleg2", "rlegfront2",
+                       "frontlowleg_r"], "RightUpperArm", "Arm", 1, True),
+    ("RightHand", ["hand_r", "righthand", "r_hand", "rigrarmpalm", "frlegankle", "rfrontlegankle", "rlegfrontankle", "frontfoot_r"],
+     "RightLowerArm", "Hand", 1, True),
+    ("LeftThigh", ["thigh_l", "leftupleg", "l_thigh", "riglleg1", "blleg1", "lbackleg1", "llegback1", "backupleg_l"],
+     "Pelvis", "Leg", -1, True),
+    ("LeftCalf", ["calf_l", "leftleg", "shin_l", "l_calf", "riglleg2", "blleg2", "lbackleg2", "llegback2", "backlowleg_l"],
+     "LeftThigh", "Leg", -1, True),
+    ("LeftFoot", ["foot_l", "leftfoot", "l_foot", "ankle_l", "rigllegankle", "rigllegfoot1", "bllegankle", "lbacklegankle",
+                  "llegbackankle", "backfoot_l"], "LeftCalf", "Foot", -1, True),
+    ("RightThigh", ["thigh_r", "rightupleg", "r_thigh", "rigrleg1", "brleg1", "rbackleg1", "rlegback1", "backupleg_r"],
+     "Pelvis", "Leg", 1, True),
+    ("RightCalf", ["calf_r", "rightleg", "shin_r", "r_calf", "rigrleg2", "brleg2", "rbackleg2", "rlegback2", "backlowleg_r"],
+     "RightThigh", "Leg", 1, True),
+    ("RightFoot", ["foot_r", "rightfoot", "r_foot", "ankle_r", "rigrlegankle", "rigrlegfoot1", "brlegankle", "rbacklegankle",
+                   "rlegbackankle", "backfoot_r"], "RightCalf", "Foot", 1, True),
+]
+ROLE_NAMES = [s[0] for s in ROLE_SPECS]
+PAIRED_ROLES = [("Left" + p, "Right" + p) for p in ("Clavicle", "UpperArm", "LowerArm", "Hand", "Thigh", "Calf", "Foot")]
+ROLE_AXES = [["Pelvis", "Spine", "Neck", "Head"],
+             ["LeftClavicle", "LeftUpperArm", "LeftLowerArm", "LeftHand"],
+             ["RightClavicle", "RightUpperArm", "RightLowerArm", "RightHand"],
+             ["LeftThigh", "LeftCalf", "LeftFoot"], ["RightThigh", "RightCalf", "RightFoot"]]
+ROLE_FALLBACK = {"LeftClavicle": "LeftUpperArm", "RightClavicle": "RightUpperArm", "Neck": "Head"}

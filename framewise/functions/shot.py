@@ -193,3 +193,26 @@ def correction_step(distance: Column, lens: Column, screen_x: Column, screen_y:
         "new_x": clamp(screen_x - error_x * gain, 0.02, 0.98),
         "new_y": clamp(screen_y - error_y * gain, 0.02, 0.98),
     }
+
+
+def motion_shift(depth: Column, lens: Column, aspect: Column, end_lens: Column, move, turn) -> Column:
+    """Screen shift of four still points at ``depth`` seen by a camera that moved and turned.
+
+    move: camera offset in the start camera's axes; turn: (pitch, yaw, roll) in
+    degrees.  Struct of dx, dy, scale and the number of points seen by both.
+    """
+    th, tv = tan_half(F.lit(C.SENSOR_WIDTH_MM), lens), tan_half(sensor_height(aspect), lens)
+    spots = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-0.25, 0.0), (0.25, 0.0), (0.0, -0.25), (0.0, 0.25))])
+    axes = camera_axes(*turn)
+
+    def seen(s: Column) -> Column:
+        point = (depth, s["x"] * 2 * th * depth, -s["y"] * 2 * tv * depth)
+        ex, ey = project_to_screen(move, axes, point, end_lens, aspect)
+        return F.struct((s["x"] + 0.5).alias("sx"), (s["y"] + 0.5).alias("sy"), ex.alias("ex"), ey.alias("ey"))
+
+    found = F.filter(F.transform(spots, seen), lambda p: p["ex"].isNotNull())
+    mean = lambda a, b: F.aggregate(found, F.lit(0.0), lambda t, p: t + p[a] - p[b]) / F.nullif(F.size(found), F.lit(0))
+    at = lambda i, f: F.get(found, F.lit(i))[f]
+    wide = F.abs(at(1, "sx") - at(0, "sx"))
+    scale = F.when(wide > 1e-4, F.abs(at(1, "ex") - at(0, "ex")) / wide).otherwise(F.lit(1.0))
+    return F.struct(mean("ex", "sx").alias("dx"), mean("ey", "sy").alias("dy"), scale.alias("scale"), F.size(found).alias("valid"))

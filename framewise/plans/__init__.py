@@ -9,4 +9,5 @@ from framewise.plans import (  # noqa: F401
     q_joins,
     q_scorecards,
     q_sequence,
+    q_skeleton,
 )
