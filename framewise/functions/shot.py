@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise import constants as C
+from framewise.scale import bind
 
 
 def clamp(x: Column, low, high) -> Column:
@@ -195,24 +196,26 @@ def correction_step(distance: Column, lens: Column, screen_x: Column, screen_y:
     }
 
 
-def motion_shift(depth: Column, lens: Column, aspect: Column, end_lens: Column, move, turn) -> Column:
+def motion_shift(shots: DataFrame, depth: Column, lens: Column, aspect: Column, end_lens: Column, move, turn) -> DataFrame:
     """Screen shift of four still points at ``depth`` seen by a camera that moved and turned.
 
     move: camera offset in the start camera's axes; turn: (pitch, yaw, roll) in
-    degrees.  Struct of dx, dy, scale and the number of points seen by both.
+    degrees.  Adds dx, dy, scale and ``valid``, the number of points seen by both.
     """
-    th, tv = tan_half(F.lit(C.SENSOR_WIDTH_MM), lens), tan_half(sensor_height(aspect), lens)
-    spots = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-0.25, 0.0), (0.25, 0.0), (0.0, -0.25), (0.0, 0.25))])
-    axes = camera_axes(*turn)
-
-    def seen(s: Column) -> Column:
-        point = (depth, s["x"] * 2 * th * depth, -s["y"] * 2 * tv * depth)
+    names = [f"__{a}{i}" for a in "fru" for i in range(3)]
+    flat = [c for axis in camera_axes(*turn) for c in axis]
+    p = bind(shots, __th=tan_half(F.lit(C.SENSOR_WIDTH_MM), lens), __tv=tan_half(sensor_height(aspect), lens), __depth=depth, **dict(zip(names, flat)))
+    axes = tuple(tuple(F.col(names[3 * k + i]) for i in range(3)) for k in range(3))
+    ends = {}
+    for k, (x, y) in enumerate(((-0.25, 0.0), (0.25, 0.0), (0.0, -0.25), (0.0, 0.25))):
+        point = (F.col("__depth"), x * 2 * F.col("__th") * F.col("__depth"), -y * 2 * F.col("__tv") * F.col("__depth"))
         ex, ey = project_to_screen(move, axes, point, end_lens, aspect)
-        return F.struct((s["x"] + 0.5).alias("sx"), (s["y"] + 0.5).alias("sy"), ex.alias("ex"), ey.alias("ey"))
-
-    found = F.filter(F.transform(spots, seen), lambda p: p["ex"].isNotNull())
-    mean = lambda a, b: F.aggregate(found, F.lit(0.0), lambda t, p: t + p[a] - p[b]) / F.nullif(F.size(found), F.lit(0))
-    at = lambda i, f: F.get(found, F.lit(i))[f]
+        ends[f"__p{k}"] = F.struct(F.lit(x + 0.5).alias("sx"), F.lit(y + 0.5).alias("sy"), ex.alias("ex"), ey.alias("ey"))
+    p = bind(p, **ends)
+    p = bind(p, __p=F.array_compact(F.array(*[F.when(F.col(f"{k}.ex").isNotNull(), F.col(k)) for k in ends])))
+    n = F.size("__p")
+    at = lambda i, f: F.get("__p", F.lit(i))[f]
+    mean = lambda a, b: sum((F.coalesce(at(i, a) - at(i, b), F.lit(0.0)) for i in range(4)), F.lit(0.0)) / F.nullif(n, F.lit(0))
     wide = F.abs(at(1, "sx") - at(0, "sx"))
     scale = F.when(wide > 1e-4, F.abs(at(1, "ex") - at(0, "ex")) / wide).otherwise(F.lit(1.0))
-    return F.struct(mean("ex", "sx").alias("dx"), mean("ey", "sy").alias("dy"), scale.alias("scale"), F.size(found).alias("valid"))
+    return p.withColumns({"dx": mean("ex", "sx"), "dy": mean("ey", "sy"), "scale": scale, "valid": n}).drop("__p", "__th", "__tv", "__depth", *names, *ends)

@@ -17,16 +17,16 @@ def normal_name(name: Column) -> Column:
     return F.translate(plain, ".- ", "___")
 
 
-def bone_name_score(name: Column, tokens: list[str]) -> Column:
+def bone_name_score(name: Column, tokens: list[str], normalised: bool = False) -> Column:
     """Best evidence of a name for a token list: exact 0.70, affix 0.64, contained 0.56."""
-    n = normal_name(name)
-    best = F.lit(0.0)
-    for token in tokens:
-        t = normal_name(F.lit(token))
-        score = (F.when(n == t, 0.70).when(n.endswith(F.concat(F.lit("_"), t)) | n.startswith(F.concat(t, F.lit("_"))), 0.64)
-                 .when(n.contains(t), 0.56).otherwise(F.lit(0.0)))
-        best = F.greatest(best, score)
-    return best
+    n = name if normalised else normal_name(name)
+    plain = [t.lower().replace("mixamorig:", "").replace("bip001", "").translate(str.maketrans(".- ", "___")) for t in tokens]
+    affix = F.lit(False)
+    inside = F.lit(False)
+    for t in plain:
+        affix = affix | n.endswith("_" + t) | n.startswith(t + "_")
+        inside = inside | n.contains(t)
+    return F.when(n.isin(plain), 0.70).when(affix, 0.64).when(inside, 0.56).otherwise(F.lit(0.0))
 
 
 def contains_any(name: Column, tokens: list[str]) -> Column:

@@ -364,7 +364,9 @@ def group_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max_by("worst_segment", F.struct("worst_segment_deg", -F.col("ord"))).alias("worst_segment"),
         F.max("foot_clearance_error").alias("foot_clearance_worst"), F.max("contact_mismatch").alias("contact_mismatch_worst"),
         F.max("motion_deviation_deg").alias("motion_deviation_worst_deg"), F.count("finger_median_deg").alias("pairs_with_fingers"))
-    return agg.join(med, keys) if keys else agg.crossJoin(med)  # without keys both sides are one row
+    if keys:
+        return agg.join(med, keys)
+    return agg.withColumns({c: med.select(c).scalar() for c in med.columns})
 
 
 def motion_extent(tracks: DataFrame, keys: Sequence[str], roles: Sequence[str]) -> DataFrame:
@@ -388,7 +390,7 @@ def active_curves(curves: DataFrame, curve: Sequence[str], value: str = "value",
     ranges = curves.groupBy(*curve).agg((F.max(value) - F.min(value)).alias("range")).where("range > 0.01")
     total = ranges.agg(F.count(F.lit(1)).alias("moving"))
     best = ranges.orderBy(F.desc("range"), *curve).limit(top)
-    return best.join(F.broadcast(total))  # one row
+    return best.withColumn("moving", total.scalar())
 
 
 def rule_check(metrics: DataFrame, rules: DataFrame, skips: DataFrame, errors: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from framewise import constants as C
 from framewise.functions import text as T
 from framewise.functions import vectors as V
 from framewise.operators import kernels as N
+from framewise.scale import bind
 
 MAX_DEPTH = 64
 POSE = ["x", "y", "z", "qx", "qy", "qz", "qw"]
@@ -104,7 +105,7 @@ def placed_bones(bones: DataFrame) -> DataFrame:
     j = pose.join(mesh_bounds(pose), "mesh")
     nz = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("z") - F.col("lo_z")) / F.greatest(F.col("hi_z") - F.col("lo_z"), F.lit(1.0))))
     lateral = (F.when(F.col("axis_y"), F.col("y")).otherwise(F.col("x")) - F.col("mid")) / F.col("half")
-    return j.withColumns({"nz": nz, "lateral": lateral})
+    return bind(j, nz=nz, lateral=lateral)
 
 
 def infer_roles(bones: DataFrame, specs=C.ROLE_SPECS) -> DataFrame:
@@ -113,8 +114,8 @@ def infer_roles(bones: DataFrame, specs=C.ROLE_SPECS) -> DataFrame:
     Name and place scores are columns; only the greedy choice, where one bone
     serves one role, runs per mesh.
     """
-    p = placed_bones(bones)
-    scored = p.select("mesh", "bone_idx", "parent_idx", F.array(*[T.bone_name_score(F.col("name"), s[1]) for s in specs]).alias("ns"),
+    p = bind(placed_bones(bones), __n=T.normal_name(F.col("name")))
+    scored = p.select("mesh", "bone_idx", "parent_idx", F.array(*[T.bone_name_score(F.col("__n"), s[1], True) for s in specs]).alias("ns"),
                       F.array(*[spatial_score(s[3], s[4], F.col("nz"), F.col("lateral"), F.col("left_sign")) for s in specs]).alias("ss"))
     m = scored.groupBy("mesh").agg(F.array_sort(F.collect_list(F.struct("bone_idx", "parent_idx", "ns", "ss"))).alias("b"))
     pick = N.pick_roles([s[0] for s in specs], [s[2] for s in specs], [s[5] for s in specs])(

@@ -88,7 +88,7 @@ def frame_budget(starts: DataFrame, keys: Sequence[str], frames: str, budget: in
     ``starts`` holds the distinct start frames (column ``start_frame``) with the
     frame count of the video in ``frames``.  More starts than budget are thinned evenly.
     """
-    numbered = scale.ordinal(starts, keys, ["start_frame"], "__i")
+    numbered = scale.ordinal(starts, keys, ["start_frame"], "__i", block=F.floor(F.col("start_frame") / scale.SPAN))
     counts = starts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*keys).orderBy("__i")
     last = F.coalesce(F.greatest(F.col("start_frame"), F.lead("start_frame").over(w) - 1), F.col(frames) - 1)

@@ -10,4 +10,5 @@ from framewise.plans import (  # noqa: F401
     q_scorecards,
     q_sequence,
     q_skeleton,
+    q_sources,
 )

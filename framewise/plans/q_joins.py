@@ -104,11 +104,11 @@ def _(spark, sf):
     return J.skeleton_partition(anim, meshes, 7).groupBy("route", "source_mesh").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j11_cache_join", """WITH c AS (SELECT o_orderkey, md5(o_orderkey || '|' || o_totalprice::INT) AS fp FROM orders WHERE o_orderkey % 10 <> 0), p AS (SELECT o_orderkey, md5(o_orderkey || '|' || (o_totalprice::INT + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END)) AS fp, o_orderkey % 11 <> 0 AS has FROM orders WHERE o_orderkey % 9 <> 0)
+@query("j11_cache_join", """WITH c AS (SELECT o_orderkey, md5(o_orderkey || '|' || floor(o_totalprice)::INT) AS fp FROM orders WHERE o_orderkey % 10 <> 0), p AS (SELECT o_orderkey, md5(o_orderkey || '|' || (floor(o_totalprice)::INT + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END)) AS fp, o_orderkey % 11 <> 0 AS has FROM orders WHERE o_orderkey % 9 <> 0)
 SELECT c.o_orderkey, CASE WHEN p.fp IS NULL THEN 'new' WHEN p.fp = c.fp AND has THEN 'cached' ELSE 'changed' END AS state FROM c LEFT JOIN p USING (o_orderkey) UNION ALL SELECT o_orderkey, 'removed' FROM p WHERE o_orderkey % 10 = 0""")
 def _(spark, sf):
     o = table(spark, sf, "orders")
-    price = F.floor(F.col("o_totalprice") + 0.5).cast("int")
+    price = F.floor("o_totalprice").cast("int")
     fp = lambda extra: F.md5(F.concat(F.col("o_orderkey"), F.lit("|"), (price + extra).cast("string")))
     cur = o.where("o_orderkey % 10 <> 0").select("o_orderkey", fp(F.lit(0)).alias("fp"))
     prev = o.where("o_orderkey % 9 <> 0").select("o_orderkey", fp(F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)).alias("fp"), (F.col("o_orderkey") % 11 != 0).alias("has_plan"))

@@ -178,8 +178,8 @@ def _(spark, sf):
     bo = bones(spark, sf)
     ro = stand_in_roles(spark, sf).select("mesh", "bone_idx", "role", (F.col("name_score") <= 0).alias("forced"))
     b = bo.join(ro, ["mesh", "bone_idx"], "left").fillna(False, ["forced"])
-    n = bo.agg((F.max("mesh") + 1).alias("n"))
-    pairs = bo.select("mesh").distinct().join(F.broadcast(n)).select(F.col("mesh").alias("pair"), F.col("mesh").alias("source_mesh"), ((F.col("mesh") + 1) % F.col("n")).alias("target_mesh"))
+    n = bo.agg(F.max("mesh") + 1).scalar()
+    pairs = bo.select("mesh").distinct().select(F.col("mesh").alias("pair"), F.col("mesh").alias("source_mesh"), ((F.col("mesh") + 1) % n).alias("target_mesh"))
     return H.rest_pose_align(b, b, pairs)
 
 
@@ -244,8 +244,8 @@ def _(spark, sf):
     bo = bones(spark, sf)
     rows = F.array(*[F.struct(F.lit(c).alias("chain"), F.when((F.col("mesh") % 4 == 0) & F.lit(c == "LeftArm"), 3).otherwise(s).cast("bigint").alias("start_idx"), F.lit(e).cast("bigint").alias("end_idx")) for c, s, e in CHAINS])
     chains = bo.select("mesh").distinct().select("mesh", F.inline(rows))
-    n = bo.agg((F.max("mesh") + 1).alias("n"))
-    pairs = bo.select("mesh").distinct().join(F.broadcast(n)).select(F.col("mesh").alias("source_mesh"), ((F.col("mesh") + 1) % F.col("n")).alias("target_mesh"))
+    n = bo.agg(F.max("mesh") + 1).scalar()
+    pairs = bo.select("mesh").distinct().select(F.col("mesh").alias("source_mesh"), ((F.col("mesh") + 1) % n).alias("target_mesh"))
     return H.equal_chains(H.chain_lengths(bo, chains), pairs)
 
 
@@ -280,6 +280,6 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedpri
 FROM (SELECT *, min(i) OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS mi, count(*) OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS c FROM en) WHERE c = 4 GROUP BY ALL""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
-    out = S.motion_shift(F.greatest(F.lit(50.0), F.col("l_extendedprice") / 50), F.lit(20.0) + F.col("l_quantity"), F.lit(16.0 / 9.0), F.lit(20.0) + F.col("l_quantity"),
+    out = S.motion_shift(li, F.greatest(F.lit(50.0), F.col("l_extendedprice") / 50), F.lit(20.0) + F.col("l_quantity"), F.lit(16.0 / 9.0), F.lit(20.0) + F.col("l_quantity"),
                          ((F.col("l_tax") - 0.04) * 1000, F.lit(0.0), F.lit(0.0)), (F.lit(0.0), (F.col("l_discount") - 0.05) * 300, F.lit(0.0)))
-    return li.withColumn("m", out).where("m.valid = 4").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", *[r6(F.col(f"m.{c}")).alias(c) for c in ("dx", "dy", "scale")])
+    return out.where("valid = 4").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", *[r6(F.col(c)).alias(c) for c in ("dx", "dy", "scale")])

@@ -331,10 +331,9 @@ def _(spark, sf):
     part = table(spark, sf, "part")
     meshes = part.select(F.col("p_partkey").alias("mesh"), (F.col("p_size") / 50.0 + 0.4).alias("readiness"),
                          (F.col("p_partkey") % 11 != 0).alias("overrides_valid"), (F.col("p_type") != "SMALL").alias("upright"))
-    n = part.agg(F.count(F.lit(1)).alias("n"))
-    li = table(spark, sf, "lineitem").join(F.broadcast(n))  # one row
-    pairs = li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source_mesh"),
-                      ((F.col("l_partkey") * 7 + 3) % F.col("n")).alias("target_mesh"))
+    n = part.agg(F.count(F.lit(1))).scalar()
+    pairs = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source_mesh"),
+                                                ((F.col("l_partkey") * 7 + 3) % n).alias("target_mesh"))
     return VA.posture_guard(pairs, meshes)
 
 

@@ -34,6 +34,16 @@ def is_small(df: DataFrame) -> bool:
     return input_bytes(df) <= small_input_limit(df.sparkSession)
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    Later filters and projections then read the computed value.  With a plain
+    projection the optimizer may push a filter below it and evaluate an expensive
+    expression (a JSON parse, a camera matrix) once per reference.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
             block: Column | None = None) -> DataFrame:
     """Dense 0-based row number per key.

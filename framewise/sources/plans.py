@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise import constants as C
 from framewise.functions.shot import clamp
+from framewise.scale import bind
 
 XY = "struct<x:double,y:double>"
 WH = "struct<width:double,height:double>"
@@ -97,7 +98,7 @@ def read_reference_plans(docs: DataFrame, text: str = "doc") -> DataFrame:
     error = (F.when(p.isNull() | p["broken"].isNotNull(), "json").when(version != 1, "schema_version")
              .when(~mode.isin("scene", "edit"), "match_mode")
              .when(F.coalesce(F.size(p["shots"]), F.lit(0)) <= 0, "shots").when(F.size(p["shots"]) > MAX_SHOTS, "too_many"))
-    parsed = docs.withColumn("__p", _parse(F.col(text), REFERENCE_SCHEMA))
+    parsed = bind(docs, __p=_parse(F.col(text), REFERENCE_SCHEMA))
     return parsed.select(
         *docs.columns, error.alias("error"), _text(p["title"]).alias("title"), mode.alias("match_mode"),
         clamp(F.coalesce(p["aspect_ratio"], F.lit(1.7778)), 0.25, 4.0).alias("aspect_ratio"),
@@ -106,12 +107,13 @@ def read_reference_plans(docs: DataFrame, text: str = "doc") -> DataFrame:
 
 def explode_shots(plans: DataFrame, ids: list[str]) -> DataFrame:
     """One row per shot with its ordinal."""
-    return plans.select(*ids, F.posexplode("shots").alias("shot_idx", "shot")).select(
+    # the outer form infers no filter on the parsed array, which would parse it again
+    return plans.select(*ids, F.posexplode_outer("shots").alias("shot_idx", "shot")).where("shot_idx IS NOT NULL").select(
         *ids, F.col("shot_idx").cast("bigint").alias("shot_idx"), "shot.*")
 
 
 def explode_subjects(shots: DataFrame, ids: list[str]) -> DataFrame:
-    return shots.select(*ids, F.posexplode("subjects").alias("subject_idx", "s")).select(
+    return shots.select(*ids, F.posexplode_outer("subjects").alias("subject_idx", "s")).where("subject_idx IS NOT NULL").select(
         *ids, F.col("subject_idx").cast("bigint").alias("subject_idx"), F.col("s.role").alias("role"),
         F.col("s.screen_position.x").alias("x"), F.col("s.screen_position.y").alias("y"),
         F.col("s.screen_size.width").alias("width"), F.col("s.screen_size.height").alias("height"),
@@ -150,7 +152,7 @@ def read_cinematic_plans(docs: DataFrame, text: str = "doc") -> DataFrame:
         | s["camera_rotation"]["pitch"].isNull() | s["camera_rotation"]["yaw"].isNull() | s["camera_rotation"]["roll"].isNull()))
     error = (F.when(p.isNull() | p["broken"].isNotNull(), "json").when(p["shots"].isNull(), "shots")
              .when(homeless, "camera"))
-    parsed = docs.withColumn("__p", _parse(F.col(text), CINEMATIC_SCHEMA))
+    parsed = bind(docs, __p=_parse(F.col(text), CINEMATIC_SCHEMA))
     title = F.trim(_text(p["title"]))
     return parsed.select(
         *docs.columns, error.alias("error"), F.when(title == "", "GeneratedCinematic").otherwise(title).alias("title"),
@@ -174,7 +176,7 @@ def read_render_report(docs: DataFrame, text: str = "doc") -> DataFrame:
              .when(p["overall_score"].isNull() | ~p["overall_score"].between(0, 100), "overall_score")
              .when(F.coalesce(F.size(p["shots"]), F.lit(0)) <= 0, "shots")
              .when(where.isNotNull(), F.concat(F.lit("shot "), where["i"] + 1, F.lit(" "), where["f"])))
-    parsed = docs.withColumn("__p", _parse(F.col(text), REPORT_SCHEMA))
+    parsed = bind(docs, __p=_parse(F.col(text), REPORT_SCHEMA))
     return parsed.select(*docs.columns, error.alias("error"), p["overall_score"].alias("overall_score"),
                          F.size(p["shots"]).alias("shot_count"))
 
