@@ -25,6 +25,13 @@ def sorted_median(a: Column) -> Column:
     return F.when(n > 0, (low + high) / 2)
 
 
+def sorted_quantile(a: Column, p: float) -> Column:
+    """Linear-interpolated quantile of an ascending array; null when empty."""
+    at = (F.size(a) - 1) * p
+    low, high = F.get(a, F.floor(at).cast("int")), F.get(a, F.ceil(at).cast("int"))
+    return F.when(F.size(a) > 0, low + (high - low) * (at - F.floor(at)))
+
+
 def median_and_mad(values: Column) -> tuple[Column, Column]:
     a = F.array_sort(values)
     med = sorted_median(a)
@@ -129,67 +136,102 @@ def segment_angles(poses: DataFrame, segments: Sequence[tuple[str, str]]) -> Dat
 
 
 def segment_error(angles: DataFrame) -> DataFrame:
-    """Median and MAD of each (pair, segment)."""
-    med, mad = median_and_mad(F.collect_list("deg"))
-    return angles.groupBy("pair", "segment").agg(F.collect_list("deg").alias("d")).select(
-        "pair", "segment", *[c.alias(n) for c, n in zip(median_and_mad(F.col("d")), ("median_deg", "mad_deg"))])
+    """Median and MAD of each (pair, segment), with the angles of its samples."""
+    med, mad = median_and_mad(F.col("d"))
+    return scale.bind(angles.groupBy("pair", "segment").agg(F.collect_list("deg").alias("d")), median_deg=med, mad_deg=mad)
 
 
-def pair_error(angles: DataFrame, segments: Sequence[tuple[str, str]]) -> DataFrame:
-    """Overall median / p90, worst segment (first listed wins ties) and worst motion deviation per pair."""
-    order = F.array_position(F.array(*[F.lit(f"{a}->{b}") for a, b in segments]), F.col("segment"))
-    worst = segment_error(angles).groupBy("pair").agg(
-        F.max_by("segment", F.struct("median_deg", -order)).alias("worst_segment"), F.max("median_deg").alias("worst_segment_deg"),
-        F.max("mad_deg").alias("motion_deviation_deg"), F.count(F.lit(1)).alias("segments_compared"),
-        F.median("median_deg").alias("median_of_segments"))
-    overall = angles.groupBy("pair").agg(F.median("deg").alias("median_deg"), F.percentile("deg", F.lit(0.9)).alias("p90_deg"))
-    return worst.join(overall, "pair")
+def pair_error(angles: DataFrame, segments: Sequence[tuple[str, str]], fingers: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Overall median / p90, worst segment (first listed wins ties) and worst motion deviation per pair.
 
-
-def pose_scale(poses: DataFrame, chain: Sequence[str] = C.SCALE_CHAIN) -> DataFrame:
-    """Chain length at the first sample; 0 when a joint of the chain is missing."""
-    first = poses.where(F.col("role").isin(list(chain)) & (F.col("sample") == 0)).groupBy("pair", "side").agg(
-        F.map_from_entries(F.collect_list(F.struct("role", F.struct("x", "y", "z").alias("p")))).alias("m"))
+    Finger segments are summed up apart.  A pair has a few hundred angles, kept as one array.
+    """
+    names = [f"{a}->{b}" for a, b in segments]
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("segment"))
+    body, hand = F.col("segment").isin(names), F.col("segment").isin([f"{a}->{b}" for a, b in fingers])
+    only = lambda test, c: F.when(test, F.col(c))
+    g = segment_error(angles).groupBy("pair").agg(
+        F.max_by(only(body, "segment"), F.when(body, F.struct("median_deg", -order))).alias("worst_segment"),
+        F.max(only(body, "median_deg")).alias("worst_segment_deg"), F.max(only(body, "mad_deg")).alias("motion_deviation_deg"),
+        F.count_if(body).alias("segments_compared"), F.count_if(hand).alias("finger_compared"),
+        F.max(only(hand, "median_deg")).alias("finger_worst_deg"),
+        sorted_median(F.array_sort(F.collect_list(only(hand, "median_deg")))).alias("finger_median_deg"),
+        F.array_sort(F.flatten(F.collect_list(only(body, "d")))).alias("__a"))
+    return g.withColumns({"median_deg": sorted_median(F.col("__a")), "p90_deg": sorted_quantile(F.col("__a"), 0.9)}).drop("__a")
+
+
+def _chain_length(m: Column, chain: Sequence[str]) -> Column:
     length = F.lit(0.0)
     for a, b in zip(chain, chain[1:]):
-        p, q = F.col("m")[a], F.col("m")[b]
+        p, q = m[a], m[b]
         length = length + V.norm3(tuple(q[c] - p[c] for c in "xyz"))
-    every = poses.select("pair", "side").distinct()
-    return every.join(first, ["pair", "side"], "left").select("pair", "side", F.coalesce(length, F.lit(0.0)).alias("scale"))
+    return length
+
 
+def ground_rows(poses: DataFrame, roles: Sequence[str] = C.GROUND_ROLES, chain: Sequence[str] = C.SCALE_CHAIN) -> DataFrame:
+    """One row per pair: both body scales and the ground joints of all samples in order.
+
+    Two shuffles in all; everything after works inside the row (24 samples per clip in the usual capture).
+    ``<side>_scale`` is 0 when a joint of the chain is missing at the first sample; ``<side>_full`` lists the
+    ground joints seen in every sample of that side.
+    """
+    s = _samples(poses)
+    joint = lambda side, r: F.element_at(side, F.lit(r))
+    one = F.struct("sample", *[joint(side, r).alias(f"{side}_{r}") for side in "st" for r in roles])
+    first = F.col("sample") == 0
+    aggs = [F.array_sort(F.collect_list(one)).alias("rows")]
+    for side in "st":
+        there = F.size(side) > 0
+        aggs.append(F.coalesce(F.max(F.when(first, _chain_length(F.col(side), chain))), F.lit(0.0)).alias(f"{side}_scale"))
+        aggs.append(F.count_if(there).alias(f"__n_{side}"))
+        aggs += [F.count(joint(side, r)).alias(f"__c_{side}_{r}") for r in roles]
+    g = s.groupBy("pair").agg(*aggs)
+    full = {f"{side}_full": F.array_compact(F.array(*[
+        F.when((F.col(f"__c_{side}_{r}") == F.col(f"__n_{side}")) & (F.col(f"__n_{side}") > 0) & (F.col(f"{side}_scale") > 1e-6), F.lit(r))
+        for r in roles])) for side in "st"}
+    return g.withColumns(full).select("pair", "rows", "s_scale", "t_scale", "s_full", "t_full", *[
+        F.col(f"__n_{side}").alias(f"{side}_n") for side in "st"])
 
-def _ground(poses: DataFrame, roles: Sequence[str]) -> DataFrame:
-    """Ground joints present in every sample, with the body scale."""
-    n = poses.groupBy("pair", "side").agg(F.countDistinct("sample").alias("n"))
-    feet = poses.where(F.col("role").isin(list(roles)))
-    full = feet.groupBy("pair", "side", "role").agg(F.count(F.lit(1)).alias("c"), F.min("z").alias("lowest"))
-    full = full.join(n, ["pair", "side"]).where("c = n").join(pose_scale(poses), ["pair", "side"]).where("scale > 1e-6")
-    return feet.join(full.select("pair", "side", "role", "lowest", "scale"), ["pair", "side", "role"])
+
+def pose_scale(poses: DataFrame, chain: Sequence[str] = C.SCALE_CHAIN) -> DataFrame:
+    """Chain length at the first sample; 0 when a joint of the chain is missing."""
+    g = ground_rows(poses, chain=chain)
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_scale").alias("scale"), F.col(f"{s}_n").alias("n")) for s in "st"])
+    return g.select("pair", F.inline(sides)).where("n > 0").drop("n")
 
 
 def contact_metrics(poses: DataFrame, roles: Sequence[str] = C.GROUND_ROLES) -> DataFrame:
     """Median difference of foot height and share of samples whose ground contact differs."""
-    g = _ground(poses, roles)
-    floor = g.groupBy("pair", "side").agg(F.min("lowest").alias("floor"))
-    h = g.join(floor, ["pair", "side"]).select("pair", "side", "role", "sample",
-                                               ((F.col("z") - F.col("floor")) / F.col("scale")).alias("h"))
-    both = h.groupBy("pair", "role", "sample").agg(
-        F.max(F.when(F.col("side") == "s", F.col("h"))).alias("a"), F.max(F.when(F.col("side") == "t", F.col("h"))).alias("b"))
-    both = both.where("a IS NOT NULL AND b IS NOT NULL")
-    down = lambda c: F.col(c) <= C.CONTACT_HEIGHT
-    return both.groupBy("pair").agg(F.median(F.abs(F.col("a") - F.col("b"))).alias("foot_clearance_error"),
-                                    F.avg((down("a") != down("b")).cast("double")).alias("contact_mismatch"))
+    g = ground_rows(poses, roles)
+    zs = lambda side, r: F.array_compact(F.transform("rows", lambda e: e[f"{side}_{r}"]["z"]))
+    g = scale.bind(g, **{f"{side}_floor": F.array_min(F.flatten(F.array(*[
+        F.when(F.array_contains(f"{side}_full", r), zs(side, r)).otherwise(F.array().cast("array<double>")) for r in roles]))) for side in "st"})
+    height = lambda e, side, r: (e[f"{side}_{r}"]["z"] - F.col(f"{side}_floor")) / F.nullif(F.col(f"{side}_scale"), F.lit(0.0))
+    both = lambda r: F.filter(F.transform("rows", lambda e: F.struct(height(e, "s", r).alias("a"), height(e, "t", r).alias("b"))),
+                              lambda h: h["a"].isNotNull() & h["b"].isNotNull())
+    shared = lambda r: F.array_contains("s_full", r) & F.array_contains("t_full", r)
+    h = scale.bind(g, __h=F.flatten(F.array(*[F.when(shared(r), both(r)).otherwise(F.array().cast("array<struct<a:double,b:double>>")) for r in roles])))
+    down = lambda x: x <= C.CONTACT_HEIGHT
+    gaps = F.array_sort(F.transform("__h", lambda p: F.abs(p["a"] - p["b"])))
+    differ = F.size(F.filter("__h", lambda p: down(p["a"]) != down(p["b"])))
+    return h.where(F.size("__h") > 0).select("pair", sorted_median(gaps).alias("foot_clearance_error"),
+                                            (differ / F.size("__h")).alias("contact_mismatch"))
 
 
 def foot_slide(poses: DataFrame, roles: Sequence[str] = C.GROUND_ROLES) -> DataFrame:
     """Median horizontal move between neighbouring samples while the foot is down, in body scales."""
-    g = _ground(poses, roles)
-    w = Window.partitionBy("pair", "side", "role").orderBy("sample")
-    limit = F.col("lowest") + F.col("scale") * C.CONTACT_HEIGHT
-    moves = g.withColumns({f"__{c}": F.lag(c).over(w) for c in "xyz"}).where(
-        F.col("__z").isNotNull() & (F.col("z") <= limit) & (F.col("__z") <= limit))
-    slide = F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2) / F.col("scale")
-    return moves.withColumn("slide", slide).groupBy("pair", "side").agg(F.median("slide").alias("foot_slide"))
+    g = ground_rows(poses, roles)
+
+    def slides(side: str, r: str) -> Column:
+        track = F.filter(F.transform("rows", lambda e: e[f"{side}_{r}"]), lambda p: p.isNotNull())
+        limit = F.array_min(F.transform(track, lambda p: p["z"])) + F.col(f"{side}_scale") * C.CONTACT_HEIGHT
+        steps = F.zip_with(F.slice(track, F.lit(1), F.greatest(F.lit(0), F.size(track) - 1)), F.slice(track, F.lit(2), F.greatest(F.lit(0), F.size(track) - 1)),
+                           lambda a, b: F.when((a["z"] <= limit) & (b["z"] <= limit), F.sqrt((b["x"] - a["x"]) ** 2 + (b["y"] - a["y"]) ** 2)))
+        return F.when(F.array_contains(f"{side}_full", r), F.array_compact(steps)).otherwise(F.array().cast("array<double>"))
+
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.flatten(F.array(*[slides(side, r) for r in roles])).alias("m"), F.col(f"{side}_scale").alias("scale")) for side in "st"])
+    long = g.select("pair", F.inline(sides)).where(F.size("m") > 0)
+    return long.select("pair", "side", (sorted_median(F.array_sort("m")) / F.col("scale")).alias("foot_slide"))
 
 
 def twist_range(twists: DataFrame) -> DataFrame:
@@ -215,11 +257,8 @@ def twist_transfer(twists: DataFrame) -> DataFrame:
 def quality_rows(poses: DataFrame, twists: DataFrame, segments=C.SEGMENTS, fingers=None) -> DataFrame:
     """All metrics of a pair side by side; null means not measured."""
     fingers = fingers or [(f"{s}{f}1", f"{s}{f}2") for s in ("Left", "Right") for f in C.FINGER_NAMES]
-    body = pair_error(segment_angles(poses, segments), segments)
-    hand = pair_error(segment_angles(poses, fingers), fingers).select(
-        "pair", F.col("segments_compared").alias("finger_compared"), F.col("worst_segment_deg").alias("finger_worst_deg"),
-        F.col("median_of_segments").alias("finger_median_deg"))
-    return (poses.select("pair").distinct().join(body, "pair", "left").join(hand, "pair", "left")
+    error = pair_error(segment_angles(poses, [*segments, *fingers]), segments, fingers)
+    return (poses.select("pair").distinct().join(error, "pair", "left")
             .join(contact_metrics(poses), "pair", "left").join(twist_transfer(twists), "pair", "left"))
 
 
