@@ -236,11 +236,10 @@ def foot_slide(poses: DataFrame, roles: Sequence[str] = C.GROUND_ROLES) -> DataF
 
 def twist_range(twists: DataFrame) -> DataFrame:
     """Largest rotation away from the first sample per (pair, side, role)."""
-    first = twists.groupBy("pair", "side", "role").agg(F.min_by("q", "sample").alias("q0"), F.min("sample").alias("s0"),
-                                                       F.count(F.lit(1)).alias("n")).where("n >= 2")
-    j = twists.join(first, ["pair", "side", "role"]).where("sample > s0")
-    q, q0 = ([F.get(c, F.lit(i)) for i in range(4)] for c in ("q", "q0"))
-    return j.groupBy("pair", "side", "role").agg(F.max(V.quaternion_angle_deg(q0, q)).alias("deg"))
+    g = twists.groupBy("pair", "side", "role").agg(F.array_sort(F.collect_list(F.struct("sample", "q"))).alias("t")).where(F.size("t") >= 2)
+    parts = lambda q: [F.get(q, F.lit(i)) for i in range(4)]
+    turns = F.transform(F.slice("t", F.lit(2), F.size("t") - 1), lambda e: V.quaternion_angle_deg(parts(F.get("t", F.lit(0))["q"]), parts(e["q"])))
+    return g.select("pair", "side", "role", F.array_max(turns).alias("deg"))
 
 
 def twist_transfer(twists: DataFrame) -> DataFrame:

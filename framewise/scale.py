@@ -127,11 +127,18 @@ def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str
 
 
 def _bracketed_quantile(df: DataFrame, group: list[str], name: str, p: float, accuracy: int) -> DataFrame:
-    slack = 2.0 / accuracy
-    low, high = max(0.0, p - slack), min(1.0, p + slack)
+    # half widths of the bracket; a group takes the narrowest one that spans at least three ranks on each side
+    slacks = [2.0 / accuracy]
+    while slacks[-1] < 1.0:
+        slacks.append(min(1.0, slacks[-1] * 10))
+    ends = [e for s in slacks for e in (max(0.0, p - s), min(1.0, p + s))]
     bracket = df.groupBy(*group).agg(
         F.count("__x").alias("__n"),
-        F.percentile_approx("__x", [low, high], accuracy).alias("__b"))
+        F.percentile_approx("__x", ends, accuracy).alias("__b"))
+    at = F.lit(len(slacks) - 1)
+    for i in range(len(slacks) - 2, -1, -1):
+        at = F.when(F.col("__n") * slacks[i] >= 3, i).otherwise(at)
+    bracket = bracket.withColumn("__b", F.slice("__b", at * 2 + 1, F.lit(2)))
     rows = df.where(F.col("__x").isNotNull()).join(bracket, group)
     lo, hi, x = F.col("__b")[0], F.col("__b")[1], F.col("__x")
     # distinct values inside the bracket, plus one pseudo value carrying the rows below it
@@ -148,6 +155,7 @@ def _bracketed_quantile(df: DataFrame, group: list[str], name: str, p: float, ac
 
     found = ranked.groupBy(*group).agg(at(k0).alias("__v0"), at(k1).alias("__v1"), F.first("__n").alias("__n"))
     frac = rank - F.floor(rank)
-    value = F.when(frac == 0, F.col("__v0")).otherwise(F.col("__v0") * (1 - frac) + F.col("__v1") * frac)
+    value = (F.when(F.col("__v0").isNull() | F.col("__v1").isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+             .when(frac == 0, F.col("__v0")).otherwise(F.col("__v0") * (1 - frac) + F.col("__v1") * frac))
     answers = found.select(*group, value.alias(name))
     return bracket.select(*group).join(answers, group, "left")

@@ -50,6 +50,17 @@ def test_quantiles_are_exact(spark, both_forms):
     assert np.isclose(whole["m"][0], pdf["v"].median())
 
 
+def test_quantiles_of_any_group_size(spark):
+    """Groups of 1 to 400 rows with the default accuracy: the bracket must widen for small groups."""
+    spark.conf.set("spark.framewise.smallInputBytes", "0")
+    rng = np.random.default_rng(9)
+    pdf = pd.concat([pd.DataFrame({"k": n, "v": rng.normal(size=n)}) for n in (1, 2, 3, 10, 57, 400)])
+    out = scale.quantiles(spark.createDataFrame(pdf), ["k"], {"a": ("v", 0.5), "b": ("v", 0.9), "c": ("v", 0.0), "d": ("v", 1.0)}).toPandas().set_index("k")
+    spark.conf.unset("spark.framewise.smallInputBytes")
+    for k, g in pdf.groupby("k"):
+        assert np.allclose(out.loc[k, ["a", "b", "c", "d"]].astype(float), np.percentile(g["v"], [50, 90, 0, 100]))
+
+
 def test_input_bytes_needs_no_job(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     assert 0 < scale.input_bytes(df.join(df, "l_orderkey")) < 10 * 1024 * 1024
