@@ -53,7 +53,7 @@ def first_label(text: Column, patterns: list[tuple[str, str]]) -> Column:
 
 def first_text(text: Column, patterns: list[tuple[str, str]]) -> Column:
     """The words that gave the label."""
-    return F.coalesce(*[F.when(text.rlike(ci(p)), F.regexp_extract(text, ci("(" + p + ")"), 1)) for p, _ in patterns])
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, ci("(" + p + ")"), 1), F.lit("")) for p, _ in patterns])
 
 
 def request_of(clause: Column) -> dict[str, Column]:
