@@ -57,34 +57,48 @@ def counts(raw: bytes | None) -> tuple[int, ...]:
             len(lines), _among(raw, UPPER), _among(raw, LETTERS), raw.count(b"!"), closed)
 
 
+INF = float("inf")
+Bound = tuple[str, str, float, float]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad (-1) if the share numerator / denominator is outside [bad_low, bad_high], good (+1) inside [good_low, good_high], else 0."""
+    """Votes bad (-1) if a ratio of ``fair`` is out of bounds, good (+1) if all of ``good`` are within, else abstains (0).
+
+    A bound is (top, under, low, high) on top / under. A rule that looks for one defect has no ``good``: that it finds none says
+    nothing about the others. A good vote takes several signs at once, so that no rule votes on nearly every text.
+    """
 
     name: str
-    top: str
-    under: str
-    good: tuple[float, float]
-    bad: tuple[float, float]
+    fair: tuple[Bound, ...] = ()
+    good: tuple[Bound, ...] = ()
 
     def vote(self, f: pd.DataFrame) -> np.ndarray:
-        under = f[self.under].to_numpy(float)
-        x = np.divide(f[self.top].to_numpy(float), under, out=np.full(len(f), np.nan), where=under > 0)
-        good = (x >= self.good[0]) & (x <= self.good[1])
-        bad = (x < self.bad[0]) | (x > self.bad[1])
+        def ratio(top: str, under: str) -> np.ndarray:
+            d = f[under].to_numpy(float)
+            return np.divide(f[top].to_numpy(float), d, out=np.full(len(f), np.nan), where=d > 0)
+
+        good, bad = np.full(len(f), bool(self.good)), np.zeros(len(f), bool)
+        for top, under, low, high in self.good:
+            good &= (ratio(top, under) >= low) & (ratio(top, under) <= high)
+        for top, under, low, high in self.fair:
+            bad |= (ratio(top, under) < low) | (ratio(top, under) > high)
         return np.where(bad, -1, np.where(good, 1, 0)).astype(np.int8)
 
 
-INF = float("inf")
+#: Each defect has two views where it can, so that a rule that is right is seldom alone.
 RULES = (
-    Rule("word_length", "word_chars", "n_words", (3.0, 8.5), (2.0, 12.0)),
-    Rule("symbols", "n_symbols", "n_words", (0.0, 0.02), (0.0, 0.1)),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", (0.0, 0.05), (0.0, 0.3)),
-    Rule("repeated_words", "n_repeat_words", "n_words", (0.0, 0.15), (0.0, 0.4)),
-    Rule("capitals", "n_upper", "n_letters", (0.0, 0.15), (0.0, 0.4)),
-    Rule("exclamations", "n_marks", "n_words", (0.0, 0.02), (0.0, 0.2)),
-    Rule("closed_lines", "n_closed", "n_lines", (0.6, 1.0), (0.2, INF)),
-    Rule("words_a_line", "n_words", "n_lines", (5.0, INF), (2.0, INF)),
+    Rule("prose", good=(("word_chars", "n_words", 3.0, 8.5), ("n_symbols", "n_words", 0.0, 0.02), ("n_upper", "n_letters", 0.0, 0.2),
+                        ("n_marks", "n_words", 0.0, 0.05), ("n_dup_lines", "n_lines", 0.0, 0.5), ("n_repeat_words", "n_words", 0.0, 0.4))),
+    Rule("word_length", (("word_chars", "n_words", 2.0, 12.0),)),
+    Rule("symbols_a_word", (("n_symbols", "n_words", 0.0, 0.1),)),
+    Rule("symbols_a_char", (("n_symbols", "word_chars", 0.0, 0.025),)),
+    Rule("repeated_lines", (("n_dup_lines", "n_lines", 0.0, 0.5),)),
+    Rule("repeated_words", (("n_repeat_words", "n_words", 0.0, 0.4),)),
+    Rule("capitals", (("n_upper", "n_letters", 0.0, 0.4),)),
+    Rule("exclamations", (("n_marks", "n_words", 0.0, 0.2),)),
+    Rule("closed_lines", (("n_closed", "n_lines", 0.2, INF),)),
+    Rule("words_a_line", (("n_words", "n_lines", 1.5, INF),)),
 )
 
 
@@ -100,20 +114,20 @@ class LabelModel:
         return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + votes @ np.log(a / (1 - a)))))
 
 
-def fit_label_model(votes: np.ndarray, n: np.ndarray, steps: int = 100, weight: float = 10.0) -> LabelModel:
+def fit_label_model(votes: np.ndarray, n: np.ndarray, steps: int = 100, weight: float = 20.0) -> LabelModel:
     """EM over distinct vote patterns and how many texts have each: at most 3 ** rules rows, whatever the corpus.
 
-    Starts from accuracy 0.8 for every rule; ``weight`` pseudo-votes hold it there while a rule has few votes of its own.
+    Starts from P(good) 0.8 and accuracy 0.85; ``weight`` pseudo-votes hold a rule there while it has few votes of its own.
     Accuracies stay within (0.55, 0.995): a rule is taken to be better than chance, so the classes can't swap.
     """
-    model = LabelModel(0.8, (0.8,) * votes.shape[1])
+    start = 0.85
+    model = LabelModel(0.8, (start,) * votes.shape[1])
     for _ in range(steps if n.sum() else 0):
         good = model.posterior(votes)
-        right = ((votes > 0) * good[:, None] + (votes < 0) * (1 - good[:, None])) * n[:, None]
-        cast = (votes != 0) * n[:, None]
-        accuracy = (right.sum(0) + 0.8 * weight) / (cast.sum(0) + weight)
+        right = (((votes > 0) * good[:, None] + (votes < 0) * (1 - good[:, None])) * n[:, None]).sum(0)
+        cast = ((votes != 0) * n[:, None]).sum(0)
         prior = ((good * n).sum() + 0.8 * weight) / (n.sum() + weight)
-        model = LabelModel(float(np.clip(prior, 0.01, 0.99)), tuple(np.clip(accuracy, 0.55, 0.995)))
+        model = LabelModel(float(np.clip(prior, 0.01, 0.99)), tuple(map(float, np.clip((right + start * weight) / (cast + weight), 0.55, 0.995))))
     return model
 
 
