@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewise.llm import mixing, quality
+from framewise.llm import minhash, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,3 +33,11 @@ ORACLES["op3_mix_sources"] = mixing.MIX_SQL.format(documents="documents")
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents(spark, sf_dir))
+
+
+@query
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), n=2)
+
+
+ORACLES["op8_minhash_near_dedup"] = minhash.NEAR_SQL.format(n=2, percent=80)
