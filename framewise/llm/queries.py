@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import minhash, mixing, pii, quality
+from framewise.llm import minhash, mixing, pieces, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +48,8 @@ ORACLES["op8_minhash_near_dedup"] = minhash.NEAR_SQL.format(n=2, percent=80)
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(documents(spark, sf_dir))
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_sizes(documents(spark, sf_dir))
