@@ -69,6 +69,10 @@ def map_batches(rows: DataFrame, fn: Callable[..., Sequence], columns: dict[str,
     return rows.mapInArrow(run, schema)
 
 
+def utf8(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if text is not None else b""
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash: every input bit reaches every output bit. Fixed multipliers of a public mixing function."""
     with np.errstate(over="ignore"):

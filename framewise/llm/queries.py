@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import chat, minhash, mixing, pieces, pii, quality, suffixes
+from framewise.llm import chat, fingerprints, minhash, mixing, pieces, pii, quality, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,3 +69,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_sizes(documents(spark, sf_dir))
+
+
+@query
+def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir))
