@@ -349,8 +349,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), (_fold(F.col(doc_id)) == 0).alias("held_out"), row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("text"))
     pieces = PieceModel.load(model)
     counts = stage(word_counts(rows.where("not held_out")), "words")
-    whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = whole.n or 0, whole.v
+    ends = F.coalesce(F.sum(F.when(F.col("h") == int(END_WORD.view(np.int64)), F.col("c"))), F.lit(0))
+    whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), ends.alias("ends")).first()
+    n, v, end = whole.n or 0, whole.v, whole.ends
     common = counts.orderBy(F.desc("c"), "h").limit(HELD).toArrow()
     known, times = common.column("h").to_numpy().view(np.uint64), common.column("c").to_numpy()
     order = np.argsort(known)
@@ -364,10 +365,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         tokens, found, base, model_score, rare, sizes = [], [], [], [], [], []
         for _, run in chunks(texts):
             w = find_words([t.lower() for t in run])
-            h = np.append(hash_words(w), END_WORD)
+            h = hash_words(w)
             at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
             c = np.where(known[at] == h, times[at], 0) if len(known) else np.zeros(len(h), np.int64)
-            end, c, h = c[-1], c[:-1], h[:-1]
             hit = c > 0
             size = np.diff(w.first)
             count = lambda x: np.bincount(w.owner, x, len(run))  # noqa: B023, E731

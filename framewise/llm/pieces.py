@@ -184,33 +184,50 @@ class PieceModel:
         cuts = [0, *(np.flatnonzero(np.cumsum(crossed)[1:-1] == 0) + 1), len(unit)]
         return [unit[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit; words of one length go through :meth:`viterbi` in one batch. Characters without a piece become bytes."""
-        parts = [self._cut(u) if len(u) > LONG else [u] for u in units]
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units one after another, number of ids of each); words of one length go through :meth:`viterbi` in one batch.
+        Characters without a piece become bytes."""
+        parts = [self._cut(u) if len(u) > LONG else (u,) for u in units]
         flat = [p for ps in parts for p in ps]
-        lengths = np.array([len(p) for p in flat])
-        done: list[np.ndarray] = [np.zeros(0, np.int32)] * len(flat)
-        for width in np.unique(lengths):
-            which = np.flatnonzero(lengths == width)
-            step = max(1, 400_000 // int(width))
-            for a in range(0, len(which), step):
-                some = which[a : a + step]
-                codes = np.frombuffer("".join(flat[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(some), width)
+        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        size, runs = np.zeros(len(flat), np.int64), []
+        order = np.argsort(lengths, kind="stable")
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(lengths[order])) + 1, [len(order)]])
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            width = int(lengths[order[lo]]) if hi > lo else 0
+            step = max(1, 400_000 // max(1, width))
+            for a in range(lo, hi, step):
+                some = order[a : min(hi, a + step)]
+                codes = np.frombuffer("".join([flat[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(some), width)
                 ids, counts = self.viterbi(codes)
-                for i, own in zip(some, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                    done[i] = own if own.min() >= 0 else self._bytes(own)
-        out, k = [], 0
-        for ps in parts:
-            out.append(done[k] if len(ps) == 1 else np.concatenate(done[k : k + len(ps)]))
-            k += len(ps)
-        return out
-
-    def _bytes(self, ids: np.ndarray) -> np.ndarray:
-        out: list[int] = []
-        for i in ids.tolist():
-            char = chr(-1 - i) if i < 0 else ""
-            out += [i] if i >= 0 else [self.byte_base + b for b in (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")]
-        return np.array(out, np.int32)
+                if ids.min() < 0:
+                    ids, counts = self._bytes(ids, counts)
+                size[some] = counts
+                runs.append((some, ids))
+        begin = np.cumsum(size) - size
+        out = np.zeros(size.sum(), np.int32)
+        for some, ids in runs:
+            n = size[some]
+            out[np.arange(len(ids)) + np.repeat(begin[some] - (np.cumsum(n) - n), n)] = ids
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        return out, np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])])
+
+    def _bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece (-1 - code point) become the ids of their bytes."""
+        made = {}
+        for i in np.unique(ids[ids < 0]).tolist():
+            char = chr(-1 - i)
+            made[i] = [self.byte_base + b for b in (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")]
+        wide = np.ones(len(ids), np.int64)
+        for i, own in made.items():
+            wide[ids == i] = len(own)
+        begin = np.cumsum(wide) - wide
+        out = np.repeat(ids, wide)
+        for i, own in made.items():
+            for k, byte in enumerate(own):
+                out[begin[ids == i] + k] = byte
+        word = np.repeat(np.arange(len(counts)), counts)
+        return out, np.bincount(word, wide, len(counts)).astype(np.int64)
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.texts.__getitem__, ids))
@@ -221,31 +238,41 @@ class Encoder:
     """Encodes batches of texts; every distinct unit is encoded once while it is held."""
 
     def __init__(self, model: PieceModel) -> None:
-        self.model, self.place, self.ids, self.count = model, {}, [], 0
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text); nulls count as empty."""
+        return self.encode_parts(texts)[:2]
+
+    def encode_parts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`encode`, and the number of ids of every unit: where words have one space between them, of every word."""
         if len(self.place) > HELD:
-            self.place, self.ids = {}, []
+            self._clear()
         cut = [self.model.units(t or "") for t in texts]
-        new = [u for u in dict.fromkeys(u for us in cut for u in us) if u not in self.place]
+        place, at, new = self.place, [], []
+        for us in cut:
+            for u in us:
+                k = place.get(u)
+                if k is None:
+                    k = place[u] = len(place)
+                    new.append(u)
+                at.append(k)
         if new:
-            for u in new:
-                self.place[u] = len(self.place)
-            self.ids.extend(self.model.encode_units(new))
-        get = self.place.__getitem__
-        at = np.fromiter((get(u) for us in cut for u in us), np.int64, sum(map(len, cut)))
-        kinds, inverse = np.unique(at, return_inverse=True)
-        held = [self.ids[k] for k in kinds]
-        size = np.fromiter(map(len, held), np.int64, len(held))
-        flat = np.concatenate(held) if held else np.zeros(0, np.int32)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        n = size[inverse] if len(at) else np.zeros(0, np.int64)
+            ids, size = self.model.encode_units(new)
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, ids])
+        at = np.array(at, np.int64)
+        n = self.size[at]
         stop = np.cumsum(n)
-        index = np.arange(stop[-1] if len(n) else 0) - np.repeat(stop - n, n) + np.repeat(begin[inverse], n) if len(n) else np.zeros(0, np.int64)
-        unit_end = np.concatenate([[0], np.cumsum([len(us) for us in cut])]).astype(np.int64)
-        total = np.concatenate([[0], stop])
-        return flat[index], np.diff(total[unit_end])
+        index = np.arange(stop[-1] if len(n) else 0) + np.repeat(self.begin[at] - (stop - n), n)
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))])
+        return self.flat[index], np.diff(np.concatenate([[0], stop])[ends]), n
 
 
 def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL, ids: str = "ids", check: str | None = None) -> DataFrame:
