@@ -20,8 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("to")), "follow")
-        for _ in range(2):
-            up = stage(up.join(up.select(F.col("u").alias("to"), F.col("to").alias("top")), "to").select("u", F.col("top").alias("to")), "follow")
+        step = up.select(F.col("u").alias("to"), F.col("to").alias("next"))
+        twice = up.join(step, "to").select("u", F.col("next").alias("to")).join(step, "to")
+        up = stage(twice.select("u", F.col("next").alias("to")), "follow")
         if root is None:
             root = up.select(F.col("u").alias("node"), F.col("to").alias("root"))
         else:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from framewise.llm.common import fresh, map_batches, mix64, row_key, stage
 from framewise.llm.graph import components
@@ -20,13 +21,13 @@ def permutations(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[bytes | None], n: int, perms: int, width: int) -> tuple:
-    """Per text: number of distinct shingles, two hashes of the whole set, and a key per band.
+    """Per text: number of distinct shingles, two hashes of the whole set, a key per band, and one byte of each value (a sketch).
 
     Under each permutation both the smallest and the largest value are kept: two samples for one evaluation, each agreeing with
     probability J, and their errors partly cancel. A band is ``width`` such values, in pairs of minimum and maximum.
     """
     mask, factor = permutations(perms)
-    sizes, one, two, bands = [], [], [], []
+    sizes, one, two, bands, sketches = [], [], [], [], []
     with np.errstate(over="ignore"):
         for _, run in chunks(texts):
             w = find_words([t.lower() for t in run])
@@ -58,11 +59,14 @@ def signatures(texts: list[bytes | None], n: int, perms: int, width: int) -> tup
             one.append(sums[0].view(np.int64))
             two.append(sums[1].view(np.int64))
             bands.append((own, keys.reshape(-1).view(np.int64)))
+            bytes_ = np.zeros((len(run), 2 * perms), np.uint8)
+            bytes_[full] = mix64(sig) >> np.uint64(56)
+            sketches += [x.tobytes() for x in bytes_]
     if not sizes:
-        return [], [], [], []
+        return [], [], [], [], []
     offsets = np.concatenate([[0], np.cumsum(np.concatenate([o for o, _ in bands]))]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([k for _, k in bands])))
-    return np.concatenate(sizes), np.concatenate(one), np.concatenate(two), lists
+    return np.concatenate(sizes), np.concatenate(one), np.concatenate(two), lists, sketches
 
 
 def shingle_set(text: bytes, n: int) -> set:
@@ -70,8 +74,21 @@ def shingle_set(text: bytes, n: int) -> set:
     return set(zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else {tuple(words)} if words else set()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose whole shingle sets overlap by ``percent`` or more. Spark splits a hub's rows where they are many."""
+def least_matches(percent: int, values: int) -> float:
+    """Sketch bytes that must agree: six standard errors below the bound, so that fewer than one link in 10**8 is passed over."""
+    j = percent / 100
+    return values * (j - 6 * (j * (1 - j) / values) ** 0.5)
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs ``u, v`` whose whole shingle sets overlap by ``percent`` or more. Sketches pass over pairs far below the bound
+    before any text is moved; Spark splits the rows of a hub where they are many."""
+
+    def close(a: list[bytes], b: list[bytes]) -> tuple:
+        if not a:
+            return [],
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(a), -1) for s in (a, b))
+        return (x == y).sum(1) >= least_matches(percent, x.shape[1]),
 
     def linked(a: list[bytes], b: list[bytes]) -> tuple:
         out, last, held = [], None, set()
@@ -83,62 +100,141 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
             out.append(100 * both >= percent * (len(held) + len(other) - both))
         return out,
 
-    member = pairs.join(texts.select(F.col("c").alias("v"), F.col("text").alias("b")), "v")
+    sketch = pairs.join(classes.select(F.col("c").alias("v"), F.col("sketch").alias("b")), "v").join(classes.select(F.col("c").alias("u"), F.col("sketch").alias("a")), "u")
+    hopeful = stage(map_batches(sketch.select("u", "v", "a", "b"), close, {"close": "boolean"}, reads=("a", "b")).where("close").select("u", "v"), "hopeful")
+    member = hopeful.join(texts.select(F.col("c").alias("v"), F.col("text").alias("b")), "v")
     rows = member.join(texts.select(F.col("c").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "a", "b")
     return map_batches(rows, linked, {"linked": "boolean"}, reads=("a", "b")).where("linked").select("u", "v")
 
 
+#: Classes of a bucket that are compared in one go; a larger bucket is cut into blocks, and blocks meet two at a time.
+BLOCK = 512
+
+
+def sorted_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending."""
+    out: list[np.ndarray] = []
+    for _, run in chunks(texts):
+        w = find_words([t.lower() for t in run])
+        s, begin = hash_shingles(hash_words(w), w.first, n)
+        out += [np.unique(s[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    return out
+
+
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of a sorted set with each of the others."""
+    flat = np.concatenate(others)
+    inside = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    return np.add.reduceat(inside.astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _across(n: int, percent: int, width: int):
+    """Reads rows sorted by (band, i, j): blocks i and j of one bucket. Gives the links between classes of different components.
+
+    A pair that shares several bands is taken in the first of them only, by the sketch. Sizes and sketches pass over pairs that
+    can't reach the bound; the others are compared by their whole sets. Classes that a link has joined are not compared again.
+    """
+
+    def links(block: np.ndarray, i: int, j: int, slot: int, c: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int]]:
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        need, root, held = least_matches(percent, sketch.shape[1]), root.copy(), {}
+        slots = sketch.reshape(len(sketch), -1, width)
+        for a in range(0, len(left), 64):
+            p = left[a : a + 64]
+            fit = (root[p][:, None] != root[right]) & (100 * np.minimum(size[p][:, None], size[right]) >= percent * np.maximum(size[p][:, None], size[right]))
+            if i == j:
+                fit &= p[:, None] < right
+            x, y = np.nonzero(fit)
+            q, r = p[x], right[y]
+            keep = np.concatenate([(sketch[q[k : k + 65536]] == sketch[r[k : k + 65536]]).sum(1) >= need for k in range(0, len(q), 65536)] or [np.zeros(0, bool)])
+            q, r = q[keep], r[keep]
+            q, r = (z[(slots[q] == slots[r]).all(2).argmax(1) == slot] for z in (q, r)) if len(q) else (q, r)
+            new = [k for k in np.unique(np.concatenate([q, r])).tolist() if k not in held]
+            held.update(zip(new, sorted_sets([texts[k] for k in new], n), strict=True))
+            for one in np.unique(q):
+                other = r[(q == one)]
+                other = other[root[other] != root[one]]
+                if len(other):
+                    both = overlaps(held[one], [held[k] for k in other.tolist()])
+                    for k in other[100 * both >= percent * (size[one] + size[other] - both)]:
+                        if root[k] != root[one]:
+                            root[root == root[k]] = root[one]
+                            yield min(c[one], c[k]), max(c[one], c[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now: tuple = ()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            found = list(links(t.column("block").to_numpy(), now[1], now[2], t.column("slot")[0].as_py(), *(t.column(x).to_numpy() for x in ("c", "n", "root")), sketch, t.column("text").to_pylist()))
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            band, i, j = (b.column(x).to_numpy() for x in ("band", "i", "j"))
+            cut = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for s, e in zip([0, *cut], [*cut, b.num_rows], strict=True):
+                group = (band[s], i[s], j[s])
+                if held and group != now:
+                    yield from flush()
+                    held = []
+                now = group
+                held.append(b.slice(s, e - s))
+        if held:
+            yield from flush()
+
+    return run
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, perms: int = 64, width: int = 4) -> DataFrame:
-    """``doc_id, key, n_shingles, c, component_id``, a row per row of ``docs``; ``c`` names its set of shingles, null if empty.
+    """``doc_id, key, n_shingles, c, component_id``, a row per row of ``docs``; ``c`` names its component, null if its set is empty.
 
     Texts with the same set form a class, and one text stands for it from here on. Classes that share a band meet in its bucket.
-    In the first round each bucket compares its smallest class with the others. From then on only buckets that hold several
-    components go on, with their next 1, 2, 4, ... smallest classes, against the classes of other components that have not been
-    compared with them; sizes that can't reach the bound are passed over. It ends when every bucket is one component or
-    all its pairs are compared, so no link of a bucket that could change a component is lost, without all pairs of a group of copies.
+    First each bucket compares one class with the others, the one that meets most classes in all its buckets, as the text that
+    the others were copied from does: stars, which join nearly every group of copies. Then only
+    buckets that still hold several components go on. Their classes are compared, in blocks, with classes of other components
+    whose size and sketch allow the bound, on whole sets. So all links of a bucket that could change a component are found, while
+    no pair but a link leaves its task.
     """
     raw = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("text"))
-    made = map_batches(raw, lambda t: signatures(t, n, perms, width), {"n_shingles": "long", "one": "long", "two": "long", "bands": "array<long>"})
+    made = map_batches(raw, lambda t: signatures(t, n, perms, width), {"n_shingles": "long", "one": "long", "two": "long", "bands": "array<long>", "sketch": "binary"})
     marks = stage(made.withColumn("c", F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "one", "two"))).drop("one", "two"), "marks")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n_shingles", "bands"))
-    classes = stage(marks.where("c is not null").groupBy("c").agg(first.alias("m")).select("c", "m.doc_id", "m.key", F.col("m.n_shingles").alias("n"), "m.bands"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n_shingles", "bands", "sketch"))
+    classes = stage(marks.where("c is not null").groupBy("c").agg(first.alias("m")).select("c", "m.doc_id", "m.key", F.col("m.n_shingles").alias("n"), "m.bands", "m.sketch"), "classes")
 
-    bands = classes.select("c", "n", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    buckets = stage(bands.join(shared.select("band", "hub"), "band"), "buckets")
-    size = classes.select("c", "n")
+    bands = classes.select("c", "n", F.posexplode("bands").alias("slot", "band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = stage(bands.join(shared, "band"), "members")
+    known = members.join(members.groupBy("c").agg(F.sum("m").alias("met")), "c")
+    hub = known.groupBy("band").agg(F.max(F.struct("met", "c")).alias("hub")).select("band", F.col("hub.c").alias("hub"))
+    buckets = stage(members.join(hub, "band"), "buckets")
     wanted = buckets.select("c").distinct().join(classes.select("c", "key"), "c")
     whole = docs.select(row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("text"))
     texts = stage(whole.join(wanted, "key").groupBy("c").agg(F.first("text").alias("text")), "texts")
 
-    def near(a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    hubs = size.select(F.col("c").alias("hub"), F.col("n").alias("hub_n"))
-    pairs = buckets.where("c <> hub").select(F.col("hub"), "c", "n").distinct().join(hubs, "hub").where(near("n", "hub_n"))
-    tested = stage(pairs.select(F.col("hub").alias("u"), F.col("c").alias("v")), "pairs")
-    links = stage(_confirmed(tested, texts, n, percent), "links")
+    hubs = classes.select(F.col("c").alias("hub"), F.col("n").alias("hub_n"))
+    pairs = buckets.where("c <> hub").select("hub", "c", "n").distinct().join(hubs, "hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+    stars = stage(pairs.select(F.least("hub", "c").alias("u"), F.greatest("hub", "c").alias("v")).distinct(), "stars")
+    links = stage(_confirmed(stars, classes, texts, n, percent), "links")
     root = components(links)
-    begun, upto = 1, 2
-    while True:
-        placed = buckets.select("band", "c", "n").join(root.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where(f"low < high and m > {begun}")
-        open_ = stage(placed.join(mixed.select("band"), "band"), "open")
-        if open_.isEmpty():
-            break
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("c"))
-        heads = open_.withColumn("rank", rank).where(f"rank <= {upto}").where(f"rank > {begun}")
-        heads = heads.select("band", F.col("c").alias("u"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-        new = open_.join(heads, "band").where((F.col("c") > F.col("u")) & (F.col("root") != F.col("hub_root")) & near("n", "hub_n"))
-        new = stage(new.select("u", F.col("c").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        begun, upto = upto, 2 * upto
-        if new.isEmpty():
-            continue
-        tested = stage(tested.unionByName(new), "tested")
-        found = stage(_confirmed(new, texts, n, percent), "links")
-        if not found.isEmpty():
-            links = stage(links.unionByName(found), "links")
-            root = components(links)
+
+    placed = buckets.join(root.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = (placed.where("m > 2").join(mixed.select("band"), "band").withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "slot", "c", "n", "root")
+            .join(classes.select("c", "sketch"), "c").join(texts, "c"))
+    found = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across(n, percent, width), "u long, v long")
+    new = stage(found, "links")
+    if not new.isEmpty():
+        root = components(links.unionByName(new))
     named = classes.select("c", "doc_id").join(root.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     where = named.join(least, "root").select("c", "root", "component_id")
