@@ -1,8 +1,7 @@
 """Shot boundaries with a minimum distance to the last accepted one.
 
 Whether a candidate is accepted depends on the last accepted one, so a video is
-a chain.  Bounded videos fold the chain in one expression.  For videos of any
-length the chain is cut into pieces: every piece tabulates, for each candidate
+a chain.  The chain is cut into pieces: every piece tabulates, for each candidate
 that could be its first accepted one, which acceptance the piece ends with; the
 tables (one row per piece) are folded per video; then all pieces replay their
 chain in parallel from the known state.
@@ -29,27 +28,10 @@ def detect_boundaries(scored: DataFrame, keys: Sequence[str], threshold: float,
     cand = scored.where(first | (F.col(score) >= threshold)).select(
         *keys, F.col(ordinal).cast("bigint").alias("o"), F.col(time).cast("double").alias("t"),
         F.when(first, F.lit(1.0)).otherwise(F.col(score)).alias("s"))
-    if scale.is_small(scored):
-        found = _folded(cand, keys, min_gap)
-    else:
-        found = _pieced(cand, keys, min_gap, span)
+    found = _pieced(cand, keys, min_gap, span)
     return found.select(*keys, F.col("o").alias(ordinal), F.col("t").alias(time), F.col("s").alias("score"))
 
 
-def _folded(cand: DataFrame, keys: list[str], min_gap: float) -> DataFrame:
-    kind = "array<struct<o:bigint,t:double,s:double>>"
-    chain = F.array_sort(F.collect_list(F.struct("o", "t", "s")))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(kind).alias("kept"))
-
-    def step(acc, c):
-        take = acc["last"].isNull() | (c["t"] - acc["last"] >= min_gap)
-        return F.struct(F.when(take, c["t"]).otherwise(acc["last"]).alias("last"),
-                        F.when(take, F.array_append(acc["kept"], c)).otherwise(acc["kept"]).alias("kept"))
-
-    return (cand.groupBy(*keys).agg(chain.alias("c"))
-            .select(*keys, F.inline(F.aggregate("c", start, step, lambda a: a["kept"]))))
-
-
 def _pieced(cand: DataFrame, keys: list[str], min_gap: float, span: int) -> DataFrame:
     key_fields = [cand.schema[k] for k in keys]
     pieces = cand.withColumn("piece", F.floor(F.col("o") / span))

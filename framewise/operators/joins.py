@@ -98,16 +98,17 @@ def drop_over_shoulder(people: DataFrame, keys: Sequence[str], side: str, frame_
     return marked.join(left_over, keys).where("NOT __front OR __rest = 0").drop("__h", "__front", "__rest")
 
 
-def prefix_match_join(sources: DataFrame, results: DataFrame, key: str, name: str, result_name: str, order: str,
-                      prefix: int = 1) -> DataFrame:
+def prefix_match_join(sources: DataFrame, results: DataFrame, key: str, name: str, result_name: str, order: str) -> DataFrame:
     """First result whose name starts with the source name (case-sensitive), within the same mesh.
 
-    Equal result names are reduced to their first row before the join.
+    Equal result names are reduced to their first row, and each gives its beginnings of the lengths that source names of its
+    mesh have; these meet the whole source names in an equi-join, so only true matches become rows.
     """
-    head = lambda c: F.substring(c, 1, prefix)
     few = results.groupBy(key, result_name).agg(F.min(order).alias(order))
-    j = sources.select(key, name).distinct().withColumn("__p", head(name)).join(
-        few.withColumn("__p", head(result_name)), [key, "__p"]).where(F.col(result_name).startswith(F.col(name)))
+    wanted = sources.select(key, name).distinct()
+    sizes = wanted.select(key, F.length(name).alias("__n")).distinct()
+    heads = few.join(sizes, key).where(F.length(result_name) >= F.col("__n")).withColumn(name, F.expr(f"left(`{result_name}`, __n)"))
+    j = wanted.join(heads, [key, name])
     return j.groupBy(key, name).agg(F.min_by(result_name, order).alias(result_name), F.min(order).alias(order))
 
 

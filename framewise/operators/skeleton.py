@@ -15,7 +15,6 @@ from framewise.functions import vectors as V
 from framewise.operators import kernels as N
 from framewise.scale import bind
 
-MAX_DEPTH = 64
 POSE = ["x", "y", "z", "qx", "qy", "qz", "qw"]
 
 
@@ -24,8 +23,8 @@ def mesh_rows(bones: DataFrame, fields: list[str]) -> DataFrame:
     return bones.groupBy("mesh").agg(F.array_sort(F.collect_list(F.struct("bone_idx", "parent_idx", *fields))).alias("b"))
 
 
-def ancestors(bones: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
-    """(mesh, bone_idx, path): ancestors of every bone, nearest first."""
+def ancestors(bones: DataFrame, limit: int | None = None) -> DataFrame:
+    """(mesh, bone_idx, path): ancestors of every bone, nearest first, at most ``limit`` of them if it is given."""
     m = mesh_rows(bones, []).withColumn("p", F.transform("b", lambda s: s["parent_idx"]))
     one = m.select("mesh", "p", F.explode(F.transform("b", lambda s: s["bone_idx"])).alias("bone_idx"))
     start = F.struct(F.col("bone_idx").cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("path"))
@@ -35,11 +34,11 @@ def ancestors(bones: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
         return F.when(s["at"].isNull() | up.isNull(), F.struct(F.lit(None).cast("bigint").alias("at"), s["path"].alias("path"))).otherwise(
             F.struct(up.alias("at"), F.array_append(s["path"], up).alias("path")))
 
-    steps = F.sequence(F.lit(1), F.least(F.lit(limit), F.size("p")))
+    steps = F.sequence(F.lit(1), F.size("p") if limit is None else F.least(F.lit(limit), F.size("p")))
     return one.select("mesh", "bone_idx", F.aggregate(steps, start, climb, lambda s: s["path"]).alias("path"))
 
 
-def closure(bones: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
+def closure(bones: DataFrame, limit: int | None = None) -> DataFrame:
     """(mesh, bone_idx, ancestor, distance) for all ancestor pairs."""
     return ancestors(bones, limit).select("mesh", "bone_idx", F.posexplode("path").alias("d", "ancestor")).select(
         "mesh", "bone_idx", "ancestor", (F.col("d") + 1).cast("bigint").alias("distance"))

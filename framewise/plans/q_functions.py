@@ -300,12 +300,12 @@ PHRASE = {"signup": "Wide establishing shot", "view": "full body at eye-level",
 # ASCII part of the split rule: RE2 has no lookahead, and the phrases hold no Hangul.
 SQL_SPLIT = r"(?i)->|→|⇒|,|，|;|\bthen\b|\bfinally\b|\bafter\s+that\b"
 SQL_PROMPTS = B.EV + f""", pr AS (SELECT reel, string_agg({sql_case('event_type', {k: repr(v) for k, v in PHRASE.items()})}, ' then ' ORDER BY i) AS prompt
- FROM ev WHERE i <= 3 GROUP BY reel)"""
+ FROM ev GROUP BY reel)"""
 
 
 def prompts(spark, sf):
-    """One written request per reel, from its first three events."""
-    ev = B.event_series(spark, sf).where(F.col("i") <= 3)
+    """One written request per reel, from all its events in order."""
+    ev = B.event_series(spark, sf)
     said = ev.select("reel", "i", B.literal_map(PHRASE)[F.col("event_type")].alias("p"))
     return said.groupBy("reel").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]), " then ").alias("prompt"))
@@ -379,9 +379,9 @@ def _(spark, sf):
     return ev.select("event_id", *[v.alias(n) for n, v in T.parse_section(F.expr(CLOCK)).items()])
 
 
-@query("e22_safe_title", r"""SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(left(text, 90), '[^\p{L}\p{N}_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 60), ''), 'LinkReference') AS title FROM documents""")
+@query("e22_safe_title", r"""SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 60), ''), 'LinkReference') AS title FROM documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.safe_title(F.substring("text", 1, 90)).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", T.safe_title(F.col("text")).alias("title"))
 
 
 @query("e23_fingerprint", """SELECT o_orderkey, md5(concat_ws('|', '/lib/' || o_orderkey || '.mp4', o_custkey, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate), 'sig-1')) AS fingerprint FROM orders""")

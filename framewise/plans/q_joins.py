@@ -91,7 +91,7 @@ def _(spark, sf):
 SELECT s.p_brand, s.src, arg_min(p.p_name, p.p_partkey) AS p_name, min(p.p_partkey) AS p_partkey FROM s JOIN part p ON p.p_brand = s.p_brand AND starts_with(p.p_name, s.src) GROUP BY ALL""")
 def _(spark, sf):
     p = table(spark, sf, "part")
-    return J.prefix_match_join(p.select("p_brand", F.substring_index("p_name", " ", 1).alias("src")), p, "p_brand", "src", "p_name", "p_partkey", 3)
+    return J.prefix_match_join(p.select("p_brand", F.substring_index("p_name", " ", 1).alias("src")), p, "p_brand", "src", "p_name", "p_partkey")
 
 
 @query("j10_skeleton_partition_join", """WITH m AS (SELECT s_nationkey AS skeleton, coalesce(min(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END), min(s_suppkey)) AS mesh FROM supplier WHERE s_nationkey <> 4 GROUP BY 1),

@@ -135,16 +135,14 @@ def _(spark, sf):
 DAY = "floor(t / 86400)"
 
 
-@query("a2_estimate_fusion", f"""WITH {B.EV}, e AS (SELECT reel, floor(t / 86400)::BIGINT AS day, event_type = 'click' AS vert, ln(1 + value) / 2 AS l, 1.0 / ((0.1 + k / 100.0) * (0.1 + k / 100.0)) AS w FROM ev QUALIFY row_number() OVER (PARTITION BY reel, floor(t / 86400), event_type ORDER BY i) = 1),
+@query("a2_estimate_fusion", f"""WITH {B.EV}, e AS (SELECT reel, floor(t / 86400)::BIGINT AS day, event_type = 'click' AS vert, ln(1 + value) / 2 AS l, 1.0 / ((0.1 + k / 100.0) * (0.1 + k / 100.0)) AS w FROM ev),
 v AS (SELECT *, max(CASE WHEN vert THEN l END) OVER (PARTITION BY reel, day) AS vl FROM e), u AS (SELECT * FROM v WHERE vert OR vl IS NULL OR l >= vl - 0.35), c AS (SELECT *, median(l) OVER (PARTITION BY reel, day) AS med FROM u),
 k AS (SELECT *, abs(l - med) <= 0.3 AS near, max(CASE WHEN abs(l - med) <= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY reel, day) AS any_near FROM c)
 SELECT reel, day, round(exp(sum(w * l) / sum(w)), 6) AS height, count(*)::INT AS n_kept FROM k WHERE near OR any_near = 0 GROUP BY ALL""")
 def _(spark, sf):
-    from pyspark.sql import Window
     ev = B.event_series(spark, sf).withColumn("day", F.floor(F.col("t") / 86400))
-    w = Window.partitionBy("reel", "day", "event_type").orderBy("i")
     sigma = 0.1 + F.col("k") / 100.0
-    e = ev.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(
+    e = ev.select(
         "reel", "day", F.when(F.col("event_type") == "click", "vertical").otherwise(F.col("event_type")).alias("kind"),
         (F.log1p("value") / 2).alias("log_h"), (1.0 / (sigma * sigma)).alias("weight"))
     return M.estimate_fusion(e, ["reel", "day"]).withColumn("height", r6(F.col("height")))

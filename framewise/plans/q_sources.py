@@ -21,11 +21,11 @@ def _(spark, sf):
     return ST.media_listing(files)
 
 
-PATTERNS = {f"src{i}": [f"src{i}_2[0-9]*$", f"src{i}_old_.*"] for i in range(20)}
+PATTERNS = ["{dataset}_2[0-9]*$", "{dataset}_old_.*"]
 
 
 @query("s4_latest_dataset", """WITH f AS (SELECT source AS dataset, source || CASE WHEN doc_id % 2 = 0 AND source <> 'src4' THEN '_2' || (doc_id % 1000) WHEN doc_id % 3 = 0 THEN '_old_' || doc_id ELSE '_x' || doc_id END AS path FROM documents),
-g AS (SELECT dataset, path, CASE WHEN regexp_matches(path, '^src[0-9]+_2[0-9]*$') THEN 0 WHEN contains(path, '_old_') THEN 1 END AS rk FROM f) SELECT dataset, path FROM g WHERE rk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY rk, path DESC) = 1""")
+g AS (SELECT dataset, path, CASE WHEN regexp_matches(substr(path, len(dataset) + 1), '^_2[0-9]*$') THEN 0 WHEN contains(path, '_old_') THEN 1 END AS rk FROM f) SELECT dataset, path FROM g WHERE rk IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY rk, path DESC) = 1""")
 def _(spark, sf):
     d = table(spark, sf, "documents")
     k = F.col("doc_id")

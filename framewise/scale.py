@@ -1,37 +1,20 @@
 """Skew-safe building blocks shared by the operators.
 
-Every helper has two physical forms.  When Catalyst's own size estimate says
-that all scanned inputs together are small, one window (or one exact
-aggregate) per key is the cheapest plan.  Beyond that size a key may hold a
-large share of all rows, so the work of one key is cut into blocks, each block
-is reduced on its own, and only the block summaries meet per key.  Both forms
-return the same rows.
+A key may hold a large share of all rows.  The work of one key is therefore cut
+into blocks, each block is reduced on its own, and only the block summaries meet
+per key.  There is one physical form, whatever the input size: adaptive
+execution coalesces the blocks of small inputs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_INPUT_CONF = "spark.framewise.smallInputBytes"
-SMALL_INPUT_DEFAULT = 512 * 1024 * 1024
 SPAN = 65536
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Sum of Catalyst's size estimates of all leaf relations (no job is run, nothing is optimized)."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def small_input_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_DEFAULT)))
-
-
-def is_small(df: DataFrame) -> bool:
-    return input_bytes(df) <= small_input_limit(df.sparkSession)
+BUCKETS = 1024
 
 
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
@@ -50,9 +33,9 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
 
     ``block`` is an expression that never decreases along ``order``; it cuts a
     large key into pieces that are numbered apart and shifted by the row
-    counts of the earlier pieces.
+    counts of the earlier pieces.  Without it a key must be bounded.
     """
-    if block is None or is_small(df):
+    if block is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     cut = df.withColumn("__block", block)
@@ -74,9 +57,6 @@ def previous(df: DataFrame, keys: Sequence[str], ordinal_col: str, columns: Mapp
     ordinals and the last row of a piece is also sent to the next piece.
     """
     piece = F.floor(F.col(ordinal_col) / span)
-    if is_small(df):
-        w = Window.partitionBy(*keys).orderBy(ordinal_col)
-        return df.withColumns({new: F.lag(old).over(w) for new, old in columns.items()})
     edge = (F.col(ordinal_col) % span) == span - 1
     spread = df.withColumn("__piece", F.explode(
         F.when(edge, F.array(piece, piece + 1)).otherwise(F.array(piece))))
@@ -89,9 +69,6 @@ def running_sum(df: DataFrame, keys: Sequence[str], ordinal_col: str, sums: Mapp
                 inclusive: bool = True, span: int = SPAN) -> DataFrame:
     """Running totals along an ordinal; large keys add up piece totals first."""
     last = 0 if inclusive else -1
-    if is_small(df):
-        w = Window.partitionBy(*keys).orderBy(ordinal_col).rowsBetween(Window.unboundedPreceding, last)
-        return df.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()})
     cut = df.withColumn("__piece", F.floor(F.col(ordinal_col) / span))
     totals = cut.groupBy(*keys, "__piece").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,54 +85,63 @@ def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str
               accuracy: int = 10000) -> DataFrame:
     """Exact linear-interpolated quantiles per key, one row per key.
 
-    ``wanted`` maps an output name to (column, probability).  The small form is
-    Spark's exact ``percentile``, whose state holds every distinct value of a
-    group.  The large form brackets the rank with ``percentile_approx`` (rank
-    error at most 1/accuracy), counts the rows below the bracket and ranks only
-    the few distinct values inside it, so no task ever holds a whole group.
+    ``wanted`` maps an output name to (column, probability); all of them go
+    through the same passes, stacked as (name, value).  ``percentile_approx``
+    brackets the rank (error at most 1/accuracy) and the rows below the bracket
+    are counted.  The distinct values inside are counted by value, the bracket is
+    cut into BUCKETS equal parts, and only the values of the parts that hold the
+    rank are put in order, so no task ever holds a whole group.
     """
-    if is_small(df):
-        return df.groupBy(*keys).agg(*[F.percentile(F.col(c), F.lit(p)).alias(n) for n, (c, p) in wanted.items()])
-    keyed = df.withColumn("__all", F.lit(1)) if not keys else df
     group = list(keys) or ["__all"]
-    out = None
-    for name, (column, p) in wanted.items():
-        one = _bracketed_quantile(keyed.select(*group, F.col(column).cast("double").alias("__x")),
-                                  group, name, p, accuracy)
-        out = one if out is None else out.join(one, group, "left")
-    return out if keys else out.drop("__all")
+    keyed = df if keys else df.withColumn("__all", F.lit(1))
+    probabilities = sorted({p for _, p in wanted.values()})
+    stacked = keyed.select(*group, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("x"), F.lit(float(p)).alias("p"))
+        for n, (c, p) in wanted.items()])).alias("__q"))
+    rows = stacked.select(*group, F.col("__q.name").alias("__name"), F.col("__q.x").alias("__x"), F.col("__q.p").alias("__p"))
+    per = [*group, "__name"]
 
-
-def _bracketed_quantile(df: DataFrame, group: list[str], name: str, p: float, accuracy: int) -> DataFrame:
     # half widths of the bracket; a group takes the narrowest one that spans at least three ranks on each side
     slacks = [2.0 / accuracy]
     while slacks[-1] < 1.0:
         slacks.append(min(1.0, slacks[-1] * 10))
-    ends = [e for s in slacks for e in (max(0.0, p - s), min(1.0, p + s))]
-    bracket = df.groupBy(*group).agg(
-        F.count("__x").alias("__n"),
-        F.percentile_approx("__x", ends, accuracy).alias("__b"))
-    at = F.lit(len(slacks) - 1)
+    ends = [e for p in probabilities for s in slacks for e in (max(0.0, p - s), min(1.0, p + s))]
+    bracket = rows.groupBy(*per).agg(F.count("__x").alias("__n"), F.max("__p").alias("__p"),
+                                     F.percentile_approx("__x", ends, accuracy).alias("__b"))
+    width = F.lit(len(slacks) - 1)
     for i in range(len(slacks) - 2, -1, -1):
-        at = F.when(F.col("__n") * slacks[i] >= 3, i).otherwise(at)
-    bracket = bracket.withColumn("__b", F.slice("__b", at * 2 + 1, F.lit(2)))
-    rows = df.where(F.col("__x").isNotNull()).join(bracket, group)
-    lo, hi, x = F.col("__b")[0], F.col("__b")[1], F.col("__x")
-    # distinct values inside the bracket, plus one pseudo value carrying the rows below it
-    counted = (rows.where(x <= hi)
-               .groupBy(*group, F.when(x >= lo, x).alias("__v"))
-               .agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n")))
-    w = Window.partitionBy(*group).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("__e", F.sum("__c").over(w)).withColumn("__s", F.col("__e") - F.col("__c"))
-    rank = F.lit(p) * (F.col("__n") - 1)
-    k0, k1 = F.floor(rank), F.ceil(rank)
-
-    def at(k: Column) -> Column:
-        return F.max(F.when((F.col("__s") <= k) & (k < F.col("__e")), F.col("__v")))
-
-    found = ranked.groupBy(*group).agg(at(k0).alias("__v0"), at(k1).alias("__v1"), F.first("__n").alias("__n"))
-    frac = rank - F.floor(rank)
-    value = (F.when(F.col("__v0").isNull() | F.col("__v1").isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-             .when(frac == 0, F.col("__v0")).otherwise(F.col("__v0") * (1 - frac) + F.col("__v1") * frac))
-    answers = found.select(*group, value.alias(name))
-    return bracket.select(*group).join(answers, group, "left")
+        width = F.when(F.col("__n") * slacks[i] >= 3, i).otherwise(width)
+    which = F.lit(0)
+    for i, p in enumerate(probabilities):
+        which = F.when(F.col("__p") == p, i).otherwise(which)
+    start = ((which * len(slacks) + width) * 2).cast("int")
+    rank = F.col("__p") * (F.col("__n") - 1)
+    bracket = bracket.select(*per, "__n", F.get("__b", start).alias("__lo"), F.get("__b", start + 1).alias("__hi"),
+                             F.floor(rank).alias("__k0"), F.ceil(rank).alias("__k1"), (rank - F.floor(rank)).alias("__frac"))
+    x = F.col("__x")
+    # values inside the bracket by part, and one part -1 that counts the rows below
+    part = F.when(x < F.col("__lo"), -1).when(F.col("__hi") > F.col("__lo"), F.floor(
+        (x - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * BUCKETS)).otherwise(0)
+    counted = (rows.drop("__p").where(x.isNotNull()).join(bracket, per).where(x <= F.col("__hi"))
+               .groupBy(*per, part.alias("__part"), F.when(x >= F.col("__lo"), x).alias("__v"))
+               .agg(F.count(F.lit(1)).alias("__c"), F.first("__k0").alias("__k0"), F.first("__k1").alias("__k1")))
+    parts = counted.groupBy(*per, "__part").agg(F.sum("__c").alias("__c"), F.first("__k0").alias("__k0"), F.first("__k1").alias("__k1"))
+    along = Window.partitionBy(*per).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    reached = parts.withColumn("__end", F.sum("__c").over(along)).withColumn("__base", F.col("__end") - F.col("__c"))
+    holds = ((F.col("__base") <= F.col("__k0")) & (F.col("__k0") < F.col("__end"))) | (
+        (F.col("__base") <= F.col("__k1")) & (F.col("__k1") < F.col("__end")))
+    inside = counted.join(reached.where(holds).select(*per, "__part", "__base"), [*per, "__part"])
+    order = Window.partitionBy(*per, "__part").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("__e", F.col("__base") + F.sum("__c").over(order)).withColumn("__s", F.col("__e") - F.col("__c"))
+
+    def at(k: str) -> Column:
+        return F.max(F.when((F.col("__s") <= F.col(k)) & (F.col(k) < F.col("__e")), F.col("__v")))
+
+    found = ranked.groupBy(*per).agg(at("__k0").alias("__v0"), at("__k1").alias("__v1"))
+    v0, v1, frac = F.col("__v0"), F.col("__v1"), F.col("__frac")
+    missed = (F.col("__n") > 0) & (v0.isNull() | v1.isNull())
+    value = (F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+             .when(frac == 0, v0).otherwise(v0 * (1 - frac) + v1 * frac))
+    solved = bracket.join(found, per, "left").select(*per, value.alias("__value"))
+    out = solved.groupBy(*group).agg(*[F.max(F.when(F.col("__name") == n, F.col("__value"))).alias(n) for n in wanted])
+    return out if keys else out.drop("__all")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Video extensions.
-VIDEO_EXTENSIONS = ["mp4", "mov", "mkv", "avi", "webm", "m4v"]
+VIDEO_EXTENSIONS = ["mp4", "mov", "mkv", "webm", "avi", "m4v"]
 INDEX_FOLDER = ".framewise"
 INDEX_VERSION = 1
 
@@ -27,12 +28,17 @@ def scan_media(spark: SparkSession, library: str) -> DataFrame:
     return media_listing(files)
 
 
-def latest_dataset(folders: DataFrame, patterns: dict[str, list[str]], dataset: str = "dataset", path: str = "path") -> DataFrame:
-    """Newest folder of each dataset: the first pattern with any match, then the last name in order."""
+def latest_dataset(folders: DataFrame, patterns: Sequence[str], dataset: str = "dataset", path: str = "path") -> DataFrame:
+    """Newest folder of each dataset: the first pattern with any match, then the last name in order.
+
+    ``{dataset}`` in a pattern stands for the literal name of the row's dataset.
+    """
     rank = F.lit(None).cast("int")
-    for name, options in patterns.items():
-        for i, pattern in reversed(list(enumerate(options))):
-            rank = F.when((F.col(dataset) == name) & F.col(path).rlike(pattern), i).otherwise(rank)
+    quoted = F.concat(F.lit("\\Q"), F.col(dataset), F.lit("\\E"))
+    for i, pattern in reversed(list(enumerate(patterns))):
+        parts = pattern.split("{dataset}")
+        said = F.concat(*[x for k, p in enumerate(parts) for x in ([quoted] if k else []) + [F.lit(p)]])
+        rank = F.when(F.regexp_like(path, said), i).otherwise(rank)
     best = folders.withColumn("__r", rank).where("__r IS NOT NULL").groupBy(dataset, "__r").agg(F.max(path).alias(path))
     return best.groupBy(dataset).agg(F.min_by(path, "__r").alias(path))
 

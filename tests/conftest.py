@@ -14,12 +14,3 @@ def spark():
     session = local_session("tests", "4")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     return session
-
-
-@pytest.fixture(params=["small", "large"])
-def both_forms(request, spark):
-    """Run a test on the plain plans and on the blocked plans."""
-    if request.param == "large":
-        spark.conf.set("spark.framewise.smallInputBytes", "0")
-    yield request.param
-    spark.conf.unset("spark.framewise.smallInputBytes")

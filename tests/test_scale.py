@@ -12,7 +12,7 @@ def hot_rows(n=400, seed=1):
     return pd.DataFrame({"k": key, "id": np.arange(n), "v": rng.integers(0, 50, n) / 4.0})
 
 
-def test_ordinal_blocks(spark, both_forms):
+def test_ordinal_blocks(spark):
     pdf = hot_rows()
     df = spark.createDataFrame(pdf)
     out = scale.ordinal(df, ["k"], ["id"], "o", block=F.floor(F.col("id") / 16)).toPandas().sort_values("id")
@@ -20,7 +20,7 @@ def test_ordinal_blocks(spark, both_forms):
     assert out["o"].tolist() == want.tolist()
 
 
-def test_previous_and_running_sum_over_pieces(spark, both_forms):
+def test_previous_and_running_sum_over_pieces(spark):
     pdf = hot_rows()
     pdf["o"] = pdf.groupby("k").cumcount()
     df = spark.createDataFrame(pdf)
@@ -34,7 +34,7 @@ def test_previous_and_running_sum_over_pieces(spark, both_forms):
     assert np.allclose(before["s"], pdf.groupby("k")["v"].cumsum() - pdf["v"])
 
 
-def test_quantiles_are_exact(spark, both_forms):
+def test_quantiles_are_exact(spark):
     pdf = hot_rows(3000)
     pdf.loc[pdf["k"] == 3, "v"] = None
     df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
@@ -52,15 +52,8 @@ def test_quantiles_are_exact(spark, both_forms):
 
 def test_quantiles_of_any_group_size(spark):
     """Groups of 1 to 400 rows with the default accuracy: the bracket must widen for small groups."""
-    spark.conf.set("spark.framewise.smallInputBytes", "0")
     rng = np.random.default_rng(9)
     pdf = pd.concat([pd.DataFrame({"k": n, "v": rng.normal(size=n)}) for n in (1, 2, 3, 10, 57, 400)])
     out = scale.quantiles(spark.createDataFrame(pdf), ["k"], {"a": ("v", 0.5), "b": ("v", 0.9), "c": ("v", 0.0), "d": ("v", 1.0)}).toPandas().set_index("k")
-    spark.conf.unset("spark.framewise.smallInputBytes")
     for k, g in pdf.groupby("k"):
         assert np.allclose(out.loc[k, ["a", "b", "c", "d"]].astype(float), np.percentile(g["v"], [50, 90, 0, 100]))
-
-
-def test_input_bytes_needs_no_job(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    assert 0 < scale.input_bytes(df.join(df, "l_orderkey")) < 10 * 1024 * 1024

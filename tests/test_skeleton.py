@@ -60,3 +60,11 @@ def test_motion_bone_stops_below_the_root(spark):
     df = spark.createDataFrame([(m, b, p, 0.0, 0.0, z) for m, b, p, z in rows], "mesh int, bone_idx bigint, parent_idx bigint, x double, y double, z double")
     out = H.motion_bone(df, df.where("bone_idx = 3").select("mesh", F.col("bone_idx").alias("start_idx"))).first()
     assert out["bone_idx"] == 1
+
+
+def test_a_chain_of_a_hundred_bones_has_no_depth_limit(spark):
+    rows = [(1, i, i - 1 if i else None, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0) for i in range(100)]
+    bones = spark.createDataFrame(rows, "mesh int, bone_idx int, parent_idx int, x double, y double, z double, qx double, qy double, qz double, qw double")
+    deep = {r["bone_idx"]: r for r in H.hierarchy_stats(bones).collect()}
+    assert deep[99]["depth"] == 99 and deep[0]["descendants"] == 99
+    assert {r["bone_idx"]: r["z"] for r in H.component_pose(bones).collect()} == {i: float(i + 1) for i in range(100)}
