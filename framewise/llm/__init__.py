@@ -1 +1,10 @@
-"""Operators for large training corpora. Nothing else in the library imports this subpackage."""
+"""Operators for large training corpora. Nothing else in the library imports this subpackage.
+
+Its functions travel to the executors by value, so that these need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
