@@ -1,20 +1,23 @@
 """Exact repeated substrings: a suffix sort over the places where a repeat can be.
 
 Suffixes are compared over their first WINDOW bytes, read as three tokens (256 + 128 + 16 bytes). Sorting every suffix of the corpus
-would move each byte many times over, so anchors say first where it is needed. The anchor of a window is the 64-byte string in
+would move each byte many times over, so anchors say first where it is needed. The anchor of a window is the 128-byte string in
 it with the least hash: a function of the window's bytes alone, so equal windows have equal anchors at equal places. Consecutive
 windows share an anchor; their joint bytes are its context.
 
 1. Anchors and contexts are counted. An anchor seen once has no repeated window. Where a whole context is seen again, all its
    windows are repeated.
-2. What is left are contexts seen once around an anchor seen more often: the ends of repeated passages. Their suffixes, and those
-   of one copy of every other context of the same anchor, are range-partitioned by leading tokens at sampled splitters; each
+2. What is left are contexts seen once around an anchor seen more often: the ends of repeated passages. All windows of a half of a
+   context have the anchor and the bytes on one side of it in common, 264 bytes; halves that share these with no other context
+   are done. The others are cut into blocks of 16 windows, which have 384 bytes in common, and blocks are settled like contexts.
+3. The suffixes of the blocks that are still open, and those of one copy of every other such block, are range-partitioned by leading tokens at sampled splitters; each
    bucket sorts its suffixes token by token and compares neighbours; the outermost suffixes of the buckets are compared across.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,11 @@ from pyspark.sql import functions as F
 from framewise.llm.common import map_batches, row_key, stage
 from framewise.llm.words import chunks
 
-WINDOW, ANCHOR = 400, 64
+WINDOW, ANCHOR = 400, 128
+#: Bytes before the anchor that windows of the left half have in common; (WINDOW - ANCHOR) / 2.
+HALF = 136
+#: Windows of a block; all of them have WINDOW - BLOCK + 1 bytes in common.
+BLOCK = 16
 #: Low bits of a packed (hash, place) that hold the place in a chunk.
 PLACE_BITS = 30
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -65,8 +72,9 @@ def _lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def contexts(texts: list[bytes | None]) -> tuple:
-    """Per text four lists with a value per anchor: first and last window start, hash of the anchor, hash of the context."""
-    lo_, hi_, k_, c_, n_ = [], [], [], [], []
+    """Per text lists with a value per anchor: first and last window start, place of the anchor, hashes of the anchor and of the
+    context, and of the anchor with HALF bytes before it, and after it."""
+    held: list[list[np.ndarray]] = [[] for _ in range(8)]
     for _, run in chunks(texts):
         data, begin = _joined(run)
         ladder = _ladder(data)
@@ -91,15 +99,45 @@ def contexts(texts: list[bytes | None]) -> tuple:
         (a, b), (x, y) = _window(ladder, lo), _window(ladder, hi)
         shape = ((hi - lo) * WINDOW + (mid - lo)).astype(np.uint64)
         own = owner[head]
-        lo_.append(lo - begin[own])
-        hi_.append(hi - begin[own])
-        k_.append(grams[mid].view(np.int64))
-        c_.append(_pair(_pair(a, b), _pair(_pair(x, y), shape)).view(np.int64))
-        n_.append(np.bincount(own, minlength=len(run)))
-    if not n_:
-        return [], [], [], []
-    n = np.concatenate(n_)
-    return tuple(_lists(n, np.concatenate(v)) for v in (lo_, hi_, k_, c_))
+        before = np.maximum(mid - HALF, 0)
+        left = _pair(_pair(ladder[128][before], ladder[16][before + HALF - 16]), grams[mid])
+        right = _pair(grams[mid], _pair(ladder[128][mid + ANCHOR], ladder[16][mid + ANCHOR + HALF - 16]))
+        made = (lo - begin[own], hi - begin[own], mid - begin[own], grams[mid].view(np.int64), _pair(_pair(a, b), _pair(_pair(x, y), shape)).view(np.int64),
+                left.view(np.int64), right.view(np.int64), np.bincount(own, minlength=len(run)))
+        for to, v in zip(held, made, strict=True):
+            to.append(v)
+    if not held[-1]:
+        return tuple([] for _ in range(7))
+    n = np.concatenate(held[-1])
+    return tuple(_lists(n, np.concatenate(v)) for v in held[:-1])
+
+
+def blocks(texts: list[bytes | None], ranges: list[list]) -> tuple:
+    """Per text lists with a value per block of its ranges: first and last window start, hash of what all windows of the block have in
+    common, hash of the block, and whether its context was seen once (1 or 0). Blocks are counted from the anchor."""
+    held: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for first, run in chunks(texts):
+        data, begin = _joined(run)
+        ladder = _ladder(data)
+        own = [[(r["lo"], r["hi"], r["mid"], r["once"]) for r in ranges[first + i] or []] for i in range(len(run))]
+        n_own = np.array([len(o) for o in own])
+        lo, hi, mid, once = np.array([x for o in own for x in o], np.int64).reshape(-1, 4).T
+        near, far = (mid - hi) // BLOCK, (mid - lo) // BLOCK
+        n = far - near + 1
+        which = np.repeat(np.arange(len(lo)), n)
+        j = near[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        a, b = np.maximum(lo[which], mid[which] - j * BLOCK - BLOCK + 1), np.minimum(hi[which], mid[which] - j * BLOCK)
+        base = np.repeat(begin[:-1], n_own)[which]
+        core = mid[which] - j * BLOCK + base
+        (p, q), (x, y) = _window(ladder, a + base), _window(ladder, b + base)
+        shape = ((b - a) * WINDOW + j * BLOCK - (mid[which] - b)).astype(np.uint64)
+        per_text = np.bincount(np.repeat(np.repeat(np.arange(len(run)), n_own), n), minlength=len(run))
+        for to, v in zip(held, (a, b, _pair(ladder[256][core], ladder[128][core + 256]).view(np.int64), _pair(_pair(p, q), _pair(_pair(x, y), shape)).view(np.int64), once[which], per_text), strict=True):
+            to.append(v)
+    if not held[-1]:
+        return tuple([] for _ in range(5))
+    n = np.concatenate(held[-1])
+    return tuple(_lists(n, np.concatenate(v)) for v in held[:-1])
 
 
 def suffixes(texts: list[bytes | None], ranges: list[list]) -> tuple:
@@ -181,20 +219,47 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["key", "at", "t0", "t1", "t2", "edge"])
 
 
-def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, key, text`` as a table bucketed by key: three joins read it, and texts are dealt out once."""
+    spark = docs.sparkSession
+    name = f"framewise_texts_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("text"))
+    rows.repartition(n, "key").write.bucketBy(n, "key").saveAsTable(name)
+    return spark.table(name)
+
+
+def repeated_ranges(docs: DataFrame, keyed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, spans``: per text with repeats the byte ranges [lo, hi) that repeated windows cover, in no order, overlapping."""
     raw = docs.select(row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("text"))
-    lists = map_batches(raw, contexts, dict.fromkeys(("lo", "hi", "k", "c"), "array<long>"))
-    anchors = stage(lists.select("key", F.inline(F.arrays_zip("lo", "hi", "k", "c"))), "anchors")
+    names = ("lo", "hi", "mid", "k", "c", "left", "right")
+    anchors = map_batches(raw, contexts, dict.fromkeys(names, "array<long>")).select("key", F.inline(F.arrays_zip(*names)))
     context = anchors.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("copy"))
+    context = stage(context, "contexts")
     anchor = context.groupBy("k").agg(F.sum("n").alias("total"), (F.sum((F.col("n") == 1).cast("int")) > 0).alias("open")).where("total > 1")
     matter = context.join(anchor, "k").where("n > 1 or open").select("k", "c", "n", "copy", "open")
-    found = stage(anchors.join(matter, ["k", "c"]).select("key", "lo", "hi", "n", "open", (F.col("key") == F.col("copy")).alias("copy")), "contexts")
+    found = anchors.join(matter, ["k", "c"]).select("key", "lo", "hi", "mid", "left", "right", "n", "open", (F.col("key") == F.col("copy")).alias("copy"))
+    found = stage(found, "anchors")
     known = found.where("n > 1").select("key", "lo", (F.col("hi") + WINDOW).alias("hi"))
 
-    todo = found.where("open and (n = 1 or copy)").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", (F.col("n") == 1).alias("once"))).alias("ranges"))
-    texts = raw.dropDuplicates(["key"]).join(todo, "key")
-    made = map_batches(texts, suffixes, dict.fromkeys(("t0", "t1", "t2", "at"), "array<long>"), reads=("text", "ranges"))
+    edge = F.col("mid") - HALF
+    halves = F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h"), F.col("lo").alias("lo"), F.least("hi", edge).alias("hi")),
+                     F.struct(F.lit(1).alias("side"), F.col("right").alias("h"), F.greatest("lo", edge + 1).alias("lo"), F.col("hi").alias("hi")))
+    once = (F.col("n") == 1).alias("once")
+    half = found.where("open and (n = 1 or copy)").select("key", "mid", once, F.inline(halves)).where("lo <= hi")
+    met = half.groupBy("side", "h").agg(F.count(F.lit(1)).alias("m"), F.max("once").alias("any")).where("m > 1 and any").select("side", "h")
+    todo = half.join(met, ["side", "h"]).groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "mid", "once")).alias("ranges"))
+    names = ("lo", "hi", "core", "block", "once")
+    cut = map_batches(keyed.select("key", "text").join(todo, "key"), blocks, dict.fromkeys(names, "array<long>"), reads=("text", "ranges"))
+    cut = stage(cut.select("key", F.inline(F.arrays_zip(*names))), "blocks")
+    kind = cut.groupBy("core", "block").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("copy"), F.max("once").alias("once"))
+    core = kind.groupBy("core").agg(F.sum("n").alias("total"), F.max(((F.col("n") == 1) & (F.col("once") == 1)).cast("int")).alias("open")).where("total > 1")
+    settled = cut.join(kind.drop("once").join(core, "core").where("n > 1 or open = 1"), ["core", "block"])
+    settled = stage(settled.select("key", "lo", "hi", "once", "n", "open", (F.col("key") == F.col("copy")).alias("copy")), "settled")
+    known = known.unionByName(settled.where("n > 1 and once = 1").select("key", "lo", (F.col("hi") + WINDOW).alias("hi")))
+
+    last = settled.where("open = 1 and (n = 1 or copy)").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", ((F.col("n") == 1) & (F.col("once") == 1)).alias("once"))).alias("ranges"))
+    made = map_batches(keyed.select("key", "text").join(last, "key"), suffixes, dict.fromkeys(("t0", "t1", "t2", "at"), "array<long>"), reads=("text", "ranges"))
     rows = stage(made.select("key", F.inline(F.arrays_zip("t0", "t1", "t2", "at"))), "suffixes")
     sorted_ = rows.repartitionByRange("t0", "t1", "t2", "key", "at").mapInArrow(_bucket, "key long, at long, t0 long, t1 long, t2 long, edge boolean")
     sorted_ = stage(sorted_, "neighbours")
@@ -232,7 +297,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Null and empty texts, and texts under 400 bytes, lose nothing. Rows repeated in id and text are repeats of each other. An
     empty table gives an empty result. A text's ranges are gathered in one row, which its own length bounds.
     """
-    raw = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("text"))
+    keyed = keyed_texts(docs, doc_id, text)
 
     def cut(texts: list[bytes | None], spans: list[list | None]) -> tuple:
         runs = [merged(s) for s in spans]
@@ -240,7 +305,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         size = [len(t or b"") for t in texts]
         return size, [n - len(k) for n, k in zip(size, kept, strict=True)], [len(r) for r in runs], kept
 
-    joined = raw.join(repeated_ranges(docs, doc_id, text), "key", "left").drop("key")
+    joined = keyed.join(repeated_ranges(docs, keyed, doc_id, text), "key", "left").drop("key")
     return map_batches(joined, cut, {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}, reads=("text", "spans"))
 
 
