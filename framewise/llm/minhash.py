@@ -108,7 +108,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, p
 
 
 #: Classes of a bucket that are compared in one go; a larger bucket is cut into blocks, and blocks meet two at a time.
-BLOCK = 512
+BLOCK = 1024
 
 
 def sorted_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
