@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,17 +130,17 @@ def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(inside.astype(np.int64), np.cumsum(sizes) - sizes)
 
 
-def _across(n: int, percent: int, width: int):
+def _across(n: int, percent: int):
     """Reads rows sorted by (band, i, j): blocks i and j of one bucket. Gives the links between classes of different components.
 
-    A pair that shares several bands is taken in the first of them only, by the sketch. Sizes and sketches pass over pairs that
+    A pair that shares several bands is taken in the first of them only, by the whole band keys: equal sketch bytes don't make a
+    band shared, and the pair would never meet in that bucket. Sizes and sketches pass over pairs that
     can't reach the bound; the others are compared by their whole sets. Classes that a link has joined are not compared again.
     """
 
-    def links(block: np.ndarray, i: int, j: int, slot: int, c: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    def links(block: np.ndarray, i: int, j: int, slot: int, c: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray, bands: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int]]:
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         need, root, held = least_matches(percent, sketch.shape[1]), root.copy(), {}
-        slots = sketch.reshape(len(sketch), -1, width)
         for a in range(0, len(left), 64):
             p = left[a : a + 64]
             fit = (root[p][:, None] != root[right]) & (100 * np.minimum(size[p][:, None], size[right]) >= percent * np.maximum(size[p][:, None], size[right]))
@@ -149,7 +150,8 @@ def _across(n: int, percent: int, width: int):
             q, r = p[x], right[y]
             keep = np.concatenate([(sketch[q[k : k + 65536]] == sketch[r[k : k + 65536]]).sum(1) >= need for k in range(0, len(q), 65536)] or [np.zeros(0, bool)])
             q, r = q[keep], r[keep]
-            q, r = (z[(slots[q] == slots[r]).all(2).argmax(1) == slot] for z in (q, r)) if len(q) else (q, r)
+            here = np.concatenate([(bands[q[k : k + 65536]] == bands[r[k : k + 65536]]).argmax(1) == slot for k in range(0, len(q), 65536)] or [np.zeros(0, bool)])
+            q, r = q[here], r[here]
             new = [k for k in np.unique(np.concatenate([q, r])).tolist() if k not in held]
             held.update(zip(new, sorted_sets([texts[k] for k in new], n), strict=True))
             for one in np.unique(q):
@@ -169,7 +171,8 @@ def _across(n: int, percent: int, width: int):
         def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            found = list(links(t.column("block").to_numpy(), now[1], now[2], t.column("slot")[0].as_py(), *(t.column(x).to_numpy() for x in ("c", "n", "root")), sketch, t.column("text").to_pylist()))
+            bands = pc.list_flatten(t.column("bands")).to_numpy().reshape(t.num_rows, -1)
+            found = list(links(t.column("block").to_numpy(), now[1], now[2], t.column("slot")[0].as_py(), *(t.column(x).to_numpy() for x in ("c", "n", "root")), sketch, bands, t.column("text").to_pylist()))
             if found:
                 u, v = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -230,8 +233,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     rows = (placed.where("m > 2").join(mixed.select("band"), "band").withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "slot", "c", "n", "root")
-            .join(classes.select("c", "sketch"), "c").join(texts, "c"))
-    found = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across(n, percent, width), "u long, v long")
+            .join(classes.select("c", "sketch", "bands"), "c").join(texts, "c"))
+    found = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across(n, percent), "u long, v long")
     new = stage(found, "links")
     if not new.isEmpty():
         root = components(links.unionByName(new))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framewise.llm import graph, minhash
@@ -55,6 +56,20 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     test_components_against_all_pairs(spark, 2)
 
 
+def test_a_slot_that_agrees_in_its_bytes_only_is_not_shared():
+    """Slot 0 looks shared by the sketch, but only the keys of slot 1 are equal: the pair meets in that bucket alone."""
+    words = prose(1, 120)
+    texts = [words.encode(), (words + " x").encode(), prose(7, 120).encode()]
+    size, _, _, _, sketches = minhash.signatures(texts, 5, 64, 4)
+    sketches[1] = sketches[0]
+    bands = [[1, 9, *range(100, 130)], [2, 9, *range(200, 230)], [3, 9, *range(300, 330)]]
+    names = ["band", "i", "j", "block", "slot", "c", "n", "root", "sketch", "bands", "text"]
+    rows = pa.table([pa.array([9] * 3), *[pa.array([0] * 3, pa.int32())] * 3, pa.array([1] * 3, pa.int32()), pa.array([10, 11, 12]), pa.array(size),
+                     pa.array([10, 11, 12]), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(texts, pa.binary())], names)
+    found = [r for b in minhash._across(5, 80)(iter(rows.to_batches(2))) for r in b.to_pylist()]
+    assert found == [{"u": 10, "v": 11}]
+
+
 def test_agreement_is_unbiased_and_both_ends_count():
     rng = np.random.default_rng(1)
     got = []
