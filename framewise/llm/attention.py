@@ -326,13 +326,10 @@ def learn(train_rows: DataFrame, model: PieceModel) -> tuple[np.ndarray, Vocabul
     return flat, voc
 
 
-def interpolated(token: np.ndarray, per_word: np.ndarray, c: np.ndarray, words: np.ndarray, below: float) -> np.ndarray:
-    """log10 probability per text: of each word SHARE of what attention gives its subwords together, and the rest by its count.
-    A word beyond HELD counts as unseen here, which can only lower the sum of all words' probabilities."""
-    by_subwords = np.add.reduceat(token, np.cumsum(per_word) - per_word) / np.log(10)
+def interpolated(by_subwords: np.ndarray, c: np.ndarray, below: float) -> np.ndarray:
+    """log10 probability per word: SHARE of what attention gives its subwords together (log10), and the rest by its count."""
     by_count = np.log10(c + 0.1) - below
-    both = np.logaddexp2((by_subwords + np.log10(SHARE)) * np.log2(10), (by_count + np.log10(1 - SHARE)) * np.log2(10)) * np.log10(2)
-    return np.add.reduceat(both, np.cumsum(words) - words)
+    return np.logaddexp2((by_subwords + np.log10(SHARE)) * np.log2(10), (by_count + np.log10(1 - SHARE)) * np.log2(10)) * np.log10(2)
 
 
 def _fold(doc_id: Column) -> Column:
@@ -362,7 +359,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def score(texts: list[bytes | None]) -> tuple:
         weights = unpacked(flat)
-        tokens, found, base, model_score, rare, sizes = [], [], [], [], [], []
+        tokens, found, base, model_score, rare, logs, sizes = [], [], [], [], [], [], []
         for _, run in chunks(texts):
             w = find_words([t.lower() for t in run])
             h = hash_words(w)
@@ -377,21 +374,27 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rare.append(h[~hit].view(np.int64))
             sizes.append(count(~hit).astype(np.int64))
             ids, n_ids, per_word = subwords(run, lazy.get())
-            model_score.append(interpolated(log_probabilities(weights, voc, ids, n_ids), per_word, np.insert(c, w.first[1:], end), size + 1, below))
+            by_subwords = np.add.reduceat(log_probabilities(weights, voc, ids, n_ids), np.cumsum(per_word) - per_word) / np.log(10)
+            held = np.insert(hit, w.first[1:], True)
+            words = np.where(held, interpolated(by_subwords, np.insert(c, w.first[1:], end), below), 0.0)
+            model_score.append(np.add.reduceat(words, np.cumsum(size + 1) - size - 1))
+            logs.append(by_subwords[~held])
         if not tokens:
-            return [], [], [], [], []
-        return (*map(np.concatenate, (tokens, found, base, model_score)), _lists(np.concatenate(rare), np.concatenate(sizes)))
+            return [], [], [], [], [], []
+        return (*map(np.concatenate, (tokens, found, base, model_score)), *(_lists(np.concatenate(x), np.concatenate(sizes)) for x in (rare, logs)))
 
-    made = map_batches(rows.drop("key"), score, {"n_tokens": "long", "known": "long", "base": "double", "score": "double", "rare": "array<long>"})
+    made = map_batches(rows.drop("key"), score, {"n_tokens": "long", "known": "long", "base": "double", "score": "double", "rare": "array<long>", "logs": "array<double>"})
     scored = stage(made.withColumn("row", F.monotonically_increasing_id()), "scores")
-    return _with_rare(scored, counts, n)
+    return _with_rare(scored, counts, n, below)
 
 
-def _with_rare(scored: DataFrame, counts: DataFrame, n: int) -> DataFrame:
-    """Adds the words beyond HELD: their counts come by a join on the word, and their sums by one on the row."""
-    words = scored.select("row", F.explode("rare").alias("h"))
-    c = F.coalesce("c", F.lit(0))
-    more = words.join(counts, "h", "left").groupBy("row").agg(F.sum(F.log10(c + 0.1)).alias("more"), F.sum((c > 0).cast("long")).alias("seen"))
+def _with_rare(scored: DataFrame, counts: DataFrame, n: int, below: float) -> DataFrame:
+    """Adds the words beyond HELD: their counts come by a join on the word, and their sums by one on the row. Each brings the log10
+    probability of its subwords, so that it is interpolated with its own count as the others are (:func:`interpolated`)."""
+    words = scored.select("row", F.inline(F.arrays_zip(F.col("rare").alias("h"), F.col("logs").alias("s"))))
+    c = F.coalesce("c", F.lit(0)) + 0.1
+    both = F.log10(SHARE * F.pow(F.lit(10.0), "s") + (1 - SHARE) * F.pow(F.lit(10.0), F.log10(c) - below))
+    more = words.join(counts, "h", "left").groupBy("row").agg(F.sum(F.log10(c)).alias("more"), F.sum(both).alias("mixed"), F.count("c").alias("seen"))
     return scored.join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"))

@@ -49,7 +49,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
-         "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+         "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
 def map_batches(rows: DataFrame, fn: Callable[..., Sequence], columns: dict[str, str], reads: Sequence[str] = ("text",)) -> DataFrame:

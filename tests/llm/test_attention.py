@@ -62,3 +62,11 @@ def test_rare_words_are_joined(spark, monkeypatch):
     want = sorted((r.doc_id or 0, r.n_known, round(r.base_score, 6)) for r in at.score_documents(edges(spark)).collect())
     monkeypatch.setattr(at, "HELD", 3)
     assert sorted((r.doc_id or 0, r.n_known, round(r.base_score, 6)) for r in at.score_documents(edges(spark)).collect()) == want
+
+
+def test_score_does_not_depend_on_which_words_are_held(spark, monkeypatch):
+    rows = lambda: sorted((r.doc_id or 0, r.n_known, r.n_tokens, r.score) for r in at.score_documents(edges(spark)).collect())
+    want = rows()
+    monkeypatch.setattr(at, "HELD", 3)
+    for a, b in zip(rows(), want, strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-6)
