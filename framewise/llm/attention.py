@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import map_batches, mix64, row_key, stage
+from framewise.llm.common import map_batches, row_key, stage
 from framewise.llm.pieces import MODEL, Encoder, PieceModel
 from framewise.llm.words import chunks, find_words, hash_words
 
@@ -24,9 +24,8 @@ from framewise.llm.words import chunks, find_words, hash_words
 HEAD, REST, WIDTH, HIDDEN = 191, 64, 16, 32
 #: Subwords a window shows, and how many of them (the last) it scores. Windows overlap by the difference.
 SPAN, STEP = 24, 16
-#: Words of the one passage that each training document gives, subwords kept of it, and rounds of averaged training.
-PASSAGE, KEPT, ROUNDS = 40, 2 * STEP * 2, 4
-RATE, GROUP = 0.004, 32
+#: Rounds of averaged training, each on its own share of the documents; first rate; windows of a step; windows made at once.
+ROUNDS, RATE, GROUP, BLOCK = 4, 0.004, 128, 1 << 14
 #: Share of the attention model in the probability of a word; the rest goes by the word's count.
 SHARE = 0.5
 #: Word counts held by every task; rarer words are joined. 6 MB, whatever the corpus.
@@ -152,13 +151,14 @@ def gradient(w: Weights, x: np.ndarray, target: np.ndarray, bigram: np.ndarray)
     dh = dk @ w["k"].T + dv @ w["v"].T
     dh[:, -scored:] += dy + dq @ w["q"].T
     g["p"] = dh.sum(0)
-    g["e"] = np.zeros_like(w["e"])
-    np.add.at(g["e"], x.ravel(), flat(dh))
+    place = x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    g["e"] = np.bincount(place.ravel(), dh.ravel(), w["e"].size).reshape(w["e"].shape)
     return loss, g
 
 
-def windows(ids: np.ndarray, counts: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of every text: rows seen (windows, SPAN), classes to predict (windows, STEP), -1 past the end, and whose they are.
+def windows(ids: np.ndarray, counts: np.ndarray, voc: Vocabulary, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of every text: rows seen (windows, SPAN), classes to predict (windows, STEP), -1 past the end, and whose they are;
+    or only those in ``part``.
 
     Place i sees the subword before i. Each place is scored in one window, as one of its last STEP places; the places before
     them are context from the window before.
@@ -166,7 +166,8 @@ def windows(ids: np.ndarray, counts: np.ndarray, voc: Vocabulary) -> tuple[np.nd
     n = -(-counts // STEP)
     owner = np.repeat(np.arange(len(counts)), n)
     begin = np.cumsum(counts) - counts
-    first = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * STEP
+    first = ((np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * STEP)[part]
+    owner = owner[part]
     place = first[:, None] + np.arange(STEP - SPAN, STEP)
     inside = (place >= 0) & (place < counts[owner][:, None])
     at = np.clip(begin[owner][:, None] + place, 0, max(0, len(ids) - 1))
@@ -177,33 +178,35 @@ def windows(ids: np.ndarray, counts: np.ndarray, voc: Vocabulary) -> tuple[np.nd
 def log_probabilities(w: Weights, voc: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Natural log of the probability of every id of all texts, given the ids before it in its text."""
     out = np.empty(len(ids))
-    x, target, owner = windows(ids, counts, voc)
     at = 0
-    for a in range(0, len(x), 512):
-        p, _ = forward(w, x[a : a + 512], voc.bigram)
-        t = target[a : a + 512]
-        got = np.take_along_axis(p, np.maximum(t, 0)[..., None], 2)[..., 0][t >= 0]
-        out[at : at + len(got)] = np.log(got + 1e-30)
-        at += len(got)
+    for a in range(0, int((-(-counts // STEP)).sum()), BLOCK):
+        x, target, _ = windows(ids, counts, voc, slice(a, a + BLOCK))
+        for k in range(0, len(x), 512):
+            p, _ = forward(w, x[k : k + 512], voc.bigram)
+            t = target[k : k + 512]
+            got = np.take_along_axis(p, np.maximum(t, 0)[..., None], 2)[..., 0][t >= 0]
+            out[at : at + len(got)] = np.log(got + 1e-30)
+            at += len(got)
     return out + voc.share[ids]
 
 
-def train(flat: np.ndarray, voc: Vocabulary, ids: np.ndarray, counts: np.ndarray, rate: float) -> tuple[np.ndarray, int]:
-    """One pass of Adam over the windows of some passages, GROUP passages a step; (weights, windows)."""
+def train(flat: np.ndarray, voc: Vocabulary, runs: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> tuple[np.ndarray, int]:
+    """One pass of Adam over all windows of the texts in ``runs`` (ids, ids per text), GROUP windows a step, mixed within BLOCK;
+    (weights, windows)."""
     w = unpacked(flat)
     m, s2 = ({n: np.zeros(s, np.float32) for n, s in SHAPES.items()} for _ in range(2))
-    ends = np.cumsum(counts)
     step = seen = 0
-    for a in range(0, len(counts), GROUP):
-        c = counts[a : a + GROUP]
-        x, target, _ = windows(ids[ends[a] - counts[a] : ends[min(a + GROUP, len(counts)) - 1]], c, voc)
-        _, g = gradient(w, x, target, voc.bigram)
-        step += 1
-        seen += len(x)
-        for n in SHAPES:
-            m[n] = 0.9 * m[n] + 0.1 * g[n]
-            s2[n] = 0.99 * s2[n] + 0.01 * g[n] ** 2
-            w[n] = (w[n] - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(s2[n] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    for ids, counts in runs:
+        for a in range(0, int((-(-counts // STEP)).sum()), BLOCK):
+            x, target, _ = windows(ids, counts, voc, slice(a, a + BLOCK))
+            seen += len(x)
+            for k in np.array_split(np.random.default_rng(seen).permutation(len(x)), -(-len(x) // GROUP)):
+                _, g = gradient(w, x[k], target[k], voc.bigram)
+                step += 1
+                for n in SHAPES:
+                    m[n] = 0.9 * m[n] + 0.1 * g[n]
+                    s2[n] = 0.99 * s2[n] + 0.01 * g[n] ** 2
+                    w[n] = (w[n] - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(s2[n] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return packed(w), seen
 
 
@@ -249,47 +252,61 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def passages(rows: DataFrame, model: PieceModel) -> DataFrame:
-    """``key, ids``: of every document a passage of PASSAGE words from a place drawn by its key, as up to KEPT subwords."""
-    lazy = _Lazy(model)
+def _id_type(model: PieceModel) -> np.dtype:
+    return np.dtype("<u2" if len(model.texts) < 1 << 16 else "<i4")
+
+
+def encoded(rows: DataFrame, model: PieceModel) -> DataFrame:
+    """``rows`` and, of every whole ``text``, its subwords and its end as bytes (``ids``, see :func:`id_runs`) and a bit for each, set
+    where a word starts (``opens``)."""
+    lazy, kind = _Lazy(model), _id_type(model)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, opens = [], []
+            for _, run in chunks(b.column("text").to_pylist()):
+                ids, counts, per_word = subwords(run, lazy.get())
+                first = np.zeros(len(ids), bool)
+                first[np.cumsum(per_word) - per_word] = True
+                ids, ends = ids.astype(kind), np.cumsum(counts)
+                for a, e in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+                    made.append(ids[a:e].tobytes())
+                    opens.append(np.packbits(first[a:e]).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary()), pa.array(opens, pa.binary())], [*b.schema.names, "ids", "opens"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(encode, f"{schema}, ids binary, opens binary")
 
-    def cut(keys: list[int], texts: list[bytes | None]) -> tuple:
-        parts = []
-        for k, t in zip(keys, texts, strict=True):
-            words = (t or b"").split()
-            at = int(mix64(np.array([k]).view(np.uint64))[0] % np.uint64(max(1, len(words) - PASSAGE + 1)))
-            parts.append(b" ".join(words[at : at + PASSAGE]))
-        ids, counts, _ = subwords(parts, lazy.get())
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return keys, _lists(ids[place < KEPT].astype(np.int32), np.minimum(counts, KEPT))
 
-    return map_batches(rows.select("key", "text"), cut, {"key": "long", "ids": "array<int>"}, reads=("key", "text"))
+def id_runs(lists: list[bytes], kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, ids per text) of runs of whole texts."""
+    for _, run in chunks(lists):
+        yield np.frombuffer(b"".join(run), kind).astype(np.int64), np.fromiter(map(len, run), np.int64, len(run)) // kind.itemsize
 
 
 def learn(train_rows: DataFrame, model: PieceModel) -> tuple[np.ndarray, Vocabulary]:
-    """Trains on a passage of every training document. Counts of subwords and pairs are summed by Spark. Each round every task trains on
-    its share of the passages from the same weights, and the mean of the results, weighted by windows, opens the next round. Tasks
-    are averaged in TREE groups first, so that the driver reads at most TREE vectors of 10,000 numbers."""
-    held = stage(passages(train_rows, model), "passages")
-    size = len(model.texts) + 1
-
-    def tally(lists: Iterator[pa.RecordBatch], voc: Vocabulary | None) -> Iterator[pa.RecordBatch]:
-        for b in lists:
-            col = b.column("ids")
-            ids = col.flatten().to_numpy()
-            if voc is None:
-                kind = ids
-            else:
-                first = np.zeros(len(ids), bool)
-                first[(col.offsets.to_numpy() - col.offsets[0].as_py())[:-1][np.diff(col.offsets.to_numpy()) > 0]] = True
-                before = np.where(first, voc.start, voc.seen[ids[np.arange(len(ids)) - 1]]) if len(ids) else ids
-                kind = before * (HEAD + 1) + voc.out[ids] if len(ids) else ids
-            k, n = np.unique(kind, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
+    """Trains on every window of every training document (rows of :func:`encoded`). Subwords and pairs of whole texts are counted in
+    each task and summed by Spark. Each round every task trains on its share of the documents from the same weights, and the mean of
+    the results, weighted by windows, opens the next round. Tasks are averaged in TREE groups first, so that the driver reads at most
+    TREE vectors of 10,000 numbers."""
+    size, kind = len(model.texts) + 1, _id_type(model)
+
+    def tally(batches: Iterator[pa.RecordBatch], voc: Vocabulary | None, length: int) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(length, np.int64)
+        for b in batches:
+            for ids, counts in id_runs(b.column("ids").to_pylist(), kind):
+                k = ids
+                if voc is not None:
+                    before = voc.seen[np.roll(ids, 1)]
+                    before[np.cumsum(counts) - counts] = voc.start
+                    k = before * (HEAD + 1) + voc.out[ids]
+                n += np.bincount(k, minlength=length)
+        k = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], ["k", "n"])
 
     def total(voc: Vocabulary | None, length: int) -> np.ndarray:
         out = np.zeros(length)
-        for r in held.select("ids").mapInArrow(lambda it: tally(it, voc), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        for r in train_rows.select("ids").mapInArrow(lambda it: tally(it, voc, length), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
             out[r.k] = r.n
         return out
 
@@ -298,15 +315,16 @@ def learn(train_rows: DataFrame, model: PieceModel) -> tuple[np.ndarray, Vocabul
     flat = packed(initial())
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen, first = flat, 0, 0
-        for b in batches:
-            col = b.column("ids")
-            counts = np.diff(col.offsets.to_numpy()).astype(np.int64)
-            if len(counts):
-                now, n = train(now, voc, col.flatten().to_numpy().astype(np.int64), counts, rate)
-                seen, first = seen + n, first or b.column("key")[0].as_py()
+        first: list[int] = []
+
+        def runs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in batches:
+                first.extend(b.column("key")[:1].to_pylist())
+                yield from id_runs(b.column("ids").to_pylist(), kind)
+
+        now, seen = train(flat, voc, runs(), rate)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([first % TREE]), pa.array([float(seen)]), pa.array([now.astype(np.float64) * seen], pa.list_(pa.float64()))], ["g", "n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([first[0] % TREE]), pa.array([float(seen)]), pa.array([now.astype(np.float64) * seen], pa.list_(pa.float64()))], ["g", "n", "w"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, w = 0.0, 0.0
@@ -318,7 +336,7 @@ def learn(train_rows: DataFrame, model: PieceModel) -> tuple[np.ndarray, Vocabul
 
     for r in range(ROUNDS):
         rate = RATE * (1 - r / ROUNDS)
-        part = held.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == r)
+        part = train_rows.select("key", "ids").where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == r)
         sums = part.mapInArrow(local, "g long, n double, w array<double>").repartition(TREE, "g").mapInArrow(add, "n double, w array<double>").collect()
         if sums:
             sums.sort(key=lambda x: x.n)
@@ -345,6 +363,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), (_fold(F.col(doc_id)) == 0).alias("held_out"), row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("text"))
     pieces = PieceModel.load(model)
+    rows = stage(encoded(rows, pieces), "encoded")
     counts = stage(word_counts(rows.where("not held_out")), "words")
     ends = F.coalesce(F.sum(F.when(F.col("h") == int(END_WORD.view(np.int64)), F.col("c"))), F.lit(0))
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), ends.alias("ends")).first()
@@ -355,12 +374,12 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known, times = known[order], times[order]
     below = float(np.log10(n + 0.1 * (v + 1)))
     flat, voc = learn(rows.where("not held_out"), pieces)
-    lazy = _Lazy(pieces)
+    kind = _id_type(pieces)
 
-    def score(texts: list[bytes | None]) -> tuple:
+    def score(texts: list[bytes | None], lists: list[bytes], opens: list[bytes]) -> tuple:
         weights = unpacked(flat)
         tokens, found, base, model_score, rare, logs, sizes = [], [], [], [], [], [], []
-        for _, run in chunks(texts):
+        for begin, run in chunks(texts):
             w = find_words([t.lower() for t in run])
             h = hash_words(w)
             at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
@@ -373,8 +392,11 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             base.append(count(np.where(hit, np.log10(c + 0.1), 0.0)) + np.log10(end + 0.1) - below * (size + 1))
             rare.append(h[~hit].view(np.int64))
             sizes.append(count(~hit).astype(np.int64))
-            ids, n_ids, per_word = subwords(run, lazy.get())
-            by_subwords = np.add.reduceat(log_probabilities(weights, voc, ids, n_ids), np.cumsum(per_word) - per_word) / np.log(10)
+            own = lists[begin : begin + len(run)]
+            n_ids = np.fromiter(map(len, own), np.int64, len(own)) // kind.itemsize
+            ids = np.frombuffer(b"".join(own), kind).astype(np.int64)
+            first = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=n) for o, n in zip(opens[begin : begin + len(run)], n_ids.tolist(), strict=True)])
+            by_subwords = np.add.reduceat(log_probabilities(weights, voc, ids, n_ids), np.flatnonzero(first)) / np.log(10)
             held = np.insert(hit, w.first[1:], True)
             words = np.where(held, interpolated(by_subwords, np.insert(c, w.first[1:], end), below), 0.0)
             model_score.append(np.add.reduceat(words, np.cumsum(size + 1) - size - 1))
@@ -383,7 +405,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return [], [], [], [], [], []
         return (*map(np.concatenate, (tokens, found, base, model_score)), *(_lists(np.concatenate(x), np.concatenate(sizes)) for x in (rare, logs)))
 
-    made = map_batches(rows.drop("key"), score, {"n_tokens": "long", "known": "long", "base": "double", "score": "double", "rare": "array<long>", "logs": "array<double>"})
+    made = map_batches(rows.drop("key"), score, reads=("text", "ids", "opens"), columns={"n_tokens": "long", "known": "long", "base": "double", "score": "double", "rare": "array<long>", "logs": "array<double>"})
     scored = stage(made.withColumn("row", F.monotonically_increasing_id()), "scores")
     return _with_rare(scored, counts, n, below)
 

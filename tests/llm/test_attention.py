@@ -70,3 +70,20 @@ def test_score_does_not_depend_on_which_words_are_held(spark, monkeypatch):
     monkeypatch.setattr(at, "HELD", 3)
     for a, b in zip(rows(), want, strict=True):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-6)
+
+
+def test_every_subword_of_every_training_text_is_learned_from(spark, monkeypatch):
+    texts = [" ".join(f"w{k % 7} stone{k % 11}" for k in range(n)) for n in (300, 90, 5)] + ["", None]
+    model = at.PieceModel.load(at.MODEL)
+    rows = spark.createDataFrame([(i, None if t is None else t.encode()) for i, t in enumerate(texts)], "key long, text binary")
+    ids, counts, _ = at.subwords([(t or "").encode() for t in texts], at.Encoder(model))
+    seen = {}
+    of, smooth = at.Vocabulary.of, at.Vocabulary.smooth
+    monkeypatch.setattr(at.Vocabulary, "of", staticmethod(lambda c: seen.setdefault("voc", (of(c), c.copy()))[0]))
+    monkeypatch.setattr(at.Vocabulary, "smooth", lambda self, p: (seen.setdefault("pairs", p.copy()), smooth(self, p)))
+    at.learn(at.encoded(rows, model), model)
+    voc, got = seen["voc"]
+    assert got.tolist() == np.bincount(ids, minlength=len(model.texts) + 1).tolist()
+    assert seen["pairs"].sum() == len(ids)
+    assert seen["pairs"][voc.start].sum() == seen["pairs"][:, voc.out[-1]].sum() == len(texts)
+    assert at.train(at.packed(at.initial()), voc, iter([(ids, counts)]), 0.004)[1] == sum(-(-c // at.STEP) for c in counts.tolist())
