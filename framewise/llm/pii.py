@@ -33,6 +33,12 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: Length of an account number by country. A number cut out of a longer match must have its country's; others are only checked.
+LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO FK GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+
 Span = tuple[str, int, int]
 
 
@@ -99,7 +105,7 @@ _DIGIT = re.compile("[0-9]")
 
 @dataclass(frozen=True)
 class Proposal:
-    """A further kind: what its pattern matches scores ``prior``, plus ``checked`` if the validator agrees (else it is dropped, where
+    """A further kind: what its pattern matches, or the start of that which ``starts`` finds (0: nothing), scores ``prior``, plus ``checked`` if the validator agrees (else it is dropped, where
     there is one), plus ``context`` if one of its words stands within ``reach`` characters before it or half as many after it,
     less ``against`` if a word that speaks against it does."""
 
@@ -114,15 +120,31 @@ class Proposal:
     against: tuple[str, ...] = ()
     penalty: float = 0.0
     reach: int = 40
+    starts: Callable[[str], int] | None = None
     compiled: re.Pattern = field(init=False, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "compiled", re.compile(self.pattern))
 
+    def found(self, text: str) -> Iterator[tuple[int, int]]:
+        """Start and end of what is proposed and valid. After a start that ``starts`` refuses, the next one in the match is tried."""
+        at = 0
+        while m := self.compiled.search(text, at):
+            a, b = m.span()
+            n = b - a if self.starts is None else self.starts(m.group())
+            at = a + (n or 1)
+            if n and (self.valid is None or self.valid(text[a : a + n])):
+                yield a, a + n
+
 
-def _iban(s: str) -> bool:
-    code = s.replace(" ", "").replace("-", "")
-    return 15 <= len(code) <= 34 and mod97(code)
+def _iban(s: str) -> int:
+    """Length of the account number that ``s`` starts with, as written: the longest that ends where a group ends and holds the check,
+    since the pattern also takes capital words that follow. 0 if there is none."""
+    for end in [len(s), *(i for i in range(len(s) - 1, 0, -1) if s[i] in " -")]:
+        code = s[:end].replace(" ", "").replace("-", "")
+        if 15 <= len(code) <= 34 and (end == len(s) or len(code) == LENGTHS.get(code[:2], len(code))) and mod97(code):
+            return end
+    return 0
 
 
 def _short_card(s: str) -> bool:
@@ -140,7 +162,7 @@ def _ssn(s: str) -> bool:
 
 
 PROPOSALS = (
-    Proposal("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.2, valid=_iban, checked=0.6,
+    Proposal("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.2, starts=_iban, checked=0.6,
              words=("iban", "account", "konto", "compte", "cuenta", "bank"), context=0.2),
     Proposal("card", r"(?<![0-9A-Za-z.])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9A-Za-z])", 0.1, valid=_short_card, checked=0.2,
              words=("card", "visa", "mastercard", "amex", "credit", "debit", "karte", "carte", "tarjeta"), context=0.4,
@@ -167,16 +189,12 @@ def proposed_spans(text: str, proposals: tuple[Proposal, ...] = PROPOSALS, least
     for p in proposals:
         if p.needs and not any(c in text for c in p.needs):
             continue
-        for m in p.compiled.finditer(text):
-            score = p.prior
-            if p.valid is not None:
-                if not p.valid(m.group()):
-                    continue
-                score += p.checked
-            before, after = text[max(0, m.start() - p.reach) : m.start()], text[m.end() : m.end() + p.reach // 2]
+        for a, b in p.found(text):
+            score = p.prior + p.checked * (p.valid is not None or p.starts is not None)
+            before, after = text[max(0, a - p.reach) : a], text[b : b + p.reach // 2]
             score += p.context * _nearby(p.words, before, after) - p.penalty * _nearby(p.against, before, after)
             if score >= least:
-                out.append((p.kind, m.start(), m.end(), round(score, 3)))
+                out.append((p.kind, a, b, round(score, 3)))
     return out
 
 

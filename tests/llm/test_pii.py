@@ -42,3 +42,12 @@ def test_checksums_and_context():
 def test_redaction():
     assert pii.redact("mail a@b.co or +1 (627) 555-1305 ok") == "mail <EMAIL> or <PHONE> ok"
     assert pii.redact("") == "" and pii.redact("none") == "none"
+
+
+def test_an_account_number_ends_before_capital_words_and_another_number():
+    one, two = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for text in (f"IBAN {one} BIC COBADEFFXXX", f"{one} {two} BIC", f"REF AB12 CDEF {one} EUR", f"{one}-{two}", f"FR14 2004 1010 0505 0001 3M02 606 BIC {one}"):
+        spans = [text[a:b] for k, a, b in pii.all_spans(text)[1] if k == "iban"]
+        assert spans == sorted((x for x in (one, two, "FR14 2004 1010 0505 0001 3M02 606") if x in text), key=text.index)
+    assert one not in pii.redact(f"IBAN {one} BIC COBADEFFXXX")
+    assert not [k for k, _, _ in pii.all_spans("IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX")[1] if k == "iban"]
