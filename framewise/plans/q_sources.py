@@ -114,7 +114,8 @@ bd AS (SELECT clip, t, 1.0::DOUBLE AS score FROM cv WHERE frame = 0
 SELECT clip, t::DOUBLE AS "time", round(score, 6) AS score FROM bd""")
 def _(spark, sf):
     schema = table(spark, sf, "embeddings").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    # a pattern that only the table's own path matches: streams take a folder of parts as it is, but a single file only by a pattern
+    e = spark.readStream.schema(schema).parquet(f"{sf}/embeddings.parque[t]")
     clip = F.col("label").cast("bigint") * B.KEY_SHIFT + F.floor(F.col("vec_id") / B.FRAMES_PER_CLIP).cast("bigint")
     fr = e.select(clip.alias("clip"), F.col("vec_id").cast("double").alias("time"), F.col("embedding").cast("array<double>").alias("sig"))
     path = jobs.run_to_table(jobs.stream_boundaries(fr, ["clip"], 0.142, 30.0), jobs.work_folder(spark), "boundaries")

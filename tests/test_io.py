@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from framewise.operators import boundaries as BD
 from framewise.operators import windows as W
 from framewise.sources import tables as ST
@@ -80,3 +81,10 @@ def test_shared_folder_comes_from_the_session(tmp_path):
     assert jobs.work_folder(Session(str(tmp_path), "spark://x")).startswith(str(tmp_path))
     with pytest.raises(ValueError):
         jobs.work_folder(Session(None, "spark://x"))
+
+
+def test_stream_of_boundaries_reads_a_folder_of_parts(spark, tmp_path):
+    run = lambda sf: sorted(map(tuple, queries()["st1_stream_boundaries"](spark, sf).collect()))
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = run("/root/testdata/sf0.001")
+    assert want and run(str(tmp_path)) == want
