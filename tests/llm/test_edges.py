@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framewise.llm import attention, fingerprints, minhash, mixing, pieces, pii, quality, suffixes, toxicity
+from framewise.llm import attention, fingerprints, infilling, minhash, mixing, ngrams, pieces, pii, quality, suffixes, toxicity
 from tests.llm.common import SCHEMA, edge_rows, edges, empty
 
 
@@ -16,6 +16,7 @@ OPERATORS = {
     "suffixes": suffixes.drop_repeats, "mixing": mixing.mixed_sizes, "quality": quality.score_quality, "pieces": pieces.encoded_sizes,
     "toxicity": lambda d: toxicity.score_toxicity(d, labelled(d)), "attention": attention.score_documents, "minhash": lambda d: minhash.near_duplicates(d, n=2),
     "fingerprints": fingerprints.fingerprint_edits, "pii": pii.find_personal_data,
+    "ngrams": lambda d: ngrams.score_quality(d, labelled(d)), "infilling": infilling.fill_in_middle,
 }
 
 
