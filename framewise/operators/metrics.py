@@ -1,21 +1,22 @@
 """Motion and detection metrics.
 
-Pose metrics work on pairs of sampled clips.  A clip has a fixed number of
-samples (24 in the usual capture), so arrays per (pair, segment) stay small;
-one shuffle brings both sides of a sample together instead of a join per role.
-Statistics over open-ended groups go through :func:`framewise.scale.quantiles`.
+Pose metrics work on pairs of clips of any length.  One shuffle brings both sides of a sample together instead of a
+join per role; after it, only a sample's joints stand in one row.  What a pair is judged by merges: minima, counts and
+first values are partial aggregates, medians go through :func:`framewise.scale.quantiles`, and steps between
+neighbouring samples through :func:`framewise.scale.previous`.  The samples of a pair never meet in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise import constants as C
 from framewise import scale
 from framewise.functions import vectors as V
+from framewise.staging import stage
 
 
 def sorted_median(a: Column) -> Column:
@@ -41,7 +42,7 @@ def median_and_mad(values: Column) -> tuple[Column, Column]:
 def robust_stats(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Median, p90, MAD, spread (1.4826 MAD) and largest deviation; two passes, each exact."""
     keys = list(keys)
-    first = scale.quantiles(df, keys, {"median": (column, 0.5), "p90": (column, 0.9)})
+    first = stage(scale.quantiles(df, keys, {"median": (column, 0.5), "p90": (column, 0.9)}), "medians")
     away = F.abs(F.col(column) - F.col("median"))
     marked = df.join(first.select(*keys, "median"), keys).withColumn("__d", away)
     second = scale.quantiles(marked, keys, {"mad": ("__d", 0.5)})
@@ -136,28 +137,31 @@ def segment_angles(poses: DataFrame, segments: Sequence[tuple[str, str]]) -> Dat
 
 
 def segment_error(angles: DataFrame) -> DataFrame:
-    """Median and MAD of each (pair, segment), with the angles of its samples."""
-    med, mad = median_and_mad(F.col("d"))
-    return scale.bind(angles.groupBy("pair", "segment").agg(F.collect_list("deg").alias("d")), median_deg=med, mad_deg=mad)
+    """Median and MAD of each (pair, segment)."""
+    keys = ["pair", "segment"]
+    median = stage(scale.quantiles(angles, keys, {"median_deg": ("deg", 0.5)}), "medians")
+    away = angles.join(median, keys).select(*keys, F.abs(F.col("deg") - F.col("median_deg")).alias("away"))
+    return median.join(scale.quantiles(away, keys, {"mad_deg": ("away", 0.5)}), keys)
 
 
 def pair_error(angles: DataFrame, segments: Sequence[tuple[str, str]], fingers: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Overall median / p90, worst segment (first listed wins ties) and worst motion deviation per pair.
 
-    Finger segments are summed up apart.  A pair has a few hundred angles, kept as one array.
+    Finger segments are summed up apart.  Arrays hold one value per segment, never one per sample.
     """
     names = [f"{a}->{b}" for a, b in segments]
     order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("segment"))
     body, hand = F.col("segment").isin(names), F.col("segment").isin([f"{a}->{b}" for a, b in fingers])
     only = lambda test, c: F.when(test, F.col(c))
+    angles = stage(angles, "angles")
     g = segment_error(angles).groupBy("pair").agg(
         F.max_by(only(body, "segment"), F.when(body, F.struct("median_deg", -order))).alias("worst_segment"),
         F.max(only(body, "median_deg")).alias("worst_segment_deg"), F.max(only(body, "mad_deg")).alias("motion_deviation_deg"),
         F.count_if(body).alias("segments_compared"), F.count_if(hand).alias("finger_compared"),
         F.max(only(hand, "median_deg")).alias("finger_worst_deg"),
-        sorted_median(F.array_sort(F.collect_list(only(hand, "median_deg")))).alias("finger_median_deg"),
-        F.array_sort(F.flatten(F.collect_list(only(body, "d")))).alias("__a"))
-    return g.withColumns({"median_deg": sorted_median(F.col("__a")), "p90_deg": sorted_quantile(F.col("__a"), 0.9)}).drop("__a")
+        sorted_median(F.array_sort(F.collect_list(only(hand, "median_deg")))).alias("finger_median_deg"))
+    whole = scale.quantiles(angles.where(body), ["pair"], {"median_deg": ("deg", 0.5), "p90_deg": ("deg", 0.9)})
+    return g.join(whole, "pair", "left")
 
 
 def _chain_length(m: Column, chain: Sequence[str]) -> Column:
@@ -168,78 +172,69 @@ def _chain_length(m: Column, chain: Sequence[str]) -> Column:
     return length
 
 
-def ground_rows(poses: DataFrame, roles: Sequence[str] = C.GROUND_ROLES, chain: Sequence[str] = C.SCALE_CHAIN) -> DataFrame:
-    """One row per pair: both body scales and the ground joints of all samples in order.
+def ground_stats(poses: DataFrame, roles: Sequence[str] = C.GROUND_ROLES, chain: Sequence[str] = C.SCALE_CHAIN) -> DataFrame:
+    """One row per (pair, side): samples ``n``, body ``scale`` and per ground joint its lowest height, null unless the joint is
+    seen in every sample and there is a scale.
 
-    Two shuffles in all; everything after works inside the row (24 samples per clip in the usual capture).
-    ``<side>_scale`` is 0 when a joint of the chain is missing at the first sample; ``<side>_full`` lists the
-    ground joints seen in every sample of that side.
+    The scale is the length of the chain at sample 0, and 0 when a joint of the chain is missing there.
     """
-    s = _samples(poses)
-    joint = lambda side, r: F.element_at(side, F.lit(r))
-    one = F.struct("sample", *[joint(side, r).alias(f"{side}_{r}") for side in "st" for r in roles])
-    first = F.col("sample") == 0
-    aggs = [F.array_sort(F.collect_list(one)).alias("rows")]
-    for side in "st":
-        there = F.size(side) > 0
-        aggs.append(F.coalesce(F.max(F.when(first, _chain_length(F.col(side), chain))), F.lit(0.0)).alias(f"{side}_scale"))
-        aggs.append(F.count_if(there).alias(f"__n_{side}"))
-        aggs += [F.count(joint(side, r)).alias(f"__c_{side}_{r}") for r in roles]
-    g = s.groupBy("pair").agg(*aggs)
-    full = {f"{side}_full": F.array_compact(F.array(*[
-        F.when((F.col(f"__c_{side}_{r}") == F.col(f"__n_{side}")) & (F.col(f"__n_{side}") > 0) & (F.col(f"{side}_scale") > 1e-6), F.lit(r))
-        for r in roles])) for side in "st"}
-    return g.withColumns(full).select("pair", "rows", "s_scale", "t_scale", "s_full", "t_full", *[
-        F.col(f"__n_{side}").alias(f"{side}_n") for side in "st"])
+    per = poses.groupBy("pair", "side", "sample").agg(*[
+        F.max(F.when(F.col("role") == r, F.struct("x", "y", "z"))).alias(r) for r in dict.fromkeys([*roles, *chain])])
+    length = _chain_length({r: F.col(r) for r in chain}, chain)
+    g = per.groupBy("pair", "side").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(F.col("sample") == 0, length)), F.lit(0.0)).alias("scale"),
+        *[F.count(r).alias(f"__c_{r}") for r in roles], *[F.min(F.col(r)["z"]).alias(f"__z_{r}") for r in roles])
+    seen = {f"low_{r}": F.when((F.col(f"__c_{r}") == F.col("n")) & (F.col("scale") > 1e-6), F.col(f"__z_{r}")) for r in roles}
+    return g.select("pair", "side", "n", "scale", *[c.alias(n) for n, c in seen.items()])
 
 
 def pose_scale(poses: DataFrame, chain: Sequence[str] = C.SCALE_CHAIN) -> DataFrame:
     """Chain length at the first sample; 0 when a joint of the chain is missing."""
-    g = ground_rows(poses, chain=chain)
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_scale").alias("scale"), F.col(f"{s}_n").alias("n")) for s in "st"])
-    return g.select("pair", F.inline(sides)).where("n > 0").drop("n")
+    return ground_stats(poses, (), chain).select("pair", "side", "scale")
 
 
 def contact_metrics(poses: DataFrame, roles: Sequence[str] = C.GROUND_ROLES) -> DataFrame:
     """Median difference of foot height and share of samples whose ground contact differs."""
-    g = ground_rows(poses, roles)
-    zs = lambda side, r: F.array_compact(F.transform("rows", lambda e: e[f"{side}_{r}"]["z"]))
-    g = scale.bind(g, **{f"{side}_floor": F.array_min(F.flatten(F.array(*[
-        F.when(F.array_contains(f"{side}_full", r), zs(side, r)).otherwise(F.array().cast("array<double>")) for r in roles]))) for side in "st"})
-    height = lambda e, side, r: (e[f"{side}_{r}"]["z"] - F.col(f"{side}_floor")) / F.nullif(F.col(f"{side}_scale"), F.lit(0.0))
-    both = lambda r: F.filter(F.transform("rows", lambda e: F.struct(height(e, "s", r).alias("a"), height(e, "t", r).alias("b"))),
-                              lambda h: h["a"].isNotNull() & h["b"].isNotNull())
-    shared = lambda r: F.array_contains("s_full", r) & F.array_contains("t_full", r)
-    h = scale.bind(g, __h=F.flatten(F.array(*[F.when(shared(r), both(r)).otherwise(F.array().cast("array<struct<a:double,b:double>>")) for r in roles])))
-    down = lambda x: x <= C.CONTACT_HEIGHT
-    gaps = F.array_sort(F.transform("__h", lambda p: F.abs(p["a"] - p["b"])))
-    differ = F.size(F.filter("__h", lambda p: down(p["a"]) != down(p["b"])))
-    return h.where(F.size("__h") > 0).select("pair", sorted_median(gaps).alias("foot_clearance_error"),
-                                            (differ / F.size("__h")).alias("contact_mismatch"))
+    stats = ground_stats(poses, roles)
+    floor = F.array_min(F.array(*[f"low_{r}" for r in roles]))
+    is_side = lambda s: F.col("side") == s
+    both = stats.groupBy("pair").agg(*[F.max(F.when(is_side(s), c)).alias(f"{s}_{n}") for s in "st" for n, c in (
+        ("floor", floor), ("scale", F.col("scale")), *((r, F.col(f"low_{r}")) for r in roles))])
+    shared = F.array_compact(F.array(*[F.when(F.col(f"s_{r}").isNotNull() & F.col(f"t_{r}").isNotNull(), F.lit(r)) for r in roles]))
+    limits = both.select("pair", *[f"{s}_{n}" for s in "st" for n in ("floor", "scale")], F.explode(shared).alias("role"))
+    feet = poses.where(F.col("role").isin(list(roles))).groupBy("pair", "sample", "role").agg(*[
+        F.max(F.when(is_side(s), F.col("z"))).alias(f"{s}_z") for s in "st"]).where("s_z IS NOT NULL AND t_z IS NOT NULL")
+    height = lambda s: (F.col(f"{s}_z") - F.col(f"{s}_floor")) / F.col(f"{s}_scale")
+    h = feet.join(limits, ["pair", "role"]).select("pair", height("s").alias("a"), height("t").alias("b"))
+    h = h.withColumns({"gap": F.abs(F.col("a") - F.col("b")), "differs": (F.col("a") <= C.CONTACT_HEIGHT) != (F.col("b") <= C.CONTACT_HEIGHT)})
+    h = stage(h.select("pair", "gap", "differs"), "heights")
+    mismatch = h.groupBy("pair").agg((F.count_if("differs") / F.count(F.lit(1))).alias("contact_mismatch"))
+    return scale.quantiles(h, ["pair"], {"foot_clearance_error": ("gap", 0.5)}).join(mismatch, "pair")
 
 
 def foot_slide(poses: DataFrame, roles: Sequence[str] = C.GROUND_ROLES) -> DataFrame:
-    """Median horizontal move between neighbouring samples while the foot is down, in body scales."""
-    g = ground_rows(poses, roles)
+    """Median horizontal move between neighbouring samples while the foot is down, in body scales.
 
-    def slides(side: str, r: str) -> Column:
-        track = F.filter(F.transform("rows", lambda e: e[f"{side}_{r}"]), lambda p: p.isNotNull())
-        limit = F.array_min(F.transform(track, lambda p: p["z"])) + F.col(f"{side}_scale") * C.CONTACT_HEIGHT
-        steps = F.zip_with(F.slice(track, F.lit(1), F.greatest(F.lit(0), F.size(track) - 1)), F.slice(track, F.lit(2), F.greatest(F.lit(0), F.size(track) - 1)),
-                           lambda a, b: F.when((a["z"] <= limit) & (b["z"] <= limit), F.sqrt((b["x"] - a["x"]) ** 2 + (b["y"] - a["y"]) ** 2)))
-        return F.when(F.array_contains(f"{side}_full", r), F.array_compact(steps)).otherwise(F.array().cast("array<double>"))
-
-    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.flatten(F.array(*[slides(side, r) for r in roles])).alias("m"), F.col(f"{side}_scale").alias("scale")) for side in "st"])
-    long = g.select("pair", F.inline(sides)).where(F.size("m") > 0)
-    return long.select("pair", "side", (sorted_median(F.array_sort("m")) / F.col("scale")).alias("foot_slide"))
+    Samples of a side count from 0 without gaps.
+    """
+    stats = ground_stats(poses, roles)
+    lows = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"low_{r}").alias("low")) for r in roles])
+    limits = stats.select("pair", "side", "scale", F.inline(lows)).where("low IS NOT NULL")
+    feet = poses.where(F.col("role").isin(list(roles)))
+    steps = scale.previous(feet, ["pair", "side", "role"], "sample", {"px": "x", "py": "y", "pz": "z"}).where("pz IS NOT NULL")
+    limit = F.col("low") + F.col("scale") * C.CONTACT_HEIGHT
+    moved = F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2) / F.col("scale")
+    down = steps.join(limits, ["pair", "side", "role"]).where((F.col("z") <= limit) & (F.col("pz") <= limit))
+    return scale.quantiles(stage(down.select("pair", "side", moved.alias("moved")), "slides"), ["pair", "side"], {"foot_slide": ("moved", 0.5)})
 
 
 def twist_range(twists: DataFrame) -> DataFrame:
-    """Largest rotation away from the first sample per (pair, side, role)."""
-    g = twists.groupBy("pair", "side", "role").agg(F.array_sort(F.collect_list(F.struct("sample", "q"))).alias("t")).where(F.size("t") >= 2)
+    """Largest rotation away from the first sample per (pair, side, role); tracks of one sample have none."""
+    keys = ["pair", "side", "role"]
+    first = twists.groupBy(*keys).agg(F.min(F.struct("sample", "q")).alias("__f"))
     parts = lambda q: [F.get(q, F.lit(i)) for i in range(4)]
-    turns = F.transform(F.slice("t", F.lit(2), F.size("t") - 1), lambda e: V.quaternion_angle_deg(parts(F.get("t", F.lit(0))["q"]), parts(e["q"])))
-    return g.select("pair", "side", "role", F.array_max(turns).alias("deg"))
+    turned = twists.join(first, keys).where(F.col("sample") > F.col("__f.sample"))
+    return turned.groupBy(*keys).agg(F.max(V.quaternion_angle_deg(parts(F.col("__f.q")), parts(F.col("q")))).alias("deg"))
 
 
 def twist_transfer(twists: DataFrame) -> DataFrame:
@@ -285,27 +280,32 @@ def motion_features(pairs: DataFrame, subjects: DataFrame, keys: Sequence[str],
         F.count(F.lit(1)).alias("pairs"), F.exp(F.sum(F.ln("scale"))).alias("net_scale"), F.sum("tx").alias("net_tx"),
         F.sum("ty").alias("net_ty"), F.sum(F.sqrt(F.col("tx") ** 2 + F.col("ty") ** 2)).alias("path"),
         (F.count_if(flip("tx")) + F.count_if(flip("ty"))).alias("direction_changes"))
-    size = subjects.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(ordinal, "height", "box"))).alias("a"), F.min_by("x", ordinal).alias("x0"),
-        F.max_by("x", ordinal).alias("x1"), F.count(F.lit(1)).alias("n"))
-
-    def half_ratio(field: str) -> Column:
-        values = F.transform("a", lambda e: e[field])
-        half = F.floor(F.col("n") / 2).cast("int")
-        late = sorted_median(F.array_sort(F.slice(values, F.col("n").cast("int") - half + 1, half)))
-        early = sorted_median(F.array_sort(F.slice(values, F.lit(1), half)))
-        return F.when((F.col("n") >= 3) & (F.array_min(values) > 0), late / early)
-
-    heights = F.transform("a", lambda e: e["height"])
-    t = F.transform("a", lambda e, i: i / (F.col("n") - 1))
-    logs = F.transform("a", lambda e: F.ln(e["height"]))
-    mean_t, mean_l = V.total(t) / F.col("n"), V.total(logs) / F.col("n")
-    slope = (V.total(F.zip_with(t, logs, lambda x, y: (x - mean_t) * (y - mean_l)))
-             / V.total(F.transform(t, lambda x: (x - mean_t) * (x - mean_t))))
-    size = size.select(*keys, half_ratio("height").alias("subject_scale"), half_ratio("box").alias("box_scale"),
-                       F.when((F.col("n") >= 3) & (F.array_min(heights) > 0), F.exp(slope)).alias("subject_scale_full"),
-                       F.when(F.col("n") >= 2, F.col("x1") - F.col("x0")).alias("subject_dx"))
-    return move.join(size, keys, "left")
+    return move.join(_size_change(subjects, keys, ordinal), keys, "left")
+
+
+def _size_change(subjects: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """Change of the subject's size: medians of the late half over the early half, and the fitted growth over the shot.
+
+    The middle sample of an odd number belongs to neither half.
+    """
+    line = scale.ordinal(subjects, keys, [ordinal], "__r", block=F.floor(F.col(ordinal) / scale.SPAN))
+    whole = subjects.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("height").alias("__h"), F.min("box").alias("__b"),
+        F.min_by("x", ordinal).alias("x0"), F.max_by("x", ordinal).alias("x1"))
+    half = F.floor(F.col("__n") / 2)
+    halves = {f"__{part}_{c}": F.when(test, F.col(c)) for c in ("height", "box") for part, test in (
+        ("early", F.col("__r") < half), ("late", F.col("__r") >= F.col("__n") - half))}
+    kept = ["__n", "__h", "__b", "x0", "x1"]
+    placed = stage(line.join(whole, keys).select(
+        *keys, *kept, *[c.alias(n) for n, c in halves.items()], F.when(F.col("__h") > 0, F.ln("height")).alias("__log"),
+        (F.col("__r") / F.greatest(F.lit(1), F.col("__n") - 1)).alias("__t")), "subjects")
+    middles = scale.quantiles(placed, keys, {n: (n, 0.5) for n in halves})
+    grown = placed.groupBy(*keys).agg(F.regr_slope("__log", "__t").alias("__slope"), *[F.first(c).alias(c) for c in kept])
+    ratio = lambda c, low: F.when((F.col("__n") >= 3) & (F.col(low) > 0), F.col(f"__late_{c}") / F.col(f"__early_{c}"))
+    return grown.join(middles, keys).select(
+        *keys, ratio("height", "__h").alias("subject_scale"), ratio("box", "__b").alias("box_scale"),
+        F.when(F.col("__n") >= 3, F.exp("__slope")).alias("subject_scale_full"),
+        F.when(F.col("__n") >= 2, F.col("x1") - F.col("x0")).alias("subject_dx"))
 
 
 def classify_motion(features: DataFrame) -> DataFrame:
@@ -415,12 +415,12 @@ def motion_extent(tracks: DataFrame, keys: Sequence[str], roles: Sequence[str])
 
 
 def step_median(tracks: DataFrame, keys: Sequence[str], roles: Sequence[str], ordinal: str = "sample") -> DataFrame:
-    """Upper median of the largest axis step between neighbouring samples of one clip."""
-    w = Window.partitionBy(*keys, "role").orderBy(ordinal)
+    """Upper median of the largest axis step between neighbouring samples; samples count from 0 without gaps."""
+    keys = list(keys)
     t = tracks.where(F.col("role").isin(list(roles)))
-    steps = t.select(*keys, F.greatest(*[F.abs(F.col(c) - F.lag(c).over(w)) for c in "xyz"]).alias("s")).where("s IS NOT NULL")
-    a = steps.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("a"))
-    return a.select(*keys, F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("step"))
+    steps = scale.previous(t, [*keys, "role"], ordinal, {f"__{c}": c for c in "xyz"}).where("__x IS NOT NULL")
+    largest = steps.select(*keys, F.greatest(*[F.abs(F.col(c) - F.col(f"__{c}")) for c in "xyz"]).alias("s"))
+    return scale.quantiles(stage(largest, "steps"), keys, {"step": ("s", 0.5)}, upper=["step"])
 
 
 def active_curves(curves: DataFrame, curve: Sequence[str], value: str = "value", top: int = 12) -> DataFrame:
@@ -450,18 +450,3 @@ def rule_check(metrics: DataFrame, rules: DataFrame, skips: DataFrame, errors: D
     status = (F.when(F.col("__err"), "FAIL").when(F.col("__skip"), "SKIP").when(F.col("value").isNull(), "FAIL")
               .when(good, "OK").otherwise("FAIL"))
     return j.select("suite", "path", "op", "value", status.alias("status"))
-
-
-def fit_bodies(people: DataFrame, frame_w: float, frame_h: float, threshold: float = 0.35, ratios: dict | None = None) -> DataFrame:
-    """Body line, height and tilt of every detection with usable keypoints (column ``kp``).
-
-    Runs row by row in Arrow batches; no grouping and no shuffle.  ``ratios`` may
-    replace body proportions by calibrated ones (keypoint index or width name).
-    """
-    from framewise.operators import kernels as N
-    given = ratios or {}
-    ratio = {i: given.get(i, r) for i, r in C.KEYPOINT_RATIO.items()}
-    widths = {n: given.get(n, r) for n, r in C.WIDTH_RATIO.items()}
-    fit = N.body_fit(ratio, widths, C.EYE_RATIO, set(C.HIP_AND_LOWER), C.UPPER_KEYPOINTS, threshold, frame_w, frame_h)
-    part = lambda f: F.transform("kp", lambda p: p[f])
-    return people.withColumn("body", fit(part("x"), part("y"), part("score"))).where("body.height IS NOT NULL")

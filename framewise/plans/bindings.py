@@ -1,24 +1,18 @@
 """Bindings of the given tables to operator inputs, with the same views in SQL.
 
-Ids split every natural key (user, label) into clips of bounded length, so a
-key that owns a large share of the rows becomes many clips rather than one
-huge group: a clip of embeddings has at most 128 frames and a reel of events
-at most 65,536 shots.  Orders have no row id; their shots are numbered with the
-blocked ordinal and cut into reels of 100.
+Keys are the natural ones: a reel is a user, a clip and a pair of clips are labels, a plan is an order.
+Any of them may own a large share of the rows; the operators split it inside, and rows are numbered
+here with the blocked ordinal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise import scale
 from framewise.plans.registry import table
 
-KEY_SHIFT = 2147483648
-FRAMES_PER_CLIP = 128
-EVENTS_PER_REEL = 65536
-SHOTS_PER_PLAN = 100
 EPOCH = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 LINE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
               "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -35,33 +29,30 @@ def literal_map(values: dict):
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> (reel, i, t, value, k, event_type), i counts from 1 in time order."""
-    ev = table(spark, sf_dir, "events")
-    reel = F.col("user_id") * KEY_SHIFT + F.floor(F.col("event_id") / EVENTS_PER_REEL).cast("bigint")
-    w = Window.partitionBy("reel").orderBy("event_id")
-    return (ev.select(
-        reel.alias("reel"), "event_id",
+    """events -> (reel, i, t, value, k, event_type), i counts from 1 in the order of ids."""
+    ev = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("bigint").alias("reel"), "event_id",
         F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, ts) / 1e6").alias("t"),
         "value", F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type")
-        .withColumn("i", F.row_number().over(w).cast("bigint")))
+    numbered = scale.ordinal(ev, ["reel"], ["event_id"], "i", block=F.floor(F.col("event_id") / scale.SPAN))
+    return numbered.withColumn("i", F.col("i") + 1)
 
 
 EV = f"""ev AS (SELECT reel, event_id, row_number() OVER (PARTITION BY reel ORDER BY event_id) AS i, t, value, k, event_type
-FROM (SELECT user_id * {KEY_SHIFT} + event_id // {EVENTS_PER_REEL} AS reel, event_id,
+FROM (SELECT user_id::BIGINT AS reel, event_id,
  date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 AS t, value,
  CAST(regexp_extract(props, '[0-9]+') AS INT) AS k, event_type FROM events))"""
 
 
 def event_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> shots of one reel: contiguous intervals with labels; the last one lasts ten seconds."""
-    ev = event_series(spark, sf_dir)
-    w = Window.partitionBy("reel").orderBy("i")
+    ev = scale.following(event_series(spark, sf_dir), ["reel"], "i", {"t1": "t"})
     angle = (F.when(F.col("value") < 10, "low").when(F.col("value") < 35, "eye")
              .when(F.col("value") < 80, "high").otherwise("overhead"))
     motions = F.array(*[F.lit(m) for m in MOTION_OF_REST])
     return ev.select(
         "reel", (F.col("i") - 1).alias("shot_idx"), F.concat(F.lit("Shot_"), F.col("i")).alias("name"),
-        F.col("t").alias("start"), F.coalesce(F.lead("t").over(w), F.col("t") + 10.0).alias("end"),
+        F.col("t").alias("start"), F.coalesce("t1", F.col("t") + 10.0).alias("end"),
         literal_map(SIZE_OF_EVENT)[F.col("event_type")].alias("size"), angle.alias("angle"),
         F.get(motions, F.col("k") % 10).alias("motion"), (F.lit(1) + F.col("k") % 3).alias("people"),
         F.least(F.lit(1.0), F.col("value") / 100.0).alias("confidence"))
@@ -76,34 +67,25 @@ ES = EV + f""", es AS (SELECT reel, i - 1 AS shot_idx, 'Shot_' || i AS name, t A
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings -> (clip, label, frame, vec_id, sig), frame counts from 0."""
-    e = table(spark, sf_dir, "embeddings")
-    clip = F.col("label").cast("bigint") * KEY_SHIFT + F.floor(F.col("vec_id") / FRAMES_PER_CLIP).cast("bigint")
-    w = Window.partitionBy("clip").orderBy("vec_id")
-    return (e.select(clip.alias("clip"), F.col("label").cast("bigint").alias("label"), "vec_id",
-                     F.floor(F.col("vec_id") / FRAMES_PER_CLIP).cast("bigint").alias("block"),
-                     F.col("embedding").cast("array<double>").alias("sig"))
-            .withColumn("frame", (F.row_number().over(w) - 1).cast("bigint")))
+    """embeddings -> (clip, label, frame, vec_id, sig), frame counts from 0; a clip is a label."""
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("bigint").alias("clip"), F.col("label").cast("bigint").alias("label"), "vec_id",
+        F.col("embedding").cast("array<double>").alias("sig"))
+    return scale.ordinal(e, ["clip"], ["vec_id"], "frame", block=F.floor(F.col("vec_id") / scale.SPAN))
 
 
-FR = f"""fr AS (SELECT clip, label, block, row_number() OVER (PARTITION BY clip ORDER BY vec_id) - 1 AS frame, vec_id, sig
-FROM (SELECT CAST(label AS BIGINT) * {KEY_SHIFT} + vec_id // {FRAMES_PER_CLIP} AS clip, CAST(label AS BIGINT) AS label,
- vec_id // {FRAMES_PER_CLIP} AS block, vec_id, CAST(embedding AS DOUBLE[]) AS sig FROM embeddings))"""
+FR = """fr AS (SELECT label::BIGINT AS clip, label::BIGINT AS label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, vec_id,
+ CAST(embedding AS DOUBLE[]) AS sig FROM embeddings)"""
 
 
 def order_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem -> (plan, shot_idx, all line columns); plans are reels of at most 100 shots of one order."""
+    """lineitem -> (plan, shot_idx, all line columns); a plan is an order."""
     li = table(spark, sf_dir, "lineitem")
     month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
-    numbered = scale.ordinal(li, ["l_orderkey"], LINE_ORDER, "__o", block=month)
-    return (numbered
-            .withColumn("plan", F.col("l_orderkey") * KEY_SHIFT + F.floor(F.col("__o") / SHOTS_PER_PLAN).cast("bigint"))
-            .withColumn("shot_idx", F.col("__o") % SHOTS_PER_PLAN).drop("__o"))
+    return scale.ordinal(li, ["l_orderkey"], LINE_ORDER, "shot_idx", block=month).withColumn("plan", F.col("l_orderkey"))
 
 
-LS = f"""ls AS (SELECT l_orderkey * {KEY_SHIFT} + o // {SHOTS_PER_PLAN} AS plan, o % {SHOTS_PER_PLAN} AS shot_idx,
- * EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) - 1 AS o
- FROM lineitem))"""
+LS = f"""ls AS (SELECT l_orderkey AS plan, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) - 1 AS shot_idx, * FROM lineitem)"""
 
 
 def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +113,7 @@ ROLES = ["Pelvis", "Spine", "Neck", "Head", "LeftUpperArm", "LeftLowerArm", "Lef
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings -> (pair, side, sample, role, x, y, z): a clip against the clip of the next label, same block.
+    """embeddings -> (pair, side, sample, role, x, y, z): the frames of a label against those of the next label.
 
     Two joints are left out on purpose to exercise the rules for missing roles.
     """
@@ -139,7 +121,7 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     joints = F.array(*[F.struct(F.lit(r).alias("role"), *[F.get("sig", F.lit(3 * j + a)).alias(n) for a, n in enumerate("xyz")])
                        for j, r in enumerate(ROLES)])
     both = F.array(F.struct(F.col("clip").alias("pair"), F.lit("s").alias("side")),
-                   F.struct((((F.col("label") + 9) % 10) * KEY_SHIFT + F.col("block")).alias("pair"), F.lit("t").alias("side")))
+                   F.struct(((F.col("label") + 9) % 10).alias("pair"), F.lit("t").alias("side")))
     out = fr.select("label", F.col("frame").alias("sample"), F.explode(both).alias("p"), joints.alias("j")).select(
         "label", "p.pair", "p.side", "sample", F.inline("j"))
     gone = (((F.col("side") == "s") & (F.col("label") == 3) & (F.col("role") == "Neck"))
@@ -147,7 +129,7 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(~gone).drop("label")
 
 
-PO = FR + f""", po AS (SELECT pair, side, sample, role, x, y, z FROM (SELECT CASE WHEN sd = 0 THEN clip ELSE ((label + 9) % 10) * {KEY_SHIFT} + block END AS pair, CASE WHEN sd = 0 THEN 's' ELSE 't' END AS side,
+PO = FR + f""", po AS (SELECT pair, side, sample, role, x, y, z FROM (SELECT CASE WHEN sd = 0 THEN clip ELSE (label + 9) % 10 END AS pair, CASE WHEN sd = 0 THEN 's' ELSE 't' END AS side,
  frame AS sample, label, ({ROLES})[j + 1] AS role, sig[3*j+1] AS x, sig[3*j+2] AS y, sig[3*j+3] AS z FROM fr, range(0, 21) a(j), range(0, 2) b(sd))
  WHERE NOT (side = 's' AND label = 3 AND role = 'Neck') AND NOT (side = 't' AND label = 5 AND role = 'LeftCalf'))"""
 
@@ -163,11 +145,11 @@ def twists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(F.struct(F.lit("LeftLowerArm").alias("role"), unit(57).alias("q")),
                    F.struct(F.lit("RightCalf").alias("role"), unit(61).alias("q")))
     both = F.array(F.struct(F.col("clip").alias("pair"), F.lit("s").alias("side")),
-                   F.struct((((F.col("label") + 9) % 10) * KEY_SHIFT + F.col("block")).alias("pair"), F.lit("t").alias("side")))
+                   F.struct(((F.col("label") + 9) % 10).alias("pair"), F.lit("t").alias("side")))
     return fr.select(F.col("frame").alias("sample"), F.explode(both).alias("p"), rows.alias("r")).select(
         "p.pair", "p.side", "sample", F.inline("r"))
 
 
-TW = FR + f""", tw AS (SELECT CASE WHEN sd = 0 THEN clip ELSE ((label + 9) % 10) * {KEY_SHIFT} + block END AS pair, CASE WHEN sd = 0 THEN 's' ELSE 't' END AS side, frame AS sample,
+TW = FR + f""", tw AS (SELECT CASE WHEN sd = 0 THEN clip ELSE (label + 9) % 10 END AS pair, CASE WHEN sd = 0 THEN 's' ELSE 't' END AS side, frame AS sample,
  (['LeftLowerArm', 'RightCalf'])[k + 1] AS role, list_transform(sig[57+4*k:60+4*k], lambda x: x / sqrt(list_sum(list_transform(sig[57+4*k:60+4*k], lambda y: y*y)))) AS q
  FROM fr, range(0, 2) a(k), range(0, 2) b(sd))"""

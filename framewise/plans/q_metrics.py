@@ -10,6 +10,7 @@ from framewise.operators import metrics as M
 from framewise.plans import bindings as B
 from framewise.plans.q_functions import SQL_USABLE, r6, sql_angle
 from framewise.plans.registry import query, table
+from framewise.staging import stage
 
 FINGERS = [("LeftIndex1", "LeftIndex2"), ("RightThumb1", "RightThumb2")]
 
@@ -86,7 +87,7 @@ LIMITS = {"worst_segment_deg": 100.0, "motion_deviation_deg": 30.0, "foot_cleara
 
 
 def quality(spark, sf):
-    rows = M.quality_rows(B.poses(spark, sf), B.twists(spark, sf), C.SEGMENTS, FINGERS)
+    rows = M.quality_rows(stage(B.poses(spark, sf), "poses"), B.twists(spark, sf), C.SEGMENTS, FINGERS)
     return M.quality_flags(rows, LIMITS)
 
 
@@ -178,7 +179,7 @@ def _(spark, sf):
 
 
 @query("a6_shot_summary", f"""WITH {B.EV}, s AS (SELECT reel, floor(t / 86400)::BIGINT AS day, i, event_type <> 'error' AS det, value / 40 AS h, k / 100.0 AS fx, (value % 10) / 10 AS fy, k / 200.0 AS bw, 0.3 + k / 150.0 AS sc, 1 + k % 3 AS people FROM ev),
-sh AS (SELECT reel, day, CASE WHEN (reel // {B.KEY_SHIFT} + day) % 3 = 0 THEN 'pan' ELSE 'static' END AS motion FROM s GROUP BY ALL),
+sh AS (SELECT reel, day, CASE WHEN (reel + day) % 3 = 0 THEN 'pan' ELSE 'static' END AS motion FROM s GROUP BY ALL),
 g AS (SELECT reel, day, count(*) AS n, count(*) FILTER (WHERE det) AS f, max(people) AS pm, median(h) FILTER (WHERE det) AS mh, median(fx) FILTER (WHERE det) AS mx, median(fy) FILTER (WHERE det) AS my, median(bw) FILTER (WHERE det) AS mb,
  avg(sc) FILTER (WHERE det) AS q, stddev_pop(h) FILTER (WHERE det) AS sd, avg(h) FILTER (WHERE det) AS me, stddev_pop(fx) FILTER (WHERE det) AS sx FROM s GROUP BY ALL)
 SELECT reel, day, round(mh, 6) AS height, round(CASE WHEN f = 0 THEN 0.5 ELSE mx END, 6) AS focus_x, round(CASE WHEN f = 0 THEN 0.5 ELSE my END, 6) AS focus_y, round(CASE WHEN f = 0 THEN 0.3 ELSE mb END, 6) AS box_width, f AS found,
@@ -188,12 +189,12 @@ def _(spark, sf):
     ev = B.event_series(spark, sf).withColumn("day", F.floor(F.col("t") / 86400))
     s = ev.select("reel", "day", (F.col("event_type") != "error").alias("detected"), (F.col("value") / 40).alias("height"), (F.col("k") / 100.0).alias("focus_x"),
                   ((F.col("value") % 10) / 10).alias("focus_y"), (F.col("k") / 200.0).alias("box_width"), (0.3 + F.col("k") / 150.0).alias("score"), (1 + F.col("k") % 3).alias("people"))
-    shots = s.select("reel", "day", F.when((F.floor(F.col("reel") / B.KEY_SHIFT) + F.col("day")) % 3 == 0, "pan").otherwise("static").alias("motion")).distinct()
+    shots = s.select("reel", "day", F.when((F.col("reel") + F.col("day")) % 3 == 0, "pan").otherwise("static").alias("motion")).distinct()
     out = M.shot_summary(s, shots, ["reel", "day"])
     return out.withColumns({c: r6(F.col(c)) for c in ("height", "focus_x", "focus_y", "box_width", "confidence")})
 
 
-SQL_MOTION = B.EV + f""", pr AS (SELECT reel, floor(t / 432000)::BIGINT AS shot, i, 1 + (k - 50) / 2000.0 AS scale, CASE WHEN reel // {B.KEY_SHIFT} % 3 = 0 THEN k / 1500.0 ELSE (value - 40) / 3000 END AS tx, (k - 50) / 5000.0 AS ty, 100 + value * CASE WHEN reel // {B.KEY_SHIFT} % 2 = 0 THEN 0.2 ELSE 3 END AS height, 50 + value AS box, k / 100.0 AS x, event_type FROM ev),
+SQL_MOTION = B.EV + f""", pr AS (SELECT reel, floor(t / 432000)::BIGINT AS shot, i, 1 + (k - 50) / 2000.0 AS scale, CASE WHEN reel % 3 = 0 THEN k / 1500.0 ELSE (value - 40) / 3000 END AS tx, (k - 50) / 5000.0 AS ty, 100 + value * CASE WHEN reel % 2 = 0 THEN 0.2 ELSE 3 END AS height, 50 + value AS box, k / 100.0 AS x, event_type FROM ev),
 n1 AS (SELECT *, row_number() OVER (PARTITION BY reel, shot ORDER BY i) - 1 AS o, lag(tx) OVER (PARTITION BY reel, shot ORDER BY i) AS ptx, lag(ty) OVER (PARTITION BY reel, shot ORDER BY i) AS pty FROM pr),
 mv AS (SELECT reel, shot, count(*) AS pairs, exp(sum(ln(scale))) AS net_scale, sum(tx) AS net_tx, sum(ty) AS net_ty, sum(sqrt(tx*tx + ty*ty)) AS path,
  count(*) FILTER (WHERE tx*ptx < 0 AND abs(tx) > 0.004 AND abs(ptx) > 0.004) + count(*) FILTER (WHERE ty*pty < 0 AND abs(ty) > 0.004 AND abs(pty) > 0.004) AS direction_changes FROM n1 GROUP BY ALL),
@@ -210,7 +211,7 @@ lb AS (SELECT *, CASE WHEN pairs >= 3 AND path > 0.05 AND abs(ln(greatest(net_sc
 def motion_inputs(spark, sf):
     from pyspark.sql import Window
     ev = B.event_series(spark, sf)
-    user = F.floor(F.col("reel") / B.KEY_SHIFT)
+    user = F.col("reel")
     w = Window.partitionBy("reel", "shot").orderBy("e")
     pr = ev.select("reel", F.floor(F.col("t") / 432000).alias("shot"), F.col("i").alias("e"), (1 + (F.col("k") - 50) / 2000.0).alias("scale"),
                    F.when(user % 3 == 0, F.col("k") / 1500.0).otherwise((F.col("value") - 40) / 3000).alias("tx"), ((F.col("k") - 50) / 5000.0).alias("ty"),
@@ -305,15 +306,3 @@ def _(spark, sf):
         F.col("l_returnflag").alias("suite"), F.concat_ws(".", "l_linestatus", "name").alias("path"), r6(F.col("v")).alias("value"))
     return M.rule_check(m, spark.createDataFrame(RULES, "suite string, path string, op string, bound double"),
                         spark.createDataFrame(SKIPS, "suite string, path string"), spark.createDataFrame([(e,) for e in ERRORS], "suite string"))
-
-
-@query("a4_body_measure")
-def _(spark, sf):
-    return M.fit_bodies(B.keypoints(spark, sf), 1280.0, 720.0).select("vec_id", "body.height", "body.ax", "body.bx", "body.ay", "body.by", "body.score", "body.tilted", "body.used")
-
-
-@query("a3_robust_line_fit")
-def _(spark, sf):
-    """Full-body lines only: detections whose hips and legs stayed in the fit."""
-    fit = M.fit_bodies(B.keypoints(spark, sf), 1280.0, 720.0, 0.2)
-    return fit.where("body.used >= 3").select("vec_id", "body.height", "body.bx", "body.by", "body.tilted")

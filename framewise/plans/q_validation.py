@@ -294,11 +294,11 @@ def _(spark, sf):
     return ev.select("event_id", *[c.alias(n) for n, c in VA.clean_request(raw).items()])
 
 
-@query("f10_prune_flat_curves", f"""WITH {B.EV}, c AS (SELECT reel, event_type AS curve, i, CASE WHEN (reel // {B.KEY_SHIFT}) % 3 = 0 AND event_type = 'view' THEN 0.0 ELSE value END AS v FROM ev)
+@query("f10_prune_flat_curves", f"""WITH {B.EV}, c AS (SELECT reel, event_type AS curve, i, CASE WHEN reel % 3 = 0 AND event_type = 'view' THEN 0.0 ELSE value END AS v FROM ev)
 SELECT reel, curve, i, v AS value FROM c WINDOW w AS (PARTITION BY reel, curve) QUALIFY NOT (max(v) OVER w - min(v) OVER w < 1e-6 AND abs(max(v) OVER w) < 1e-6)""")
 def _(spark, sf):
     ev = B.event_series(spark, sf)
-    zero = (F.floor(F.col("reel") / B.KEY_SHIFT) % 3 == 0) & (F.col("event_type") == "view")
+    zero = (F.col("reel") % 3 == 0) & (F.col("event_type") == "view")
     c = ev.select("reel", F.col("event_type").alias("curve"), "i", F.when(zero, 0.0).otherwise(F.col("value")).alias("value"))
     return VA.prune_flat_curves(c, ["reel", "curve"])
 

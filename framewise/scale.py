@@ -65,6 +65,18 @@ def previous(df: DataFrame, keys: Sequence[str], ordinal_col: str, columns: Mapp
             .where(F.col("__piece") == piece).drop("__piece"))
 
 
+def following(df: DataFrame, keys: Sequence[str], ordinal_col: str, columns: Mapping[str, str],
+              span: int = SPAN) -> DataFrame:
+    """``lead(1)`` along a dense ordinal; the first row of a piece is also sent to the piece before."""
+    piece = F.floor(F.col(ordinal_col) / span)
+    edge = (F.col(ordinal_col) % span) == 0
+    spread = df.withColumn("__piece", F.explode(
+        F.when(edge, F.array(piece, piece - 1)).otherwise(F.array(piece))))
+    w = Window.partitionBy(*keys, "__piece").orderBy(ordinal_col)
+    return (spread.withColumns({new: F.lead(old).over(w) for new, old in columns.items()})
+            .where(F.col("__piece") == piece).drop("__piece"))
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], ordinal_col: str, sums: Mapping[str, Column],
                 inclusive: bool = True, span: int = SPAN) -> DataFrame:
     """Running totals along an ordinal; large keys add up piece totals first."""
@@ -82,8 +94,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], ordinal_col: str, sums: Mapp
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]],
-              accuracy: int = 10000) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, one row per key.
+              accuracy: int = 10000, upper: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, one row per key; those named in ``upper`` are the value at the higher rank.
 
     ``wanted`` maps an output name to (column, probability); all of them go
     through the same passes, stacked as (name, value).  ``percentile_approx``
@@ -141,7 +153,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str
     v0, v1, frac = F.col("__v0"), F.col("__v1"), F.col("__frac")
     missed = (F.col("__n") > 0) & (v0.isNull() | v1.isNull())
     value = (F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-             .when(frac == 0, v0).otherwise(v0 * (1 - frac) + v1 * frac))
+             .when(F.col("__name").isin(list(upper)), v1).when(frac == 0, v0).otherwise(v0 * (1 - frac) + v1 * frac))
     solved = bracket.join(found, per, "left").select(*per, value.alias("__value"))
     out = solved.groupBy(*group).agg(*[F.max(F.when(F.col("__name") == n, F.col("__value"))).alias(n) for n in wanted])
     return out if keys else out.drop("__all")
