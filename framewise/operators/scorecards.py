@@ -129,33 +129,30 @@ def tier_histogram(audit: DataFrame) -> DataFrame:
 
 
 def weighted_checklist(ref_shots: DataFrame, cine_shots: DataFrame, plans: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """0..100 share of passed checks of a rebuilt plan.
+    """0..100 share of passed checks of a rebuilt plan; one row per row of ``plans``.
 
     ref_shots: duration, motion, role, subjects, confidence; cine_shots: duration,
-    motion, subject, placements; plans: ref_aspect, cine_aspect.
+    motion, subject, placements; plans: ref_aspect, cine_aspect.  Passed and tried checks are counted as integers and the mean
+    confidence is compared as an exact decimal sum, so the score doesn't depend on the order of rows.
     """
-    count = lambda df, n: df.groupBy(key).agg(F.count(F.lit(1)).alias(n))
-    heads = (plans.join(count(ref_shots, "__r"), key, "left").join(count(cine_shots, "__c"), key, "left")
-             .join(ref_shots.groupBy(key).agg(F.avg("confidence").alias("__conf")), key, "left"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-
-    def check(test: Column, weight) -> Column:
-        w = F.lit(float(weight)) if not isinstance(weight, Column) else weight
-        return F.struct(w.alias("weight"), F.coalesce(test, F.lit(False)).alias("passed"))
-
-    plan_checks = heads.select(key, F.inline(F.array(
-        check((zero("__r") > 0) & (zero("__r") == zero("__c")), 20), check(F.abs(F.col("ref_aspect") - F.col("cine_aspect")) <= 0.01, 15),
-        check(F.coalesce("__conf", F.lit(0.0)) >= 0.55, 15))))
-    c = cine_shots.select(key, ordinal, *[F.col(x).alias(f"c_{x}") for x in ("duration", "motion", "subject", "placements")])
-    n = F.greatest(F.lit(1), F.least(zero("__r"), zero("__c")))
-    pairs = ref_shots.join(c, [key, ordinal]).join(heads.select(key, n.cast("double").alias("n")), key)
-    many = F.when(F.col("subjects") > 1, check(F.col("c_placements") >= F.col("subjects"), 20.0 / F.col("n")))
-    shot_checks = pairs.select(key, F.inline(F.array_compact(F.array(
-        check(F.abs(F.col("duration") - F.col("c_duration")) <= 0.05, 10.0 / F.col("n")),
-        check((F.col("motion") == "") | (F.col("motion") == F.col("c_motion")), 15.0 / F.col("n")),
-        check((F.col("role") == "") | (F.col("c_subject") != ""), 15.0 / F.col("n")), many))))
-    both = plan_checks.unionByName(shot_checks)
-    return both.groupBy(key).agg((F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0.0)) / F.sum("weight") * 100).alias("score"))
+    there = F.lit(True)
+    c = cine_shots.select(key, ordinal, there.alias("__cine"), *[F.col(x).alias(f"c_{x}") for x in ("duration", "motion", "subject", "placements")])
+    j = ref_shots.select(key, ordinal, there.alias("__ref"), "duration", "motion", "role", "subjects", "confidence").join(c, [key, ordinal], "full_outer")
+    pair = F.col("__ref") & F.col("__cine")
+    many = pair & (F.col("subjects") > 1)
+    checks = {"d": (pair, F.abs(F.col("duration") - F.col("c_duration")) <= 0.05), "m": (pair, (F.col("motion") == "") | (F.col("motion") == F.col("c_motion"))),
+              "s": (pair, (F.col("role") == "") | (F.col("c_subject") != "")), "p": (many, F.col("c_placements") >= F.col("subjects"))}
+    counted = j.groupBy(key).agg(
+        F.count("__ref").alias("r"), F.count("__cine").alias("c"), F.count("confidence").alias("known"), F.sum(F.col("confidence").cast("decimal(20,9)")).alias("sure"),
+        F.count_if(pair).alias("tried"), F.count_if(many).alias("crowded"), *[F.count_if(tried & passed).alias(n) for n, (tried, passed) in checks.items()])
+    h = plans.join(counted, key, "left").fillna(0, ["r", "c", "known", "tried", "crowded", *checks])
+    n = F.greatest(F.lit(1), F.least("r", "c"))
+    sure = F.coalesce((F.col("known") > 0) & (F.col("sure") >= F.col("known") * F.lit("0.55").cast("decimal(3,2)")), F.lit(False))
+    whole = [(20, (F.col("r") > 0) & (F.col("r") == F.col("c"))), (15, F.abs(F.col("ref_aspect") - F.col("cine_aspect")) <= 0.01), (15, sure)]
+    passed = sum((F.when(test, weight).otherwise(0) for weight, test in whole[1:]), F.when(whole[0][1], whole[0][0]).otherwise(0))
+    shots = 10 * F.col("d") + 15 * F.col("m") + 15 * F.col("s") + 20 * F.col("p")
+    # numerator and denominator of the share, both times n
+    return h.select(key, (100 * (passed * n + shots) / (50 * n + 40 * F.col("tried") + 20 * F.col("crowded"))).alias("score"))
 
 
 def active_area(frames: DataFrame, keys: Sequence[str], sig: str, width: int, height: int, unit: float = 1.0) -> DataFrame:

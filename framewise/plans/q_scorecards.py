@@ -106,11 +106,11 @@ def _(spark, sf):
 
 @query("a31_weighted_checklist", f"""WITH {B.LS}, rf AS (SELECT plan, shot_idx, l_orderkey AS ok, l_quantity / 10 AS dur, CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'pan' ELSE 'tilt' END AS motion, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE 'm' END AS role, (l_suppkey % 3)::INT AS subs, l_discount * 12 AS conf FROM ls),
 ci AS (SELECT plan, shot_idx, l_quantity / 10 + CASE WHEN l_suppkey % 5 = 0 THEN 0.2 ELSE 0 END AS dur, CASE WHEN l_suppkey % 2 = 0 THEN 'pan' ELSE 'tilt' END AS motion, CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE 'h' END AS subj, (l_partkey % 4)::INT AS pla FROM ls WHERE l_linenumber < 7 OR shot_idx = 0),
-pl AS (SELECT plan, any_value(ok) AS ok, count(*) AS r, avg(conf) AS conf FROM rf GROUP BY plan), pc AS (SELECT plan, count(*) AS c FROM ci GROUP BY plan), hd AS (SELECT *, greatest(1, least(r, c))::DOUBLE AS n FROM pl JOIN pc USING (plan)),
-ck AS (SELECT plan, 20.0 AS w, r = c AS p FROM hd UNION ALL SELECT plan, 15.0, ok % 3 <> 0 FROM hd UNION ALL SELECT plan, 15.0, conf >= 0.55 FROM hd
- UNION ALL SELECT plan, 10.0 / n, abs(rf.dur - ci.dur) <= 0.05 FROM rf JOIN ci USING (plan, shot_idx) JOIN hd USING (plan) UNION ALL SELECT plan, 15.0 / n, rf.motion = '' OR rf.motion = ci.motion FROM rf JOIN ci USING (plan, shot_idx) JOIN hd USING (plan)
- UNION ALL SELECT plan, 15.0 / n, role = '' OR subj <> '' FROM rf JOIN ci USING (plan, shot_idx) JOIN hd USING (plan) UNION ALL SELECT plan, 20.0 / n, pla >= subs FROM rf JOIN ci USING (plan, shot_idx) JOIN hd USING (plan) WHERE subs > 1)
-SELECT plan, round(sum(CASE WHEN p THEN w ELSE 0 END) / sum(w) * 100, 6) AS score FROM ck GROUP BY plan""")
+pl AS (SELECT plan, any_value(ok) AS ok, count(*) AS r, sum(conf::DECIMAL(20,9)) >= 0.55 * count(*) AS sure FROM rf GROUP BY plan), pc AS (SELECT plan, count(*) AS c FROM ci GROUP BY plan), hd AS (SELECT *, greatest(1, least(r, c)) AS n FROM pl JOIN pc USING (plan)),
+ck AS (SELECT plan, 20 * n AS w, r = c AS p FROM hd UNION ALL SELECT plan, 15 * n, ok % 3 <> 0 FROM hd UNION ALL SELECT plan, 15 * n, sure FROM hd
+ UNION ALL SELECT plan, 10, abs(rf.dur - ci.dur) <= 0.05 FROM rf JOIN ci USING (plan, shot_idx) UNION ALL SELECT plan, 15, rf.motion = '' OR rf.motion = ci.motion FROM rf JOIN ci USING (plan, shot_idx)
+ UNION ALL SELECT plan, 15, role = '' OR subj <> '' FROM rf JOIN ci USING (plan, shot_idx) UNION ALL SELECT plan, 20, pla >= subs FROM rf JOIN ci USING (plan, shot_idx) WHERE subs > 1)
+SELECT plan, round(100 * sum(CASE WHEN p THEN w ELSE 0 END) / sum(w), 6) AS score FROM ck GROUP BY plan""")
 def _(spark, sf):
     ls = B.order_shots(spark, sf)
     m3 = F.col("l_partkey") % 3
