@@ -88,3 +88,9 @@ def rotate(q, v) -> tuple:
 def unit4(q) -> tuple:
     n = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
     return tuple(c / n for c in q)
+
+
+def pose_product(up, own) -> tuple:
+    """A transform (x, y, z, qx, qy, qz, qw) below another one: moved and turned by it."""
+    moved = rotate(up[3:], own[:3])
+    return (*(a + b for a, b in zip(up[:3], moved, strict=True)), *quaternion_product(up[3:], own[3:]))

@@ -54,13 +54,23 @@ def hierarchy_stats(bones: DataFrame) -> DataFrame:
 
 
 def component_pose(bones: DataFrame) -> DataFrame:
-    """Component-space pose: child = local * parent, composed from the root down, many meshes per batch."""
+    """Component-space pose: child = local * parent, composed from the root down.
+
+    A parallel prefix product along the parent pointers: each step joins every bone's transform with that of the bone it points at and
+    doubles the pointer, so log2(bones) steps reach every root, whatever the depth.  Bones whose pointers never end are refused.
+    """
+    def doubled(state: Column, _: Column) -> Column:
+        up = F.transform(state, lambda s: F.get(state, s["up"]))
+        return F.zip_with(state, up, lambda s, u: F.when(u.isNull(), s).otherwise(F.struct(
+            u["up"].alias("up"), *[c.alias(n) for n, c in zip(POSE, V.pose_product([u[n] for n in POSE], [s[n] for n in POSE]))])))
+
     m = mesh_rows(bones, POSE)
-    pose = N.compose_pose()(F.transform("b", lambda s: F.coalesce(s["parent_idx"], F.lit(-1)).cast("bigint")),
-                            F.flatten(F.transform("b", lambda s: F.array(*[s[c] for c in POSE]))))
-    j = m.withColumn("c", pose)
-    return j.select("mesh", F.inline(F.zip_with("b", "c", lambda s, p: F.struct(
-        s["bone_idx"].alias("bone_idx"), *[F.get(p, F.lit(i)).alias(n) for i, n in enumerate(POSE)]))))
+    local = F.transform("b", lambda s: F.struct(s["parent_idx"].cast("int").alias("up"), *[s[n].cast("double").alias(n) for n in POSE]))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size("b"), F.lit(1)))).cast("int"))
+    j = bind(m, c=F.aggregate(steps, local, doubled))
+    loop = F.exists("c", lambda s: s["up"].isNotNull())
+    j = j.withColumn("c", F.when(loop, F.raise_error(F.lit("the bones of a mesh form a loop")).cast(j.schema["c"].dataType)).otherwise(F.col("c")))
+    return j.select("mesh", F.inline(F.zip_with("b", "c", lambda s, p: F.struct(s["bone_idx"].alias("bone_idx"), *[p[n].alias(n) for n in POSE]))))
 
 
 def mesh_bounds(pose: DataFrame) -> DataFrame:
@@ -267,27 +277,6 @@ def bake_twist(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("baked", F.array(*out))
 
 
-def rest_pose_align(source: DataFrame, target: DataFrame, pairs: DataFrame, axes=C.ROLE_AXES) -> DataFrame:
-    """Rotation offsets that turn the target's rest pose onto the source's along the body axes.
-
-    source / target: bone rows with pose columns and role (null for none) and
-    forced; pairs: (pair, source_mesh, target_mesh).  A child's turn depends on
-    its parent's, so one pair of meshes is one row of arrays.
-    """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        m = df.groupBy("mesh").agg(F.array_sort(F.collect_list(F.struct("bone_idx", "parent_idx", *POSE, "role", "forced"))).alias("b"))
-        part = lambda f: F.transform("b", f)
-        return m.select(F.col("mesh").alias(f"{name}_mesh"), part(lambda s: F.coalesce(s["parent_idx"], F.lit(-1)).cast("bigint")).alias(f"{name}_p"),
-                        F.flatten(part(lambda s: F.array(*[s[c] for c in POSE]))).alias(f"{name}_t"),
-                        part(lambda s: F.when(~s["forced"], s["role"])).alias(f"{name}_r"))
-
-    j = pairs.join(side(source, "source"), "source_mesh").join(side(target, "target"), "target_mesh")
-    fit = N.rest_align(axes, C.ROLE_FALLBACK)("source_p", "source_t", "source_r", "target_p", "target_t", "target_r")
-    out = j.withColumn("a", fit).select("pair", F.explode("a").alias("o"))
-    at = lambda i: F.get("o", F.lit(i))
-    return out.select("pair", at(0).cast("bigint").alias("bone_idx"), *[at(i + 1).alias(c) for i, c in enumerate(("qx", "qy", "qz", "qw"))])
-
-
 def role_overrides(roles: DataFrame, overrides: DataFrame, bones: DataFrame, known: list[str] = C.ROLE_NAMES) -> tuple[DataFrame, DataFrame]:
     """Apply manual role -> bone maps. overrides: (mesh, doc). Returns new roles and diagnostics."""
     v = overrides.withColumn("v", F.try_parse_json("doc"))

@@ -173,18 +173,8 @@ def _(spark, sf):
     return H.motion_bone(bo, bo.select("mesh", F.col("bone_idx").alias("start_idx")))
 
 
-@query("h10_rest_pose_align")
-def _(spark, sf):
-    bo = bones(spark, sf)
-    ro = stand_in_roles(spark, sf).select("mesh", "bone_idx", "role", (F.col("name_score") <= 0).alias("forced"))
-    b = bo.join(ro, ["mesh", "bone_idx"], "left").fillna(False, ["forced"])
-    n = bo.agg(F.max("mesh") + 1).scalar()
-    pairs = bo.select("mesh").distinct().select(F.col("mesh").alias("pair"), F.col("mesh").alias("source_mesh"), ((F.col("mesh") + 1) % n).alias("target_mesh"))
-    return H.rest_pose_align(b, b, pairs)
-
-
 SQL_ROOT = B.FR + f""", so AS (SELECT clip, frame, sig[1] x, sig[2] y, sig[3] z, sig[4] + 2 AS h FROM fr), nn AS (SELECT clip, count(*) AS n FROM fr GROUP BY clip HAVING count(*) >= 2),
-ta AS (SELECT nn.clip, k, n, 0.02 * (k % 2) * CASE WHEN nn.clip // {B.KEY_SHIFT} % 3 = 0 THEN 5 ELSE 1 END AS x FROM nn, range(0, 12) r(k)),
+ta AS (SELECT nn.clip, k, n, 0.02 * (k % 2) * CASE WHEN nn.clip % 3 = 0 THEN 5 ELSE 1 END AS x FROM nn, range(0, 12) r(k)),
 ok AS (SELECT clip FROM ta GROUP BY clip HAVING max(x) - min(x) <= 0.05),
 jn AS (SELECT ta.clip, k, s.x, s.y, s.z, (p.sig[57]) AS px, p.sig[58] AS py, p.sig[59] AS pz, {'{'}'qx': p.sig[61] / nq, 'qy': p.sig[62] / nq, 'qz': -p.sig[63] / nq{'}'} AS u, p.sig[61] / nq AS qx, p.sig[62] / nq AS qy, p.sig[63] / nq AS qz, p.sig[64] / nq AS qw, h.th / h.sh AS ratio
  FROM ta JOIN ok USING (clip) JOIN so s ON s.clip = ta.clip AND s.frame = floor(k * (n - 1) / 11 + 0.5) JOIN (SELECT *, sqrt(sig[61]**2 + sig[62]**2 + sig[63]**2 + sig[64]**2) AS nq FROM fr WHERE frame = 0) p ON p.clip = ta.clip JOIN (SELECT clip, sig[4] + 2 AS sh, sig[5] + 1 AS th FROM fr WHERE frame = 0) h ON h.clip = ta.clip),
@@ -200,7 +190,7 @@ def _(spark, sf):
     g = lambda i: F.get("sig", F.lit(i))
     src = J.nearest_key_resample(fr.select("clip", "frame", g(0).alias("x"), g(1).alias("y"), g(2).alias("z")), ["clip"], "frame", 12).withColumnRenamed("key", "k")
     first = fr.where("frame = 0").select("clip", g(56).alias("px"), g(57).alias("py"), g(58).alias("pz"), F.array(*V.unit4([g(60), g(61), g(62), g(63)])).alias("pq"))
-    move = 0.02 * (F.col("k") % 2) * F.when(F.floor(F.col("clip") / B.KEY_SHIFT) % 3 == 0, 5).otherwise(1)
+    move = 0.02 * (F.col("k") % 2) * F.when(F.col("clip") % 3 == 0, 5).otherwise(1)
     tgt = src.select("clip", "k").join(first, "clip").withColumns({"x": move, "y": F.lit(0.0), "z": F.lit(0.0)})
     heights = fr.where("frame = 0").select("clip", (g(3) + 2).alias("source_height"), (g(4) + 1).alias("target_height"))
     return H.bake_root_motion(src, tgt, heights, "clip").select("clip", "k", *[r6(F.col(c)).alias(c) for c in "xyz"])

@@ -48,15 +48,3 @@ def test_identical_poses_have_no_error(spark):
     angles = M.segment_angles(df, segments)
     assert angles.count() == 10 and angles.agg(F.max("deg")).first()[0] < 1e-5
     assert M.pair_error(angles, segments).first()["segments_compared"] == 2
-
-
-def test_upright_body_is_measured_from_head_to_feet(spark):
-    from framewise import constants as C
-    height, feet = 500.0, 660.0
-    kp = []
-    for i in range(17):
-        r = C.KEYPOINT_RATIO.get(i, 0.6)
-        kp.append((640.0 + (30.0 if i % 2 else -30.0), feet - r * height, 0.9))
-    df = spark.createDataFrame([(1, kp)], "id int, kp array<struct<x:double,y:double,score:double>>")
-    body = M.fit_bodies(df, 1280.0, 720.0).first()["body"]
-    assert abs(body["height"] - height) < 1.0 and abs(body["ay"] - feet) < 1.0 and not body["tilted"]

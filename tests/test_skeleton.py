@@ -1,7 +1,7 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from framewise.operators import kernels as N
 from framewise.operators import skeleton as H
 
 HUMAN = [("root", -1, (0, 0, 0)), ("pelvis", 0, (0, 0, 95)), ("spine_01", 1, (0, 0, 20)), ("neck_01", 2, (0, 0, 35)), ("head", 3, (0, 0, 12)),
@@ -35,26 +35,6 @@ def test_posture_of_two_and_four_legs(spark):
     assert {r["b"]: r["upright_biped"] for r in H.posture(df, "b").collect()} == {1: True, 2: False}
 
 
-def test_rest_pose_turns_limbs_onto_the_source(spark):
-    """A target with one lowered arm gets the source's arm direction."""
-    parents = np.array([p for _, p, _ in HUMAN])
-    source = np.array([[*t, 0, 0, 0, 1] for _, _, t in HUMAN], dtype=float)
-    target = source.copy()
-    target[7, :3] = (0, 5, -25)
-    roles = {6: "LeftUpperArm", 7: "LeftLowerArm", 8: "LeftHand"}
-    names = [roles.get(i) for i in range(len(HUMAN))]
-    df = spark.createDataFrame([(1, parents.tolist(), source.flatten().tolist(), names, target.flatten().tolist())], "p int, a array<bigint>, s array<double>, r array<string>, t array<double>")
-    fit = N.rest_align([["LeftUpperArm", "LeftLowerArm", "LeftHand"]], {})
-    rows = df.select(fit("a", "s", "r", "a", "t", "r").alias("o")).first()["o"]
-    local = target.copy()
-    for bone, *q in rows:
-        local[int(bone), 3:] = N._times(target[int(bone), 3:], np.array(q))
-    got, want = N._compose(parents, local), N._compose(parents, source)
-    for a, b in ((6, 7), (7, 8)):
-        u, v = got[b, :3] - got[a, :3], want[b, :3] - want[a, :3]
-        assert np.allclose(u / np.linalg.norm(u), v / np.linalg.norm(v), atol=1e-6)
-
-
 def test_motion_bone_stops_below_the_root(spark):
     rows = [(1, 0, None, 0.0), (1, 1, 0, 0.0), (1, 2, 1, 0.5), (1, 3, 2, 0.2)]
     df = spark.createDataFrame([(m, b, p, 0.0, 0.0, z) for m, b, p, z in rows], "mesh int, bone_idx bigint, parent_idx bigint, x double, y double, z double")
@@ -68,3 +48,31 @@ def test_a_chain_of_a_hundred_bones_has_no_depth_limit(spark):
     deep = {r["bone_idx"]: r for r in H.hierarchy_stats(bones).collect()}
     assert deep[99]["depth"] == 99 and deep[0]["descendants"] == 99
     assert {r["bone_idx"]: r["z"] for r in H.component_pose(bones).collect()} == {i: float(i + 1) for i in range(100)}
+
+
+def test_random_trees_compose_as_a_walk_from_the_root_does(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for mesh in range(6):
+        order = rng.permutation(40)
+        up = [None if mesh % 2 == 0 and k < 2 or k == 0 else int(order[rng.integers(max(0, k - 3), k)]) for k in range(40)]
+        pose = {}
+        for k, bone in enumerate(order):
+            q = rng.normal(size=4)
+            q /= np.linalg.norm(q)
+            t = rng.normal(size=3)
+            rows.append((mesh, int(bone), up[k], *map(float, t), *map(float, q)))
+            pt, pq = pose[up[k]] if up[k] is not None else (np.zeros(3), np.array([0, 0, 0, 1.0]))
+            turn = lambda v: v + 2 * pq[3] * np.cross(pq[:3], v) + 2 * np.cross(pq[:3], np.cross(pq[:3], v))  # noqa: B023, E731
+            pose[int(bone)] = pt + turn(t), np.append(pq[3] * q[:3] + q[3] * pq[:3] + np.cross(pq[:3], q[:3]), pq[3] * q[3] - pq[:3] @ q[:3])
+        want |= {(mesh, b): np.concatenate(p) for b, p in pose.items()}
+    df = spark.createDataFrame(rows, "mesh int, bone_idx bigint, parent_idx bigint, x double, y double, z double, qx double, qy double, qz double, qw double")
+    got = {(r["mesh"], r["bone_idx"]): [r[c] for c in H.POSE] for r in H.component_pose(df).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_bones_in_a_loop_are_refused(spark):
+    rows = [(1, i, up, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0) for i, up in ((0, None), (1, 3), (2, 1), (3, 2))]
+    df = spark.createDataFrame(rows, "mesh int, bone_idx bigint, parent_idx bigint, x double, y double, z double, qx double, qy double, qz double, qw double")
+    with pytest.raises(Exception, match="loop"):
+        H.component_pose(df).collect()
