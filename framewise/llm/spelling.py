@@ -1,8 +1,9 @@
 """Spelling variants: words one edit apart, found in a reduced alphabet and verified as they are written.
 
 Letters are hashed to a few symbols. The whole neighbourhood of a reduced word (each deletion, replacement and insertion of one symbol) is
-joined with the reduced vocabulary. An edit leaves one half of a word untouched, so a key holds, beside the neighbour, the untouched half in
-its real letters: candidates stay few, however many words of a large vocabulary share a reduced form. The words themselves decide.
+joined with the reduced vocabulary. An edit leaves two of the three parts of a word untouched, so a key holds, beside the neighbour, these
+two parts in their real letters: candidates stay few, however many words of a large vocabulary share a reduced form. The words themselves
+decide.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm.common import stage
+from framewise.scale import bind
 
 #: Letters of a run (fixed by the contract), as a class of a regular expression and as code points.
 LETTER = "A-Za-zÀ-ÿ"
 LETTERS = "".join(map(chr, [*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]))
 SYMBOLS = "0123"
+#: Words whose neighbours one task makes: about 1.5 million keys.
+WORDS_A_TASK = 20_000
 
 
 def lowered(word: Column) -> Column:
@@ -46,60 +50,68 @@ def reduced(word: Column) -> Column:
     return F.translate(word, LETTERS, "".join(SYMBOLS[zlib.crc32(c.encode()) % len(SYMBOLS)] for c in LETTERS))
 
 
-def _half(size: Column) -> Column:
-    """Letters of the half that a key shows, for a neighbour of ``size`` letters: an edit spares the first or the last of them."""
-    return F.greatest(F.lit(0), F.floor((size - 1) / 2)).cast("int")
+def _cuts(size: Column) -> tuple[Column, Column]:
+    """Where the second and the third part of a word of ``size`` letters begin."""
+    return F.floor(size / 3).cast("int"), F.floor(2 * size / 3).cast("int")
 
 
 def _first(word: Column, n: Column) -> Column:
     return F.substring(word, F.lit(1), n)
 
 
-def _last(word: Column, n: Column) -> Column:
-    return F.substring(word, F.length(word) - n + 1, n)
+def _spared(word: Column, size: Column) -> list[Column]:
+    """Hashes of the letters outside each of the three parts, for a word of ``size`` letters that differs from ``word`` in that part alone."""
+    one, two = _cuts(size)
+    last = lambda n: F.substring(word, F.length(word) - n + 1, n)
+    return [F.xxhash64(F.lit(0), last(size - one)), F.xxhash64(F.lit(1), _first(word, one), last(size - two)), F.xxhash64(F.lit(2), _first(word, two))]
 
 
-def _key(form: Column, half: Column, is_first: Column) -> Column:
-    return F.xxhash64(form, half, is_first)
+#: Kinds of edits: change of length, letters dropped after the place, symbols put there.
+EDITS = {"less": (-1, 2, False), "other": (0, 2, True), "more": (1, 1, True)}
 
 
-def neighbour_keys(word: Column, form: Column) -> Column:
-    """Keys of all one-edit neighbours of ``form``, the reduced ``word``; a replacement by the same symbol is ``form`` itself."""
-    size = F.length(form)
+def neighbour_keys(words: DataFrame) -> DataFrame:
+    """``id, key``: keys of all one-edit neighbours of every reduced word; a replacement by the same symbol is the reduced word itself."""
+    word, form, size = F.col("word"), F.col("form"), F.length("word")
+    bound = {"form": reduced(word), "size": size}
+    for kind, (change, _, _) in EDITS.items():
+        bound |= {f"{kind}_{k}": c for k, c in enumerate([*_spared(word, size + change), *_cuts(size + change)])}
+    ready = bind(words.select("id", "word"), **bound)
 
-    def keys(places: Column, change: int, after: int, symbols: str) -> Column:
-        half = _half(size + change)
-        first, last = _first(word, half), _last(word, half)
+    def keys(kind: str) -> Column:
+        _, after, puts = EDITS[kind]
+        spared = [F.col(f"{kind}_{k}") for k in range(3)]
+        one, two = F.col(f"{kind}_3"), F.col(f"{kind}_4")
 
         def at(i: Column) -> Column:
-            head, tail, early = F.substring(form, F.lit(1), i), F.substring(form, i + after, size), i < half
-            made = [F.concat(head, F.lit(s), tail) for s in symbols] or [F.concat(head, tail)]
-            return F.array(*[_key(x, F.when(early, last).otherwise(first), ~early) for x in made])
+            head, tail = _first(form, i), F.substring(form, i + after, F.col("size"))
+            part = F.when(i < one, spared[0]).when(i < two, spared[1]).otherwise(spared[2])
+            return F.array(*[F.xxhash64(F.concat(head, F.lit(s), tail), part) for s in (SYMBOLS if puts else ("",))])
 
+        places = F.sequence(F.lit(0), F.col("size") if kind == "more" else F.col("size") - 1)
         return F.flatten(F.transform(places, at))
 
-    inside, gaps = F.sequence(F.lit(0), size - 1), F.sequence(F.lit(0), size)
-    return F.array_distinct(F.concat(keys(inside, -1, 2, ""), keys(inside, 0, 2, SYMBOLS), keys(gaps, 1, 1, SYMBOLS)))
+    return ready.select("id", F.explode(F.array_distinct(F.concat(*[keys(kind) for kind in EDITS]))).alias("key"))
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """``word, n, n_near, best`` of every row of ``words`` (``word, n``, words distinct and not empty): how many words differ from it by exactly one
     letter, and the commonest of them as (-n, word).
 
-    Both sides of the join are dealt by 64-bit keys. A pair is taken from the key of its equal first halves, or, where these differ, from
-    that of its last halves, so it comes once from either end.
+    Both sides of the join are dealt by 64-bit keys. A pair is taken from the key that spares the part with its first difference, so it comes
+    once from either end.
     """
     words = stage(words.withColumn("id", F.monotonically_increasing_id()), "vocabulary")
-    form, half = F.col("form"), _half(F.length("word"))
-    both = words.withColumn("form", reduced(F.col("word")))
-    own = both.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.inline(F.array(
-        F.struct(_key(form, _first(F.col("word"), half), F.lit(True)).alias("key"), F.lit(True).alias("is_first")),
-        F.struct(_key(form, _last(F.col("word"), half), F.lit(False)).alias("key"), F.lit(False).alias("is_first")))))
-    found = both.select("id", F.explode(neighbour_keys(F.col("word"), form)).alias("key")).join(own, "key").select("id", "other", "other_n", "is_first")
-    half = _half(F.length("other"))
-    same = _first(F.col("word"), half) == _first(F.col("other"), half)
-    near = (F.levenshtein("word", "other", 1) == 1) & (same == F.col("is_first"))
-    return (words.join(found.withColumnRenamed("id", "found_id"), (F.col("id") == F.col("found_id")) & near, "left").groupBy("id", "word", "n")
+    spread = words.repartition(1 + words.count() // WORDS_A_TASK, "id")
+    shown = F.array(*[F.struct(F.lit(k).alias("part"), c.alias("spared")) for k, c in enumerate(_spared(F.col("word"), F.length("word")))])
+    own = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"), reduced(F.col("word")).alias("form"), F.inline(shown))
+    own = own.select("other", "other_n", "part", F.xxhash64("form", "spared").alias("key"))
+    found = neighbour_keys(spread).join(own, "key").select(F.col("id").alias("found_id"), "other", "other_n", "part")
+    differ = lambda n: _first(F.col("word"), n) != _first(F.col("other"), n)
+    one, two = _cuts(F.length("other"))
+    first = F.when(differ(one), 0).when(differ(two), 1).otherwise(2)
+    near = (F.levenshtein("word", "other", 1) == 1) & (first == F.col("part"))
+    return (words.join(found, (F.col("id") == F.col("found_id")) & near, "left").groupBy("id", "word", "n")
             .agg(F.count("other").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other").alias("word"))).alias("best")).drop("id"))
 
 
