@@ -116,10 +116,14 @@ def _(spark, sf):
     schema = table(spark, sf, "embeddings").schema
     # a pattern that only the table's own path matches: streams take a folder of parts as it is, but a single file only by a pattern
     e = spark.readStream.schema(schema).parquet(f"{sf}/embeddings.parque[t]")
-    clip = F.col("label").cast("bigint") * B.KEY_SHIFT + F.floor(F.col("vec_id") / B.FRAMES_PER_CLIP).cast("bigint")
-    fr = e.select(clip.alias("clip"), F.col("vec_id").cast("double").alias("time"), F.col("embedding").cast("array<double>").alias("sig"))
-    path = jobs.run_to_table(jobs.stream_boundaries(fr, ["clip"], 0.142, 30.0), jobs.work_folder(spark), "boundaries")
-    return spark.read.schema("clip bigint, time double, score double").parquet(path).withColumn("score", r6(F.col("score")))
+    fr = e.select(F.col("label").cast("bigint").alias("clip"), F.col("vec_id").cast("double").alias("time"), F.col("embedding").cast("array<double>").alias("sig"))
+    folder = jobs.work_folder(spark)
+    stream = jobs.stream_boundaries(jobs.with_closings(fr, folder), ["clip"], 0.142, 30.0, delay=1e6)
+    jobs.run_to_table(stream, folder, "boundaries")
+    jobs.close(spark, folder, 1e9)
+    path = jobs.run_to_table(stream, folder, "boundaries")
+    rows = spark.read.schema("clip bigint, time double, score double, kind string").parquet(path)
+    return rows.where("kind = 'boundary'").select("clip", "time", r6(F.col("score")).alias("score"))
 
 
 @query("st2_incremental_index", """SELECT o_orderkey AS path, md5(o_orderkey || '|' || (floor(o_totalprice)::INT + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END)) AS fingerprint, length(o_orderpriority)::INT AS n_shots FROM orders WHERE o_orderkey % 9 <> 0""")
@@ -128,8 +132,10 @@ def _(spark, sf):
     price = F.floor("o_totalprice").cast("int")
     listing = lambda extra: o.select(F.col("o_orderkey").alias("path"), F.md5(F.concat(F.col("o_orderkey"), F.lit("|"), (price + extra).cast("string"))).alias("fingerprint"), "o_orderpriority")
     folder = jobs.work_folder(spark)
-    listing(F.lit(0)).where("path % 10 <> 0").coalesce(1).write.parquet(f"{folder}/drops/1")
-    listing(F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)).where("path % 9 <> 0").coalesce(1).write.parquet(f"{folder}/drops/2")
-    stream = spark.readStream.schema("path bigint, fingerprint string, o_orderpriority string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/drops/*")
+    drops = {1: listing(F.lit(0)).where("path % 10 <> 0"), 2: listing(F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)).where("path % 9 <> 0")}
+    for number, rows in drops.items():
+        closing = rows.agg(F.count(F.lit(1)).alias("closes"))
+        rows.unionByName(closing, allowMissingColumns=True).withColumn("listing", F.lit(number).cast("bigint")).write.parquet(f"{folder}/drops/{number}")
+    stream = spark.readStream.schema("path bigint, fingerprint string, o_orderpriority string, closes bigint, listing bigint").option("maxFilesPerTrigger", 64).parquet(f"{folder}/drops/*")
     index = jobs.IncrementalIndex(folder, "path", "fingerprint", lambda df: df.select("path", "fingerprint", F.length("o_orderpriority").alias("n_shots")))
-    return spark.read.schema("path bigint, fingerprint string, n_shots int").parquet(index.run(stream))
+    return index.read(spark, "path bigint, fingerprint string, n_shots int", index.run(stream))

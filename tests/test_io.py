@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from framewise.operators import boundaries as BD
 from framewise.operators import windows as W
+from framewise import staging
 from framewise.sources import tables as ST
 from framewise.streaming import jobs
 
@@ -14,20 +15,49 @@ def frame_rows(n=60, seed=4):
     return [(v, float(f), [float(x) for x in rng.random(8)]) for v in (1, 2) for f in range(n)]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+FRAMES = "v int, time double, sig array<double>"
+
+
+def drain(spark, folder, name, delay, closing=1e6):
+    """Run a stream of boundaries over the files of ``folder``/in, one a micro-batch, then close it."""
+    stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    stream = jobs.stream_boundaries(jobs.with_closings(stream, f"{folder}/{name}"), ["v"], 0.3, 4.0, delay)
+    path = jobs.run_to_table(stream, f"{folder}/{name}", "b")
+    jobs.close(spark, f"{folder}/{name}", closing)
+    assert jobs.run_to_table(stream, f"{folder}/{name}", "b") == path
+    return spark.read.schema("v int, time double, score double, kind string").parquet(path).collect()
+
+
+def batch_boundaries(spark, rows):
+    df = spark.createDataFrame(rows, FRAMES).withColumn("frame", F.col("time").cast("bigint"))
+    return sorted((r["v"], r["time"]) for r in BD.detect_boundaries(W.change_score(df, ["v"]), ["v"], 0.3, 4.0).collect())
+
+
+def test_shuffled_stream_equals_batch_and_late_frames_are_counted(spark, tmp_path):
     rows = frame_rows()
+    mixed = [rows[i] for i in np.random.default_rng(2).permutation(len(rows))]
+    # frames up to 30 seconds late: four files of 30 seconds, the frames of any two neighbours mixed
+    order = sorted(mixed, key=lambda r: r[1] // 15 + (hash(r[:2]) % 2))
     for part in range(4):
-        chunk = [r for r in rows if int(r[1]) // 15 == part]
-        spark.createDataFrame(chunk, "v int, time double, sig array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p{part}"))
-    late = [(1, 3.5, [9.0] * 8)]
-    spark.createDataFrame(late, "v int, time double, sig array<double>").coalesce(1).write.parquet(str(tmp_path / "in" / "p9"))
-    stream = spark.readStream.schema("v int, time double, sig array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    path = jobs.run_to_table(jobs.stream_boundaries(stream, ["v"], 0.3, 4.0), str(tmp_path / "out"), "b")
-    got = sorted((r["v"], r["time"]) for r in spark.read.parquet(path).collect())
-    df = spark.createDataFrame(rows, "v int, time double, sig array<double>").withColumn("frame", F.col("time").cast("bigint"))
-    ch = W.change_score(df, ["v"])
-    want = sorted((r["v"], r["time"]) for r in BD.detect_boundaries(ch, ["v"], 0.3, 4.0).collect())
-    assert got == want
+        spark.createDataFrame(order[part * 30 : part * 30 + 30], FRAMES).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    late = [(1, 3.5, [9.0] * 8), (2, 7.25, [9.0] * 8), (1, 58.5, [0.5] * 8)]
+    spark.createDataFrame(late, FRAMES).coalesce(1).write.parquet(str(tmp_path / "in" / "p9"))
+    got = drain(spark, str(tmp_path), "out", delay=40.0)
+    # the newest frame is at 59 seconds: what is behind second 19 is late, 58.5 is not
+    assert sorted((r["v"], r["time"]) for r in got if r["kind"] == "late") == [(1, 3.5), (2, 7.25)] and all(r["score"] is None for r in got if r["kind"] == "late")
+    frames = [(v, t, s) for v, t, s in rows if v == 2]
+    assert sorted((r["v"], r["time"]) for r in got if r["kind"] == "boundary" and r["v"] == 2) == batch_boundaries(spark, frames)
+    assert any(r["v"] == 1 and r["kind"] == "boundary" for r in got)
+
+
+def test_stream_waits_for_what_is_not_closed(spark, tmp_path):
+    rows = [(1, float(t), [float(t % 2)] * 4) for t in range(12)]
+    spark.createDataFrame(rows[6:], FRAMES).coalesce(1).write.parquet(str(tmp_path / "in" / "p0"))
+    spark.createDataFrame(rows[:6], FRAMES).coalesce(1).write.parquet(str(tmp_path / "in" / "p1"))
+    got = drain(spark, str(tmp_path), "half", delay=100.0, closing=5.0)
+    assert got == []  # second 5 less the delay: all frames still wait
+    got = drain(spark, str(tmp_path), "whole", delay=100.0)
+    assert sorted((r["v"], r["time"]) for r in got) == [(1, 0.0), (1, 4.0), (1, 8.0)]
 
 
 def test_index_follows_listings(spark, tmp_path):
@@ -37,13 +67,44 @@ def test_index_follows_listings(spark, tmp_path):
         seen.append(sorted(r["path"] for r in df.collect()))
         return df.withColumn("n", F.length("fingerprint"))
 
-    index = jobs.IncrementalIndex(str(tmp_path), "path", "fingerprint", analyse)
+    index = jobs.IncrementalIndex(str(tmp_path), "path", "fingerprint", analyse, buckets=4)
     listing = lambda rows: spark.createDataFrame(rows, "path string, fingerprint string")
-    index.merge(listing([("a", "1"), ("b", "1"), ("c", "1")]), 0)
-    index.merge(listing([("a", "1"), ("b", "22"), ("d", "1")]), 1)
-    out = sorted((r["path"], r["fingerprint"], r["n"]) for r in spark.read.parquet(index.version(1)).collect())
-    assert out == [("a", "1", 1), ("b", "22", 2), ("d", "1", 1)]
-    assert seen == [["a", "b", "c"], ["b", "d"]]
+    index.merge(listing([("a", "1"), ("b", "1"), ("c", "1")]), 1)
+    first = index.places(spark, 1)
+    seen.clear()
+    index.merge(listing([("a", "1"), ("b", "22"), ("d", "1")]), 5)
+    schema = "path string, fingerprint string, n int"
+    assert sorted(map(tuple, index.read(spark, schema).collect())) == [("a", "1", 1), ("b", "22", 2), ("d", "1", 1)]
+    assert sorted(map(tuple, index.read(spark, schema, 1).collect())) == [("a", "1", 1), ("b", "1", 1), ("c", "1", 1)]
+    assert ["b", "d"] in seen and index.newest(spark) == 5
+    # nothing changed: no bucket is written again
+    before = index.places(spark, 5)
+    index.merge(listing([("a", "1"), ("b", "22"), ("d", "1")]), 6)
+    assert index.places(spark, 6) == before and set(first) <= {0, 1, 2, 3}
+    index.merge(listing([]), 7)
+    assert index.read(spark, schema).collect() == [] and index.newest(spark) == 7
+
+
+def test_listings_of_many_files_and_a_restart_without_news(spark, tmp_path):
+    schema = "path bigint, fingerprint string, closes bigint, listing bigint"
+
+    def drop(number, rows, closes):
+        full = [(p, f, None, number) for p, f in rows] + ([(None, None, closes, number)] if closes is not None else [])
+        spark.createDataFrame(full, schema).repartition(5).write.parquet(str(tmp_path / "drops" / f"{number}-{closes}"))
+
+    def run():
+        index = jobs.IncrementalIndex(str(tmp_path / "index"), "path", "fingerprint", lambda df: df.select("path", "fingerprint"), buckets=3)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "drops" / "*"))
+        version = index.run(stream)
+        return version, sorted(map(tuple, index.read(spark, "path bigint, fingerprint string").collect()))
+
+    one, two = [(i, "x") for i in range(40)], [(i, "y" if i % 4 == 0 else "x") for i in range(5, 50)]
+    drop(1, one, 40)
+    drop(2, two[:20], None)  # the rest of this listing isn't there yet
+    assert run() == (1, one)
+    assert run() == (1, one)  # nothing new
+    drop(2, two[20:], 45)
+    assert run() == (2, two)
 
 
 def test_reports_are_appended(spark, tmp_path):
@@ -75,12 +136,24 @@ def test_media_scan(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(tmp_path):
     class Session:
         def __init__(self, shared, master):
-            self.conf = type("C", (), {"get": staticmethod(lambda key, default=None: shared if key == jobs.DIR_CONF else default)})
-            self.sparkContext = type("S", (), {"master": master})
+            self.conf = type("C", (), {"get": staticmethod(lambda key, default=None: shared if key == staging.DIR_CONF else default)})
+            self.sparkContext = type("S", (), {"master": master, "applicationId": "app"})
 
     assert jobs.work_folder(Session(str(tmp_path), "spark://x")).startswith(str(tmp_path))
-    with pytest.raises(ValueError):
-        jobs.work_folder(Session(None, "spark://x"))
+    for master in ("spark://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            jobs.work_folder(Session(None, master))
+
+
+def test_staged_tables_can_be_released(spark):
+    import os
+
+    made = staging.stage(spark.range(5).toDF("a"))
+    folder = staging.shared_folder(spark)
+    assert made.count() == 5 and os.listdir(folder)
+    staging.release(spark)
+    assert not os.path.exists(folder)
+    assert staging.stage(spark.range(3).toDF("a")).count() == 3
 
 
 def test_stream_of_boundaries_reads_a_folder_of_parts(spark, tmp_path):
