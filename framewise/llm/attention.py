@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import map_batches, row_key, stage
+from framewise.llm.common import map_batches, row_key, slices, stage
 from framewise.llm.pieces import MODEL, Encoder, PieceModel
-from framewise.llm.words import chunks, find_words, hash_words
+from framewise.llm.words import CHUNK_BYTES, chunks, find_words, hash_words
 
 #: Subwords with a class of their own, rows of embeddings for the others, width, hidden units.
 HEAD, REST, WIDTH, HIDDEN = 191, 64, 16, 32
@@ -26,6 +27,8 @@ HEAD, REST, WIDTH, HIDDEN = 191, 64, 16, 32
 SPAN, STEP = 24, 16
 #: Rounds of averaged training, each on its own share of the documents; first rate; windows of a step; windows made at once.
 ROUNDS, RATE, GROUP, BLOCK = 4, 0.004, 128, 1 << 14
+#: Subwords of a shard, which one task trains on in a row; rows that a task holds as lists.
+SHARD, ROWS = 1 << 22, 512
 #: Share of the attention model in the probability of a word; the rest goes by the word's count.
 SHARE = 0.5
 #: Word counts held by every task; rarer words are joined. 6 MB, whatever the corpus.
@@ -243,8 +246,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """``h, c``: how often each word (64-bit hash) and the end of a text occur in the ``text`` of ``rows``; counted first where read."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, run in chunks(b.column("text").to_pylist(), 16_000_000):
+        for b in slices(batches, ROWS):
+            for _, run in chunks(b.column("text").to_pylist()):
                 h = hash_words(find_words([t.lower() for t in run]))
                 kinds, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(kinds, END_WORD).view(np.int64)), pa.array(np.append(n, len(run)))], ["h", "c"])
@@ -262,7 +265,7 @@ def encoded(rows: DataFrame, model: PieceModel) -> DataFrame:
     lazy, kind = _Lazy(model), _id_type(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, ROWS):
             made, opens = [], []
             for _, run in chunks(b.column("text").to_pylist()):
                 ids, counts, per_word = subwords(run, lazy.get())
@@ -284,16 +287,31 @@ def id_runs(lists: list[bytes], kind: np.dtype) -> Iterator[tuple[np.ndarray, np
         yield np.frombuffer(b"".join(run), kind).astype(np.int64), np.fromiter(map(len, run), np.int64, len(run)) // kind.itemsize
 
 
+def shard_runs(lists: Iterator[bytes], kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same as :func:`id_runs` of a stream of texts: where a run ends depends on the texts alone, not on the batches they came in."""
+    held, size = [], 0
+    for x in lists:
+        held.append(x)
+        size += len(x)
+        if size >= CHUNK_BYTES:
+            yield from id_runs(held, kind)
+            held, size = [], 0
+    yield from id_runs(held, kind)
+
+
 def learn(train_rows: DataFrame, model: PieceModel) -> tuple[np.ndarray, Vocabulary]:
-    """Trains on every window of every training document (rows of :func:`encoded`). Subwords and pairs of whole texts are counted in
-    each task and summed by Spark. Each round every task trains on its share of the documents from the same weights, and the mean of
-    the results, weighted by windows, opens the next round. Tasks are averaged in TREE groups first, so that the driver reads at most
-    TREE vectors of 10,000 numbers."""
+    """Trains on every window of every training document (rows of :func:`encoded`), the same way however the rows are split.
+
+    Subwords and pairs of whole texts are counted in each task and summed by Spark. Each round deals its share of the documents to
+    shards by hash, about SHARD subwords each, and sorts a shard by key. Every shard is trained on from the same weights, and the mean of
+    the results, weighted by windows and summed in the order of shards, opens the next round. Shards are summed in TREE groups first, so that
+    the driver reads at most TREE vectors of 10,000 numbers.
+    """
     size, kind = len(model.texts) + 1, _id_type(model)
 
     def tally(batches: Iterator[pa.RecordBatch], voc: Vocabulary | None, length: int) -> Iterator[pa.RecordBatch]:
         n = np.zeros(length, np.int64)
-        for b in batches:
+        for b in slices(batches, ROWS):
             for ids, counts in id_runs(b.column("ids").to_pylist(), kind):
                 k = ids
                 if voc is not None:
@@ -310,36 +328,45 @@ def learn(train_rows: DataFrame, model: PieceModel) -> tuple[np.ndarray, Vocabul
             out[r.k] = r.n
         return out
 
-    voc = Vocabulary.of(total(None, size))
+    counts = total(None, size)
+    voc = Vocabulary.of(counts)
     voc.smooth(total(voc, (HEAD + REST + 1) * (HEAD + 1)).reshape(HEAD + REST + 1, HEAD + 1))
     flat = packed(initial())
+    shards = 1 + int(counts.sum()) // (ROUNDS * SHARD)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: list[int] = []
-
-        def runs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for b in batches:
-                first.extend(b.column("key")[:1].to_pylist())
-                yield from id_runs(b.column("ids").to_pylist(), kind)
-
-        now, seen = train(flat, voc, runs(), rate)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([first[0] % TREE]), pa.array([float(seen)]), pa.array([now.astype(np.float64) * seen], pa.list_(pa.float64()))], ["g", "n", "w"])
+        """Rows come shard by shard, each in the order of keys."""
+        parts = ((s, sub) for b in slices(batches, ROWS) for s, sub in by_shard(b))
+        for shard, group in groupby(parts, key=lambda x: x[0]):
+            now, seen = train(flat, voc, shard_runs((x for _, lists in group for x in lists), kind), rate)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([float(seen)]), pa.array([now.astype(np.float64) * seen], pa.list_(pa.float64()))], ["shard", "n", "w"])
+
+    def by_shard(b: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+        s, lists = b.column("shard").to_numpy(), b.column("ids").to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(s)) + 1).tolist(), len(s)]
+        yield from ((int(s[i]), lists[i:j]) for i, j in zip(cuts, cuts[1:]) if j > i)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, w = 0.0, 0.0
+        """Sums of groups of shards, each in the order of shards."""
+        sums: dict[int, tuple] = {}
         for b in batches:
             for k in range(b.num_rows):
-                n, w = n + b.column("n")[k].as_py(), w + np.array(b.column("w")[k].values)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([w], pa.list_(pa.float64()))], ["n", "w"])
-
+                g = b.column("shard")[k].as_py() % TREE
+                n, w = sums.get(g, (0.0, 0.0))
+                sums[g] = n + b.column("n")[k].as_py(), w + np.array(b.column("w")[k].values)
+        for g, (n, w) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([n]), pa.array([w], pa.list_(pa.float64()))], ["g", "n", "w"])
+
+    drawn = F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(ROUNDS * shards))
+    dealt = train_rows.select("key", "ids", (drawn % ROUNDS).alias("round"), F.floor(drawn / ROUNDS).alias("shard"))
     for r in range(ROUNDS):
         rate = RATE * (1 - r / ROUNDS)
-        part = train_rows.select("key", "ids").where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == r)
-        sums = part.mapInArrow(local, "g long, n double, w array<double>").repartition(TREE, "g").mapInArrow(add, "n double, w array<double>").collect()
+        part = dealt.where(F.col("round") == r).repartition(min(shards, 1 << 14), "shard").sortWithinPartitions("shard", "key").select("shard", "ids")
+        trained = part.mapInArrow(local, "shard long, n double, w array<double>")
+        groups = trained.repartition(min(shards, TREE), F.col("shard") % TREE).sortWithinPartitions("shard").mapInArrow(add, "g long, n double, w array<double>")
+        sums = sorted(groups.collect(), key=lambda x: x.g)
         if sums:
-            sums.sort(key=lambda x: x.n)
             flat = (np.sum([np.array(x.w) for x in sums], 0) / sum(x.n for x in sums)).astype(np.float32)
     return flat, voc
 
@@ -405,7 +432,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return [], [], [], [], [], []
         return (*map(np.concatenate, (tokens, found, base, model_score)), *(_lists(np.concatenate(x), np.concatenate(sizes)) for x in (rare, logs)))
 
-    made = map_batches(rows.drop("key"), score, reads=("text", "ids", "opens"), columns={"n_tokens": "long", "known": "long", "base": "double", "score": "double", "rare": "array<long>", "logs": "array<double>"})
+    made = map_batches(rows.drop("key"), score, most=ROWS, reads=("text", "ids", "opens"), columns={"n_tokens": "long", "known": "long", "base": "double", "score": "double", "rare": "array<long>", "logs": "array<double>"})
     scored = stage(made.withColumn("row", F.monotonically_increasing_id()), "scores")
     return _with_rare(scored, counts, n, below)
 

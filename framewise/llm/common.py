@@ -52,15 +52,22 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean
          "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
-def map_batches(rows: DataFrame, fn: Callable[..., Sequence], columns: dict[str, str], reads: Sequence[str] = ("text",)) -> DataFrame:
-    """Add ``columns`` (name: type in ARROW) that ``fn`` makes from whole Arrow batches of the ``reads`` columns, given as lists.
+def slices(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``most`` rows, so that a task holds the lists of few rows at once."""
+    for b in batches:
+        for a in range(0, b.num_rows, most or max(1, b.num_rows)):
+            yield b.slice(a, most)
+
+
+def map_batches(rows: DataFrame, fn: Callable[..., Sequence], columns: dict[str, str], reads: Sequence[str] = ("text",), most: int | None = None) -> DataFrame:
+    """Add ``columns`` (name: type in ARROW) that ``fn`` makes from Arrow batches (of at most ``most`` rows) of the ``reads`` columns, given as lists.
 
     The other columns pass through untouched, so ids keep their type and nulls; the ``reads`` columns are dropped.
     """
     keep = [c for c in rows.columns if c not in reads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, most):
             made = fn(*[b.column(c).to_pylist() for c in reads])
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, ARROW[kind]) for x, kind in zip(made, columns.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *arrays], [*keep, *columns])

@@ -81,9 +81,56 @@ def test_every_subword_of_every_training_text_is_learned_from(spark, monkeypatch
     of, smooth = at.Vocabulary.of, at.Vocabulary.smooth
     monkeypatch.setattr(at.Vocabulary, "of", staticmethod(lambda c: seen.setdefault("voc", (of(c), c.copy()))[0]))
     monkeypatch.setattr(at.Vocabulary, "smooth", lambda self, p: (seen.setdefault("pairs", p.copy()), smooth(self, p)))
-    at.learn(at.encoded(rows, model), model)
+    at.learn(at.encoded(rows.repartition(3), model), model)
     voc, got = seen["voc"]
     assert got.tolist() == np.bincount(ids, minlength=len(model.texts) + 1).tolist()
     assert seen["pairs"].sum() == len(ids)
     assert seen["pairs"][voc.start].sum() == seen["pairs"][:, voc.out[-1]].sum() == len(texts)
     assert at.train(at.packed(at.initial()), voc, iter([(ids, counts)]), 0.004)[1] == sum(-(-c // at.STEP) for c in counts.tolist())
+
+
+def test_layout_of_the_table_does_not_matter(spark, monkeypatch):
+    """The same documents in 1, 4 and 32 partitions, dealt to several shards, give the same scores."""
+    monkeypatch.setattr(at, "SHARD", 1 << 12)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = lambda n: sorted((r.doc_id, r.score, r.base_score) for r in at.score_documents(docs.repartition(n) if n > 1 else docs.coalesce(1)).collect())
+    want = rows(1)
+    for n in (4, 32):
+        for a, b in zip(rows(n), want, strict=True):
+            assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-9) and a[2] == pytest.approx(b[2], rel=1e-9)
+
+
+def test_score_against_one_subword_at_a_time(spark):
+    """A plain scorer that sees all subwords before each one in a window of its own, next to the batched windows."""
+    model = at.PieceModel.load(at.MODEL)
+    docs = spark.createDataFrame([(i, f"stone river {'cloud ' * (i % 5)}ember {i}") for i in range(40)], "doc_id long, text string")
+    kept = {}
+    learn = at.learn
+    at.learn = lambda *a: kept.setdefault("made", learn(*a))
+    try:
+        made = {r.doc_id: r for r in at.score_documents(docs).collect()}
+    finally:
+        at.learn = learn
+    flat, voc = kept["made"]
+    w, encoder = at.unpacked(flat), at.Encoder(model)
+    texts = {r.doc_id: r.text.lower().encode() for r in docs.collect()}
+    c = collections.Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            c.update([*t.split(), None])
+    below = math.log10(sum(c.values()) + 0.1 * (len(c) + 1))
+    for i in (0, 7, 23):
+        ids, counts, per_word = at.subwords([texts[i]], encoder)
+        logs = []
+        for k in range(counts[0]):
+            lead = k // at.STEP * at.STEP  # windows score STEP places and show SPAN
+            first = max(0, lead - (at.SPAN - at.STEP))
+            seen = np.full(at.SPAN, at.PAD)
+            for j in range(first, k + 1):
+                seen[at.SPAN - at.STEP + j - lead] = voc.start if j == 0 else voc.seen[ids[j - 1]]
+            p, _ = at.forward(w, seen[None], voc.bigram, at.STEP)
+            logs.append(float(np.log(p[0, k - lead, voc.out[ids[k]]] + 1e-30)) + float(voc.share[ids[k]]))
+        ends = np.cumsum(per_word)
+        words = [*texts[i].split(), None]
+        total = sum(math.log10(at.SHARE * math.exp(sum(logs[b - n : b])) + (1 - at.SHARE) * (c[x] + 0.1) / 10**below) for x, b, n in zip(words, ends, per_word, strict=True))
+        assert made[i].score == pytest.approx(total, rel=1e-5)
