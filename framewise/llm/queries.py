@@ -36,7 +36,9 @@ ORACLES["op1_chat_format"] = chat.CHAT_SQL
 
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.drop_repeats(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    """Beside the digests, what is removed and the text that is left (cut characters give way to U+FFFD)."""
+    made = suffixes.drop_repeats(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 @query

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import map_batches, row_key, stage
+from framewise.llm.common import map_batches, row_key, shared_folder, stage
 from framewise.llm.words import chunks
 
 WINDOW, ANCHOR = 400, 128
@@ -220,12 +220,13 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, key, text`` as a table bucketed by key: three joins read it, and texts are dealt out once."""
+    """``doc_id, key, text`` as a table bucketed by key, in the shared folder: three joins read it, and texts are dealt out once."""
     spark = docs.sparkSession
     name = f"framewise_texts_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/framewise-llm/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("text"))
-    rows.repartition(n, "key").write.bucketBy(n, "key").saveAsTable(name)
+    rows.repartition(n, "key").write.bucketBy(n, "key").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
@@ -233,7 +234,7 @@ def repeated_ranges(docs: DataFrame, keyed: DataFrame, doc_id: str = "doc_id", t
     """``key, spans``: per text with repeats the byte ranges [lo, hi) that repeated windows cover, in no order, overlapping."""
     raw = docs.select(row_key(doc_id, text).alias("key"), F.col(text).cast("binary").alias("text"))
     names = ("lo", "hi", "mid", "k", "c", "left", "right")
-    anchors = map_batches(raw, contexts, dict.fromkeys(names, "array<long>")).select("key", F.inline(F.arrays_zip(*names)))
+    anchors = stage(map_batches(raw, contexts, dict.fromkeys(names, "array<long>")).select("key", F.inline(F.arrays_zip(*names))), "windows")
     context = anchors.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("copy"))
     context = stage(context, "contexts")
     anchor = context.groupBy("k").agg(F.sum("n").alias("total"), (F.sum((F.col("n") == 1).cast("int")) > 0).alias("open")).where("total > 1")
@@ -291,8 +292,11 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) for every row: each byte covered by a 400-byte string that also starts
-    anywhere else, in the same text or another, is removed; strings are judged on the input.
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary), ``removed`` (start:end in bytes, comma-joined) for every row: each byte
+    covered by a 400-byte string that also starts anywhere else, in the same text or another, is removed; strings are judged on the input.
+
+    Most strings are settled by counting hashes of anchors, contexts and blocks; those at the ends of repeats are settled by the sort of
+    suffixes. Equality is that of 128 or more hash bits; bytes are not compared again.
 
     Null and empty texts, and texts under 400 bytes, lose nothing. Rows repeated in id and text are repeats of each other. An
     empty table gives an empty result. A text's ranges are gathered in one row, which its own length bounds.
@@ -303,10 +307,11 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         runs = [merged(s) for s in spans]
         kept = [without(t or b"", r) for t, r in zip(texts, runs, strict=True)]
         size = [len(t or b"") for t in texts]
-        return size, [n - len(k) for n, k in zip(size, kept, strict=True)], [len(r) for r in runs], kept
+        shown = [",".join(f"{a}:{b}" for a, b in r) for r in runs]
+        return size, [n - len(k) for n, k in zip(size, kept, strict=True)], [len(r) for r in runs], kept, shown
 
     joined = keyed.join(repeated_ranges(docs, keyed, doc_id, text), "key", "left").drop("key")
-    return map_batches(joined, cut, {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}, reads=("text", "spans"))
+    return map_batches(joined, cut, {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary", "removed": "string"}, reads=("text", "spans"))
 
 
 def brute_force(texts: list[bytes]) -> list[tuple[int, int, int, str]]:

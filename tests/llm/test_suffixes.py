@@ -31,3 +31,6 @@ def test_repeats_against_brute_force(spark):
 
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in made)
     assert got == sorted((i, *w) for (i, _), w in zip(rows, want, strict=True))
+    for r in made:
+        spans = [tuple(map(int, x.split(":"))) for x in r.removed.split(",") if x]
+        assert len(spans) == r.n_spans and sum(b - a for a, b in spans) == r.n_removed
