@@ -148,7 +148,9 @@ def motion_end_state(motion: Column, distance: Column, side: Column, height: Col
         "pitch_delta": F.when(motion == "tilt", F.when(
             has, screen_delta_to_degrees(dy, lens, sensor_height(aspect), steps)).otherwise(-18.0)).when(
             motion == "handheld", shake * -1.5).otherwise(F.lit(0.0)),
-        "shake": F.when(motion == "handheld", shake).otherwise(F.lit(0.0)),
+        "roll_delta": F.when(motion == "handheld", shake * 0.8).otherwise(F.lit(0.0)),
+        # a hand moves the camera itself, in world axes and centimetres
+        **{f"move_{axis}": F.when(motion == "handheld", shake * cm).otherwise(F.lit(0.0)) for axis, cm in (("x", 8.0), ("y", 12.0), ("z", 6.0))},
     }
 
 

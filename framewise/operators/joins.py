@@ -12,41 +12,6 @@ from framewise.functions import vectors as V
 from framewise.operators import kernels as N
 
 
-def _bins(start: Column, end: Column, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
-
-
-def best_overlap_join(truth: DataFrame, candidates: DataFrame, keys: Sequence[str], truth_id: str, cand_id: str,
-                      bin_seconds: float) -> DataFrame:
-    """For every truth interval the candidate with the largest overlap; the earliest wins ties.
-
-    Both sides are cut into time bins and joined on (key, bin), so one busy key
-    spreads over its bins; a pair met in two bins gives the same maximum.
-    """
-    keys = list(keys)
-    t = truth.select(*keys, truth_id, F.col("start").alias("t0"), F.col("end").alias("t1")).withColumn(
-        "__bin", _bins(F.col("t0"), F.col("t1"), bin_seconds))
-    c = candidates.select(*keys, cand_id, F.col("start").alias("c0"), F.col("end").alias("c1")).withColumn(
-        "__bin", _bins(F.col("c0"), F.col("c1"), bin_seconds))
-    overlap = F.least("t1", "c1") - F.greatest("t0", "c0")
-    hits = t.join(c, [*keys, "__bin"]).withColumn("overlap", overlap).where("overlap > 0")
-    best = hits.groupBy(*keys, truth_id).agg(
-        F.max(F.struct("overlap", (-F.col("c0")).alias("n0"), F.col(cand_id).alias("id"))).alias("b"))
-    return truth.join(best.select(*keys, truth_id, F.col("b.id").alias(cand_id), F.col("b.overlap").alias("overlap")),
-                      [*keys, truth_id], "left")
-
-
-def point_in_interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, point_id: str,
-                           interval_id: str, bin_seconds: float) -> DataFrame:
-    """First interval that holds the point (both ends included); points without one are kept."""
-    keys = list(keys)
-    p = points.withColumn("__bin", F.floor(F.col(point) / bin_seconds))
-    i = intervals.select(*keys, interval_id, "start", "end").withColumn("__bin", _bins(F.col("start"), F.col("end"), bin_seconds))
-    hit = p.join(i, [*keys, "__bin"]).where(F.col(point).between(F.col("start"), F.col("end")))
-    first = hit.groupBy(*keys, point_id).agg(F.min(interval_id).alias(interval_id))
-    return points.join(first, [*keys, point_id], "left")
-
-
 def rank_aligned_join(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, tie: str) -> DataFrame:
     """Pair rows of equal rank by ``x`` inside a shot, only where both sides have the same count."""
     keys = list(keys)

@@ -154,7 +154,8 @@ SELECT {LK},
  round(CASE WHEN motion = 'pan' THEN CASE WHEN has THEN -(l_linenumber * degrees(atan(dx / l_linenumber * 2 * th))) ELSE 25.0 END
    WHEN motion = 'handheld' THEN 2.0 * CASE WHEN has THEN greatest(0.3, least(3.0, path / 0.15)) ELSE 1.0 END ELSE 0.0 END, 6) AS yaw_delta,
  round(CASE WHEN motion = 'tilt' THEN CASE WHEN has THEN l_linenumber * degrees(atan(dy / l_linenumber * 2 * tv)) ELSE -18.0 END
-   WHEN motion = 'handheld' THEN -1.5 * CASE WHEN has THEN greatest(0.3, least(3.0, path / 0.15)) ELSE 1.0 END ELSE 0.0 END, 6) AS pitch_delta
+   WHEN motion = 'handheld' THEN -1.5 * CASE WHEN has THEN greatest(0.3, least(3.0, path / 0.15)) ELSE 1.0 END ELSE 0.0 END, 6) AS pitch_delta,
+ {', '.join(f"round(CASE WHEN motion = 'handheld' THEN {cm} * CASE WHEN has THEN greatest(0.3, least(3.0, path / 0.15)) ELSE 1.0 END ELSE 0.0 END, 6) AS {n}" for n, cm in (('roll_delta', 0.8), ('move_x', 8.0), ('move_y', 12.0), ('move_z', 6.0)))}
 FROM a""")
 def _(spark, sf):
     li = lines(spark, sf)
@@ -162,7 +163,7 @@ def _(spark, sf):
         F.col("motion"), F.col("distance"), F.col("side"), F.col("height"), F.col("lens"), F.col("aspect"),
         F.col("l_linestatus") == "O", (F.col("l_discount") - 0.05) * 4, (F.col("l_tax") - 0.04) * 5,
         0.5 + F.col("l_discount") * 10, F.col("l_tax") * 25, F.col("l_discount") * 3, F.col("l_linenumber"))
-    return li.select(*LINE_KEYS, *[r6(v).alias(k) for k, v in out.items() if k != "shake"])
+    return li.select(*LINE_KEYS, *[r6(v).alias(k) for k, v in out.items()])
 
 
 @query("e9_offset_decompose", f"""WITH {B.FR}, v AS (SELECT vec_id, sig[1] ax, sig[2] ay, sig[3] az, sig[4] fx, sig[5] fy,

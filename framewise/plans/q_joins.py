@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewise import scale
+from framewise.operators import intervals as I
 from framewise.operators import joins as J
 from framewise.plans import bindings as B
 from framewise.plans.q_functions import r6
@@ -35,7 +36,7 @@ def day_bins(spark, sf):
 b AS (SELECT reel, session, day, ov FROM o WHERE ov > 0 QUALIFY row_number() OVER (PARTITION BY reel, session ORDER BY ov DESC, day) = 1)
 SELECT se.reel, se.session, b.day, round(b.ov, 6) AS overlap FROM se LEFT JOIN b USING (reel, session)""")
 def _(spark, sf):
-    out = J.best_overlap_join(sessions(spark, sf), day_bins(spark, sf), ["reel"], "session", "day", 86400.0)
+    out = I.best_overlap(sessions(spark, sf), day_bins(spark, sf), ["reel"], "session", "day", 86400.0)
     return out.select("reel", "session", "day", r6(F.col("overlap")).alias("overlap"))
 
 
@@ -43,7 +44,7 @@ def _(spark, sf):
 SELECT p.reel, p.i, min(es.shot_idx) AS shot_idx FROM p LEFT JOIN es ON es.reel = p.reel AND p.t BETWEEN es."start" AND es."end" GROUP BY p.reel, p.i""")
 def _(spark, sf):
     pts = B.event_series(spark, sf).select("reel", "i", (F.col("t") + F.when(F.col("k") % 5 == 0, 3000000).otherwise(0)).alias("t"))
-    return J.point_in_interval_join(pts, B.event_shots(spark, sf), ["reel"], "t", "i", "shot_idx", 86400.0).select("reel", "i", "shot_idx")
+    return I.point_in_interval(pts, B.event_shots(spark, sf), ["reel"], "t", "i", "shot_idx", 86400.0).select("reel", "i", "shot_idx")
 
 
 @query("j3_rank_aligned_join", f"""WITH {B.LS}, r AS (SELECT plan, l_linestatus AS s, shot_idx, l_quantity AS x, row_number() OVER (PARTITION BY plan, l_linestatus ORDER BY l_quantity, shot_idx) AS rank, count(*) OVER (PARTITION BY plan, l_linestatus) AS n FROM ls)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framewise import constants as C
 from framewise import scale
+from framewise.operators import intervals as I
 from framewise.operators import joins as J
 from framewise.operators import scorecards as SC
 from framewise.plans import bindings as B
@@ -21,7 +22,7 @@ fl AS (SELECT *, found AND tsize IS NOT NULL AS cmp, found AND pm > 0 AND (tsize
 
 
 def matched(spark, sf):
-    m = J.best_overlap_join(sessions(spark, sf), day_bins(spark, sf), ["reel"], "session", "day", 86400.0)
+    m = I.best_overlap(sessions(spark, sf), day_bins(spark, sf), ["reel"], "session", "day", 86400.0)
     pick = lambda c, *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col(c) % len(xs)).cast("int"))
     return m.select(
         "reel", F.concat(F.lit("S"), "session").alias("name"), F.col("day").isNotNull().alias("found"), pick("day", "wide", "full", "medium").alias("size"),

@@ -86,6 +86,26 @@ def _(spark, sf):
     return ST.report_header(quality(spark, sf))
 
 
+@query("k5_quality_summary", f"""WITH {SQL_QUALITY}, n AS (SELECT count(*) AS rows, count(*) FILTER (WHERE coalesce(segments_compared, 0) > 0) AS measured, count(*) FILTER (WHERE len(reasons) > 0) AS review FROM qf)
+SELECT printf('Quality check: %d of %d measured need a review', review, measured) || CASE WHEN rows > measured THEN printf(' (%d could not be measured for missing roles)', rows - measured) ELSE '' END AS text FROM n""")
+def _(spark, sf):
+    return ST.quality_summary(quality(spark, sf))
+
+
+@query("k5_context_lists", """WITH o AS (SELECT DISTINCT l_orderkey FROM lineitem),
+c AS (SELECT l_orderkey, printf('- label=sup_%d; class=Part%d; location=(%.1f,%.1f,%.1f)', l_suppkey, l_partkey % 7, l_quantity, -l_quantity, 0.5) AS line FROM lineitem WHERE l_linenumber % 2 = 0
+ UNION ALL SELECT l_orderkey, printf('- id=a%d; type=%s; name=N%d; duration=%.2fs', l_partkey, CASE WHEN l_partkey % 2 = 0 THEN 'animation' ELSE 'audio' END, l_suppkey, l_quantity / 4) FROM lineitem WHERE l_linenumber % 3 = 0)
+SELECT o.l_orderkey, coalesce(string_agg(line, chr(10) ORDER BY line), 'none') AS text FROM o LEFT JOIN c USING (l_orderkey) GROUP BY o.l_orderkey""")
+def _(spark, sf):
+    li = table(spark, sf, "lineitem")
+    named = lambda word, c: F.concat(F.lit(word), c)
+    actors = li.where("l_linenumber % 2 = 0").select("l_orderkey", ST.actor_line(
+        named("sup_", F.col("l_suppkey")), named("Part", F.col("l_partkey") % 7), F.col("l_quantity"), -F.col("l_quantity"), F.lit(0.5)).alias("line"))
+    assets = li.where("l_linenumber % 3 = 0").select("l_orderkey", ST.asset_line(
+        named("a", F.col("l_partkey")), F.when(F.col("l_partkey") % 2 == 0, "animation").otherwise("audio"), named("N", F.col("l_suppkey")), F.col("l_quantity") / 4).alias("line"))
+    return ST.context_text(li.select("l_orderkey").distinct(), actors.unionByName(assets), ["l_orderkey"], "line")
+
+
 @query("k4_library_index", f"WITH {B.ES} SELECT 'clip_' || reel || '.mp4' AS path, count(*) AS n_shots, max(people) AS identities, 1 AS version, 'a:1' AS analyzer FROM es GROUP BY reel")
 def _(spark, sf):
     g = B.event_shots(spark, sf).groupBy("reel").agg(F.count(F.lit(1)).alias("n_shots"), F.max("people").alias("identities"))

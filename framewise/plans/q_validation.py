@@ -185,6 +185,27 @@ def _(spark, sf):
                     r6(F.col("over_shoulder.edge_x")).alias("ots_edge"))
 
 
+@query("k1_write_camera_plans", f"""WITH {SQL_CINE}, p AS (SELECT plan, count(DISTINCT shot_idx) AS n FROM pm GROUP BY plan)
+SELECT plan, any_value(title) AS title, count(*) AS n_shots, coalesce(any_value(p.n), 0) AS n_placed, count(*) FILTER (WHERE sk % 5 = 0 AND pk % 2 = 0) AS n_over_shoulder, true AS round_trip FROM sh JOIN pl USING (plan) LEFT JOIN p USING (plan) GROUP BY plan""")
+def _(spark, sf):
+    """Camera plans written and read again: equal shots, and optional objects only where they are set."""
+    plans = P.read_cinematic_plans(cinematic_docs(spark, sf))
+    written = P.write_cinematic_json(plans)
+    again = P.filled_cameras(P.read_cinematic_plans(written.select("plan", F.col("shots").alias("before"), F.col("json").alias("doc"))))
+    times = lambda name: F.regexp_count("doc", F.lit(f'"{name}"')).cast("bigint")
+    return again.select("plan", "title", F.size("shots").cast("bigint").alias("n_shots"), times("actor_placements").alias("n_placed"), times("over_shoulder").alias("n_over_shoulder"),
+                        (F.to_json("before") == F.to_json("shots")).alias("round_trip"))
+
+
+@query("k5_camera_plan_preview", f"""WITH {SQL_CINE}, t AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY plan ORDER BY shot_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS st FROM sh)
+SELECT plan, 0 AS line_no, printf('%s | %d fps | %.3f:1 | %d shots', title, fr, aspect::DOUBLE, (SELECT count(*) FROM sh WHERE sh.plan = pl.plan)) AS text FROM pl
+UNION ALL SELECT plan, shot_idx::INT + 1, printf('%02d  %6.2fs-%6.2fs  %s  %.1fmm', shot_idx + 1, st, st + dur, name, focal) || chr(10) || printf('    Subject: %s / LookAt: %s', CASE WHEN subject = '' THEN '<absolute>' ELSE subject END, CASE WHEN look_at = '' THEN '<subject>' ELSE look_at END)
+ || chr(10) || printf('    Animation: %s / Audio: %s', CASE WHEN animation_id = '' THEN '-' ELSE animation_id END, CASE WHEN audio_id = '' THEN '-' ELSE audio_id END)
+ || CASE WHEN subject = '' THEN '' ELSE chr(10) || printf('    Camera: front %.0fcm / side %.0fcm / height %.0fcm | aim height %.2f | screen (%.2f, %.2f) | motion %s', floor(dist + 0.5), floor(side + 0.5), floor(height + 0.5), floor(foc * 100 + 0.5) / 100, floor(sx * 100 + 0.5) / 100, 0.5, CASE WHEN motion = '' THEN 'static' ELSE motion END) END FROM t""")
+def _(spark, sf):
+    return P.camera_preview(P.read_cinematic_plans(cinematic_docs(spark, sf)), ["plan"])
+
+
 def cinematic_tables(spark, sf):
     plans = P.read_cinematic_plans(cinematic_docs(spark, sf)).where("error IS NULL")
     shots = P.explode_shots(plans, ["plan"]).withColumns({

@@ -93,6 +93,17 @@ def running_sum(df: DataFrame, keys: Sequence[str], ordinal_col: str, sums: Mapp
             .drop("__piece", *[f"__l_{n}" for n in sums], *[f"__c_{n}" for n in sums]))
 
 
+def running_max(df: DataFrame, keys: Sequence[str], ordinal_col: str, column: str, name: str, span: int = SPAN) -> DataFrame:
+    """Largest value up to each row along an ordinal, nulls passed over; large keys meet by the largest value of each piece."""
+    cut = df.withColumn("__piece", F.floor(F.col(ordinal_col) / span))
+    tops = cut.groupBy(*keys, "__piece").agg(F.max(column).alias("__t"))
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "__piece", F.max("__t").over(before).alias("__c"))
+    inner = Window.partitionBy(*keys, "__piece").orderBy(ordinal_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumn("__l", F.max(column).over(inner))
+    return local.join(carried, [*keys, "__piece"]).withColumn(name, F.greatest("__l", "__c")).drop("__piece", "__l", "__c")
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]],
               accuracy: int = 10000, upper: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles per key, one row per key; those named in ``upper`` are the value at the higher rank.

@@ -161,6 +161,45 @@ def read_cinematic_plans(docs: DataFrame, text: str = "doc") -> DataFrame:
         F.when(error.isNull(), F.transform(p["shots"], shot)).alias("shots"))
 
 
+def filled_cameras(plans: DataFrame) -> DataFrame:
+    """Camera plans whose shots all have a camera place and rotation, zero where the document has none, as every placement has a rotation."""
+    zero = lambda p, names: F.struct(*[F.coalesce(p[n], F.lit(0.0)).alias(n) for n in names])
+    turned = lambda a: F.struct(a["actor"].alias("actor"), a["location"].alias("location"), zero(a["rotation"], ("pitch", "yaw", "roll")).alias("rotation"))
+    return plans.withColumn("shots", F.transform("shots", lambda s: s.withField("camera_location", zero(s["camera_location"], "xyz")).withField(
+        "camera_rotation", zero(s["camera_rotation"], ("pitch", "yaw", "roll"))).withField("actor_placements", F.transform(s["actor_placements"], turned))))
+
+
+def write_cinematic_json(plans: DataFrame, out: str = "json") -> DataFrame:
+    """Accepted camera plans as documents that parse back equal to :func:`filled_cameras`.
+
+    The size of a move, its subject scale, placements and an over-shoulder person are left out where they are not set.
+    """
+    some = F.transform("shots", lambda s: s.withField("actor_placements", F.when(F.size(s["actor_placements"]) > 0, s["actor_placements"])))
+    ready = filled_cameras(plans.where("error IS NULL"))
+    return ready.withColumn(out, F.to_json(F.struct("title", "frame_rate", "aspect_ratio", some.alias("shots"))))
+
+
+def camera_preview(plans: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, line_no, text): a heading of each camera plan (line 0) and the lines of each of its shots, with running times."""
+    cm = lambda c: F.floor(c + 0.5).cast("double")
+    share = lambda c: F.floor(c * 100 + 0.5) / 100
+    named = lambda c, other: F.when(c == "", other).otherwise(c)
+    starts = F.aggregate("shots", F.array(F.lit(0.0)), lambda t, s: F.array_append(t, F.element_at(t, -1) + s["duration_seconds"]))
+
+    def lines(s: Column, i: Column) -> Column:
+        start = F.get("__t", i)
+        camera = F.format_string("    Camera: front %.0fcm / side %.0fcm / height %.0fcm | aim height %.2f | screen (%.2f, %.2f) | motion %s", cm(s["distance_cm"]), cm(s["side_cm"]),
+                                 cm(s["height_cm"]), share(s["focus_height"]), share(s["subject_screen_x"]), share(s["subject_screen_y"]), named(s["camera_motion"], "static"))
+        return F.concat_ws("\n", F.format_string("%02d  %6.2fs-%6.2fs  %s  %.1fmm", i + 1, start, start + s["duration_seconds"], s["name"], s["focal_length"]),
+                           F.format_string("    Subject: %s / LookAt: %s", named(s["subject"], "<absolute>"), named(s["look_at"], "<subject>")),
+                           F.format_string("    Animation: %s / Audio: %s", named(s["animation_id"], "-"), named(s["audio_id"], "-")),
+                           F.when(s["subject"] != "", camera), F.when(s["description"] != "", F.concat(F.lit("    "), s["description"])))
+
+    heading = F.format_string("%s | %d fps | %.3f:1 | %d shots", "title", "frame_rate", "aspect_ratio", F.size("shots"))
+    timed = bind(plans.where("error IS NULL"), __t=starts)
+    return timed.select(*ids, F.posexplode(F.concat(F.array(heading), F.transform("shots", lines))).alias("line_no", "text"))
+
+
 def read_render_report(docs: DataFrame, text: str = "doc") -> DataFrame:
     """Comparison reports with the first reason of refusal."""
     p = F.col("__p")

@@ -126,3 +126,25 @@ def verify_line() -> Column:
     """One line of a comparison report: the status, or score and errors."""
     ok = F.format_string("%s: score %.0f | dx %+.3f dy %+.3f | size x%.2f", "name", "score", "error_x", "error_y", "height_ratio")
     return F.when(F.col("status") == "ok", ok).otherwise(F.concat_ws(": ", "name", "status"))
+
+
+def quality_summary(rows: DataFrame, *keys: str) -> DataFrame:
+    """One sentence a group on a quality report: how many pairs were measured, are to be reviewed and could not be measured."""
+    h = report_header(rows, *keys)
+    text = F.format_string("Quality check: %d of %d measured need a review", "review", "measured")
+    missing = F.when(F.col("rows") > F.col("measured"), F.format_string(" (%d could not be measured for missing roles)", F.col("rows") - F.col("measured"))).otherwise("")
+    return h.select(*keys, F.concat(text, missing).alias("text"))
+
+
+def context_text(scenes: DataFrame, rows: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
+    """What a scene offers as a text: its lines in order, ``none`` for a scene without any (a scene holds a few hundred things)."""
+    listed = rows.where(F.col(line).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("__l"))
+    return scenes.join(listed, list(keys), "left").select(*keys, F.coalesce(F.array_join("__l", "\n"), F.lit("none")).alias("text"))
+
+
+def actor_line(label: Column, kind: Column, x: Column, y: Column, z: Column) -> Column:
+    return F.format_string("- label=%s; class=%s; location=(%.1f,%.1f,%.1f)", label, kind, x, y, z)
+
+
+def asset_line(name_id: Column, kind: Column, name: Column, seconds: Column) -> Column:
+    return F.format_string("- id=%s; type=%s; name=%s; duration=%.2fs", name_id, kind, name, seconds)
