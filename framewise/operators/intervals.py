@@ -121,7 +121,7 @@ def best_overlap(truth: DataFrame, candidates: DataFrame, keys: Sequence[str], t
     """For every truth interval the candidate with the largest overlap; the earliest start wins ties, then the larger id.
 
     A candidate that overlaps a truth holds its end, holds its start, or lies inside it.  The earliest that holds the end wins if it holds
-    the start too; else the best is this one, the one that holds the start and ends last, or the longest inside.  Ids are numbers, unique per key.
+    the start too; else the best is this one, the one that holds the start and ends last, or the longest inside.  Ids are numbers (below 2**53), unique per key.
     """
     keys = list(keys)
     t = truth.select(*keys, F.col(truth_id).cast("bigint").alias("id"), "start", "end")
@@ -133,12 +133,16 @@ def best_overlap(truth: DataFrame, candidates: DataFrame, keys: Sequence[str], t
     cs = stage(c.join(spans("c0", "c1"), [*keys, "id"]).select(
         *keys, "lo", "hi", F.col("start").cast("double").alias("early"), (-F.col("end").cast("double")).alias("late"), (-F.col("id")).alias("other")), "candidates")
     ts = stage(t.join(spans("t0", "t1"), [*keys, "id"]).where("lo < hi").select(*keys, F.col("id").alias("tid"), "lo", "hi", "start", "end"), "truths")
-    ask = lambda rank, order: first_holding(ts.select(*keys, F.col("tid").alias("id"), F.col(rank).alias("rank")), cs, keys, order, block)
-    holds_end = ask("hi", ["early", "other", "late"])
-    holds_start = ask("lo", ["late", "early", "other"])
+    # both questions in one pass: who holds the end and starts first, who holds the start and ends last
+    orders = {"end": ("hi", ("early", "other", "late")), "start": ("lo", ("late", "early", "other"))}
+    asked = ts.select(*keys, F.col("tid").alias("id"), F.inline(F.array(*[F.struct(F.lit(q).alias("ask"), F.col(rank).alias("rank")) for q, (rank, _) in orders.items()])))
+    turned = cs.select(*keys, "lo", "hi", F.inline(F.array(*[F.struct(F.lit(q).alias("ask"), *[F.col(c).cast("double").alias(f"o{k}") for k, c in enumerate(order)])
+                                                             for q, (_, order) in orders.items()])))
+    holding = first_holding(asked, turned, [*keys, "ask"], ["o0", "o1", "o2"], block)
+    place = lambda c: F.when(F.col("ask") == "end", F.col(f"o{orders['end'][1].index(c)}")).otherwise(F.col(f"o{orders['start'][1].index(c)}"))
+    held = holding.select(*keys, F.col("id").alias("tid"), place("early").alias("c0"), (-place("late")).alias("c1"), (-place("other")).cast("bigint").alias("cid"))
     length = (-F.col("late") - F.col("early")).alias("length")
     inside = _longest_inside(ts, cs.where("lo < hi").select(*keys, "lo", "hi", length, (-F.col("early")).alias("early"), (-F.col("other")).alias("cid")), keys, span)
-    held = holds_end.unionByName(holds_start).select(*keys, F.col("id").alias("tid"), F.col("early").alias("c0"), (-F.col("late")).alias("c1"), (-F.col("other")).alias("cid"))
     held = held.unionByName(inside.select(*keys, "tid", (-F.col("best.early")).alias("c0"), (F.col("best.length") - F.col("best.early")).alias("c1"), "best.cid"))
     shared = F.least("end", "c1") - F.greatest("start", "c0")
     best = held.join(ts, [*keys, "tid"]).withColumn("overlap", shared).where("overlap > 0").groupBy(*keys, "tid").agg(

@@ -210,12 +210,12 @@ def foreground_role(subjects: DataFrame, shots: DataFrame, actors: DataFrame, ke
 def grid_search_azimuth(shots: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Best camera azimuth around the anchor out of 61 candidates; the first angle wins ties.
 
-    shots: distance, side, height, lens, body (anchor height in cm) and arrays of
-    the other people: ox, oy (ground position relative to the anchor), oh
-    (height), osx (wanted screen x), oratio (wanted size ratio).  The whole grid
-    of a batch is evaluated as arrays, without multiplying rows.
+    shots: distance, side, height, lens, body (anchor height in cm), focus (aimed height as a share of it), screen_x, screen_y (where the
+    anchor is wanted), aspect, and arrays of the other people: ox, oy (ground position relative to the anchor), oh
+    (height), osx (wanted screen x), oratio (wanted size ratio).  At each angle the camera turns until the anchor is at its place; a person in
+    front of its focus, its head or its chest counts as hiding it.  The whole grid of a batch is evaluated as arrays, without multiplying rows.
     """
-    inputs = ["distance", "side", "height", "lens", "body", "ox", "oy", "oh", "osx", "oratio"]
+    inputs = ["distance", "side", "height", "lens", "body", "focus", "screen_x", "screen_y", "aspect", "ox", "oy", "oh", "osx", "oratio"]
     best = N.azimuth_search()(*[F.col(c) for c in inputs])
     return shots.withColumn("__b", best).select(*columns, "__b.angle", "__b.cost")
 

@@ -199,17 +199,27 @@ def sql_hit(x0, y0, z0, x1, y1, z1, ax, ay, tall):
     return SQL_HIT.format(x0=x0, y0=y0, z0=z0, x1=x1, y1=y1, z1=z1, ax=ax, ay=ay, tall=tall, t=t)
 
 
-@query("j20_grid_search_argmin", f"""WITH {B.LS}, an AS (SELECT plan, 200 + l_extendedprice / 100 AS dist, (l_quantity - 25) * 4 AS side, (l_discount - 0.05) * 1000 AS hh, 20 + l_quantity AS lens, 150.0 + l_linenumber * 5 AS body FROM ls WHERE shot_idx = 0),
+def _turned(i: int) -> str:
+    """One step of turning the camera until the anchor is seen at its wanted place."""
+    depth = "(-cx*cos(p)*cos(w) - cy*cos(p)*sin(w) + (fz-cz)*sin(p))"
+    seen = f"t{i} AS (SELECT * REPLACE (CASE WHEN go THEN w - atan(ex * th) ELSE w END AS w, CASE WHEN go THEN p - atan(eu * tv) ELSE p END AS p) FROM (SELECT *, d > 1e-4 AND (abs(ex) >= 0.001 OR abs(eu) >= 0.001) AS go FROM ("
+    return seen + f"""SELECT *, 2 * (wx - (0.5 + 0.5 * ((cx*sin(w) - cy*cos(w)) / d) / th)) AS ex, 2 * (0.5 - 0.5 * ((cx*sin(p)*cos(w) + cy*sin(p)*sin(w) + (fz-cz)*cos(p)) / d) / tv - wy) AS eu FROM (
+ SELECT * EXCLUDE (d, ex, eu, go), {depth} AS d FROM t{i - 1}))))"""
+
+
+@query("j20_grid_search_argmin", f"""WITH {B.LS}, an AS (SELECT plan, 200 + l_extendedprice / 100 AS dist, (l_quantity - 25) * 4 AS side, (l_discount - 0.05) * 1000 AS hh, 20 + l_quantity AS lens, 150.0 + l_linenumber * 5 AS body,
+ (['0.5', '0.72', '0.88'])[l_partkey % 3 + 1]::DOUBLE AS foc, 0.3 + l_tax * 5 AS wx, 0.35 + l_discount * 3 AS wy, 1.0 + (l_suppkey % 3) / 2 AS aspect FROM ls WHERE shot_idx = 0),
 ob AS (SELECT plan, shot_idx, (l_discount - 0.05) * 4000 AS x, (l_tax - 0.04) * 5000 AS y, 150.0 + l_linenumber * 5 AS h, l_quantity / 50 AS sx, 0.5 + l_discount * 10 AS ratio FROM ls WHERE shot_idx > 0),
-ca AS (SELECT *, greatest(30.0, sqrt(dist*dist + side*side)) AS r, degrees(atan2(side, dist)) AS base, g * 2.5 - 75.0 AS angle FROM an, range(0, 61) t(g)),
-cb AS (SELECT *, r * cos(radians(angle)) AS cx, r * sin(radians(angle)) AS cy, body * 0.5 + hh AS cz, body * 0.5 AS fz FROM ca),
-cc AS (SELECT *, atan2(fz - cz, sqrt(cx*cx + cy*cy)) AS p, atan2(-cy, -cx) AS w FROM cb),
-cd AS (SELECT *, -cx*cos(p)*cos(w) - cy*cos(p)*sin(w) + (fz-cz)*sin(p) AS d0 FROM cc),
+ca AS (SELECT *, greatest(30.0, sqrt(dist*dist + side*side)) AS r, degrees(atan2(side, dist)) AS base, g * 2.5 - 75.0 AS angle, 18.0 / lens AS th, 18.0 / lens / aspect AS tv FROM an, range(0, 61) t(g)),
+cb AS (SELECT *, r * cos(radians(angle)) AS cx, r * sin(radians(angle)) AS cy, body * foc + hh AS cz, body * foc AS fz FROM ca),
+t0 AS (SELECT *, atan2(fz - cz, sqrt(cx*cx + cy*cy)) AS p, atan2(-cy, -cx) AS w, 0.0 AS d, 0.0 AS ex, 0.0 AS eu, false AS go FROM cb),
+{', '.join(_turned(i) for i in range(1, 7))},
+cd AS (SELECT *, -cx*cos(p)*cos(w) - cy*cos(p)*sin(w) + (fz-cz)*sin(p) AS d0 FROM t6),
 oo AS (SELECT cd.plan, cd.g, (ob.x-cx)*cos(p)*cos(w) + (ob.y-cy)*cos(p)*sin(w) + (ob.h*0.5-cz)*sin(p) AS depth, -(ob.x-cx)*sin(w) + (ob.y-cy)*cos(w) AS across, d0, body, lens, ob.h, ob.sx, ob.ratio,
- {sql_hit('cx', 'cy', 'cz', 'ob.x', 'ob.y', 'ob.h*0.5', '0.0', '0.0', 'body')} AS hidden, {sql_hit('cx', 'cy', 'cz', '0.0', '0.0', 'fz', 'ob.x', 'ob.y', 'ob.h')} AS blocks FROM cd JOIN ob USING (plan)),
+ {sql_hit('cx', 'cy', 'cz', 'ob.x', 'ob.y', 'ob.h*0.5', '0.0', '0.0', 'body')} AS hidden, {' OR '.join('(' + sql_hit('cx', 'cy', 'cz', '0.0', '0.0', f'(body*{up})', 'ob.x', 'ob.y', 'ob.h') + ')' for up in ('foc', '0.9', '0.65'))} AS blocks FROM cd JOIN ob USING (plan)),
 oc AS (SELECT plan, g, sum(CASE WHEN depth <= 1e-4 THEN 5.0 ELSE 4.0 * (0.5 + 0.5 * (across / depth) / (36.0 / (2 * lens)) - sx)**2 + CASE WHEN d0 > 1 AND depth > 1 AND ratio > 0.01 THEN 0.5 * ln((h / depth) / (body / d0) / ratio)**2 ELSE 0.0 END + CASE WHEN hidden THEN 2.0 ELSE 0.0 END END) AS c, bool_or(blocks) AS blocked FROM oo GROUP BY ALL),
 fin AS (SELECT cd.plan, cd.g, cd.angle, round(0.3 * ((angle - base) / 75.0)**2 + CASE WHEN blocked THEN 10.0 ELSE 0.0 END + coalesce(c, 0.0), 9) AS cost FROM cd LEFT JOIN oc USING (plan, g))
-SELECT plan, angle::DOUBLE AS angle, round(cost, 5) AS cost FROM fin QUALIFY row_number() OVER (PARTITION BY plan ORDER BY cost, g) = 1""")
+SELECT plan, angle::DOUBLE AS angle, cost::DOUBLE AS cost FROM fin QUALIFY row_number() OVER (PARTITION BY plan ORDER BY cost, g) = 1""")
 def _(spark, sf):
     ls = B.order_shots(spark, sf)
     first = F.col("shot_idx") == 0
@@ -219,9 +229,11 @@ def _(spark, sf):
     people = F.collect_list(F.when(~first, F.struct(*[c.alias(n) for n, c in other.items()])))
     shots = ls.groupBy("plan").agg(
         at(200 + F.col("l_extendedprice") / 100).alias("distance"), at((F.col("l_quantity") - 25) * 4).alias("side"), at((F.col("l_discount") - 0.05) * 1000).alias("height"),
-        at(20 + F.col("l_quantity")).alias("lens"), at(150.0 + F.col("l_linenumber") * 5).alias("body"), people.alias("o"))
-    shots = shots.select("plan", "distance", "side", "height", "lens", "body", *[F.col(f"o.{n}").alias(n) for n in other])
-    return J.grid_search_azimuth(shots, ["plan"]).withColumn("cost", F.round("cost", 5))
+        at(20 + F.col("l_quantity")).alias("lens"), at(150.0 + F.col("l_linenumber") * 5).alias("body"),
+        at(F.get(F.array(F.lit(0.5), F.lit(0.72), F.lit(0.88)), (F.col("l_partkey") % 3).cast("int"))).alias("focus"), at(0.3 + F.col("l_tax") * 5).alias("screen_x"),
+        at(0.35 + F.col("l_discount") * 3).alias("screen_y"), at(1.0 + (F.col("l_suppkey") % 3) / 2).alias("aspect"), people.alias("o"))
+    shots = shots.select("plan", "distance", "side", "height", "lens", "body", "focus", "screen_x", "screen_y", "aspect", *[F.col(f"o.{n}").alias(n) for n in other])
+    return J.grid_search_azimuth(shots, ["plan"])
 
 
 @query("j21_masked_diff_region", f"""WITH {B.FR}, pr AS (SELECT clip, frame, sig AS a, lag(sig) OVER (PARTITION BY clip ORDER BY frame) AS b FROM fr), px AS (SELECT clip, frame, i % 8 AS x, i // 8 AS y, abs(a[i+1] - b[i+1]) > 0.35 AS m FROM pr, range(0, 64) r(i) WHERE b IS NOT NULL),
@@ -245,10 +257,10 @@ def _(spark, sf):
     return J.expected_over_shoulder(s, ["plan"], "shot_idx")
 
 
-@query("j23_within_radius_join", f"""WITH {B.FR}, a AS (SELECT clip, frame, sig[1] * 9000 AS x, sig[2] * 9000 AS y, frame % 4 = 0 AS req FROM fr), s AS (SELECT * FROM a WHERE frame % 3 = 0),
+@query("j23_within_radius_join", f"""WITH {B.FR}, a AS (SELECT clip, frame, sig[1] * 9000 AS x, sig[2] * 9000 AS y, frame % 4 = 0 AS req FROM fr), s AS (SELECT * FROM a),
 p AS (SELECT s.clip, s.frame, o.frame AS of, o.req, sqrt((s.x-o.x)**2 + (s.y-o.y)**2) AS d FROM s LEFT JOIN a o ON o.clip = s.clip AND o.frame <> s.frame)
 SELECT clip, frame, count(*) FILTER (WHERE d <= 1600) AS occluders, count(*) FILTER (WHERE d <= 800) AS staged, coalesce(bool_and(d <= 800) FILTER (WHERE req), true) AS all_staged FROM p GROUP BY ALL""")
 def _(spark, sf):
     fr = B.frames(spark, sf).select("clip", "frame", (F.get("sig", F.lit(0)) * 9000).alias("x"), (F.get("sig", F.lit(1)) * 9000).alias("y"), (F.col("frame") % 4 == 0).alias("required"))
-    shots = fr.where("frame % 3 = 0").select("clip", "frame", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    shots = fr.select("clip", "frame", F.col("x").alias("ax"), F.col("y").alias("ay"))
     return J.within_radius(shots, fr.withColumnRenamed("frame", "actor"), "clip", "frame", "actor", 800.0, 1600.0)

@@ -193,10 +193,10 @@ def _(spark, sf):
     return d.unionByName(p, allowMissingColumns=True)
 
 
-@query("u2_shared_roles", """SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O' AND l_discount > 0.09
-INTERSECT SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'F' AND l_discount > 0.09""")
+@query("u2_shared_roles", """SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O'
+INTERSECT SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'F'""")
 def _(spark, sf):
-    li = table(spark, sf, "lineitem").where(F.col("l_discount") > 0.09)
+    li = table(spark, sf, "lineitem")
     side = lambda s: li.where(F.col("l_linestatus") == s).select("l_suppkey", "l_returnflag")
     return side("O").intersect(side("F"))
 
@@ -206,7 +206,7 @@ def _(spark, sf):
     return W.ordered_distinct(table(spark, sf, "conversations"), ["conv_id"], "role", "turn")
 
 
-@query("u4_unused_items", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+@query("u4_unused_items", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def _(spark, sf):
-    used = table(spark, sf, "orders").where(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").select("c_custkey", "c_name").join(used, "c_custkey", "left_anti")
+    used = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(used, "o_orderkey", "left_anti")
