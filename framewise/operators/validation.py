@@ -2,78 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise import constants as C
 from framewise.functions import text as T
+from framewise.scale import bind
 
 
-def _rows(df: DataFrame, ids: Sequence[str], errors: dict[str, Column], warnings: dict[str, Column]) -> DataFrame:
-    found = F.array_compact(F.array(*[
-        F.when(test, F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule")))
-        for level, rules in (("error", errors), ("warning", warnings)) for rule, test in rules.items()]))
-    return df.select(*ids, F.inline(found))
+def _outside(c: Column, low: float, high: float) -> Column:
+    return ~c.between(low, high) | F.isnan(c)
 
 
-def _outside(column: str, low: float, high: float) -> Column:
-    return ~F.col(column).between(low, high) | F.isnan(column)
+def _document_rows(plans: DataFrame, ids: Sequence[str], plan_rules: dict[str, Column], shot_rules: Callable[[Column], tuple[dict, dict]]) -> DataFrame:
+    """(ids, shot_idx, level, rule): what a plan and each of its shots break, all out of one row per plan; plan rows have a null shot_idx."""
+    def found(at: Column, errors: dict[str, Column], warnings: dict[str, Column]) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(test, F.struct(at.cast("bigint").alias("shot_idx"), F.lit(level).alias("level"), F.lit(rule).alias("rule")))
+            for level, rules in (("error", errors), ("warning", warnings)) for rule, test in rules.items()]))
 
+    shots = F.transform("shots", lambda s, i: found(i, *shot_rules(s)))
+    return plans.select(*ids, F.inline(F.concat(found(F.lit(None), plan_rules, {}), F.flatten(shots))))
 
-def validate_cinematic_plan(plans: DataFrame, shots: DataFrame, key: str) -> DataFrame:
-    """Range and dependency rules of camera plans; plan rows have a null shot_idx."""
-    totals = shots.groupBy(key).agg(F.count(F.lit(1)).alias("n_shots"), F.sum("duration_seconds").alias("total"))
-    heads = plans.join(totals, key, "left").withColumn("shot_idx", F.lit(None).cast("bigint"))
-    n = F.coalesce("n_shots", F.lit(0))
+
+def validate_cinematic_plan(plans: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Range and dependency rules of camera plans (title, frame_rate, aspect_ratio, shots), in one pass over the documents."""
+    p = bind(plans.select(*ids, "title", "frame_rate", "aspect_ratio", "shots"), n=F.size("shots"),
+             total=F.aggregate("shots", F.lit(0.0), lambda t, s: t + s["duration_seconds"]))
     plan_rules = {
         "title": F.trim("title") == "", "frame_rate": ~F.col("frame_rate").between(1, 120),
-        "aspect_ratio": _outside("aspect_ratio", 0.25, 4.0), "no_shots": n == 0, "too_many_shots": n > 100,
-        "total_duration": F.coalesce("total", F.lit(0.0)) > 1800.0,
-    }
-    none = F.col("subject") == ""
-    shot_rules = {
-        "name": F.trim("name") == "", "duration": ~F.col("duration_seconds").between(0.1, 120.0),
-        "focal_length": ~F.col("focal_length").between(8.0, 200.0), "animation_subject": (F.col("animation_id") != "") & none,
-        "distance": ~F.col("distance_cm").between(30.0, 10000.0),
-        "offset": (F.abs("height_cm") > 5000.0) | (F.abs("side_cm") > 5000.0),
-        "screen": ~(F.col("subject_screen_x").between(0, 1) & F.col("subject_screen_y").between(0, 1)),
-        "focus_height": ~F.col("focus_height").between(0, 1),
-        "location": F.sqrt(F.col("camera_x") ** 2 + F.col("camera_y") ** 2 + F.col("camera_z") ** 2) > 1000000.0,
-        "lip_sync_subject": (F.col("lip_sync_animation_id") != "") & none,
+        "aspect_ratio": _outside(F.col("aspect_ratio"), 0.25, 4.0), "no_shots": F.col("n") == 0, "too_many_shots": F.col("n") > 100,
+        "total_duration": F.col("total") > 1800.0,
     }
-    return _rows(heads, [key, "shot_idx"], plan_rules, {}).unionByName(_rows(
-        shots, [key, "shot_idx"], shot_rules, {"dialogue_audio": (F.col("dialogue") != "") & (F.col("audio_id") == "")}))
 
+    def shot_rules(s: Column) -> tuple[dict, dict]:
+        none, at = s["subject"] == "", s["camera_location"]
+        return {
+            "name": F.trim(s["name"]) == "", "duration": ~s["duration_seconds"].between(0.1, 120.0),
+            "focal_length": ~s["focal_length"].between(8.0, 200.0), "animation_subject": (s["animation_id"] != "") & none,
+            "distance": ~s["distance_cm"].between(30.0, 10000.0),
+            "offset": (F.abs(s["height_cm"]) > 5000.0) | (F.abs(s["side_cm"]) > 5000.0),
+            "screen": ~(s["subject_screen_x"].between(0, 1) & s["subject_screen_y"].between(0, 1)),
+            "focus_height": ~s["focus_height"].between(0, 1),
+            "location": F.sqrt(sum((F.coalesce(at[a], F.lit(0.0)) ** 2 for a in "yz"), F.coalesce(at["x"], F.lit(0.0)) ** 2)) > 1000000.0,
+            "lip_sync_subject": (s["lip_sync_animation_id"] != "") & none,
+        }, {"dialogue_audio": (s["dialogue"] != "") & (s["audio_id"] == "")}
+
+    return _document_rows(p, ids, plan_rules, shot_rules)
 
-def validate_blocking(plans: DataFrame, shots: DataFrame, placements: DataFrame, key: str) -> DataFrame:
+
+def validate_blocking(plans: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Second rule set, run before building: safe ranges, known motions, unique placements per shot."""
-    counts = shots.groupBy(key).agg(F.count(F.lit(1)).alias("n_shots"))
-    heads = plans.join(counts, key, "left").withColumn("shot_idx", F.lit(None).cast("bigint"))
-    plan_rules = {"no_shots": F.coalesce("n_shots", F.lit(0)) == 0, "frame_rate": ~F.col("frame_rate").between(1, 120),
-                  "aspect_ratio": _outside("aspect_ratio", 0.25, 4.0)}
-    still = lambda *cs: F.greatest(*[F.abs(F.coalesce(c, F.lit(0.0))) for c in cs]) <= 1e-4
-    shot_rules = {
-        "name": F.col("name") == "", "duration": _outside("duration_seconds", 0.1, 120.0),
-        "focal_length": _outside("focal_length", 8.0, 200.0), "distance": _outside("distance_cm", 20.0, 10000.0),
-        "origin": (F.col("subject") == "") & still("camera_x", "camera_y", "camera_z") & still("pitch", "yaw", "roll"),
-        "motion": ~F.col("camera_motion").isin(["", *C.MOTIONS]),
-    }
-    warnings = {
-        "zoom_limit": F.col("camera_motion").isin("zoom_in", "zoom_out") & (F.col("focal_length") >= 190.0),
-        "look_at": (F.col("subject") != "") & (F.col("look_at") == ""),
-    }
-    # equal labels are counted instead of compared pairwise
-    repeated = placements.groupBy(key, "shot_idx", "actor").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or(F.isnan("x") | F.isnan("y") | F.isnan("z")).alias("nan"))
-    placed = repeated.groupBy(key, "shot_idx").agg(
-        F.bool_or((F.col("actor") != "") & (F.col("n") > 1)).alias("dup"), F.bool_or(F.col("actor") == "").alias("empty"),
-        F.bool_or("nan").alias("nan"))
-    return (_rows(heads, [key, "shot_idx"], plan_rules, {})
-            .unionByName(_rows(shots, [key, "shot_idx"], shot_rules, warnings))
-            .unionByName(_rows(placed, [key, "shot_idx"], {
-                "placement_label": F.col("empty"), "placement_twice": F.col("dup"), "placement_nan": F.col("nan")}, {})))
+    p = bind(plans.select(*ids, "frame_rate", "aspect_ratio", "shots"), n=F.size("shots"))
+    plan_rules = {"no_shots": F.col("n") == 0, "frame_rate": ~F.col("frame_rate").between(1, 120),
+                  "aspect_ratio": _outside(F.col("aspect_ratio"), 0.25, 4.0)}
+    still = lambda at, names: F.greatest(*[F.abs(F.coalesce(at[n], F.lit(0.0))) for n in names]) <= 1e-4
+
+    def shot_rules(s: Column) -> tuple[dict, dict]:
+        labels = F.transform(s["actor_placements"], lambda a: a["actor"])
+        named = F.filter(labels, lambda x: x != "")
+        return {
+            "name": s["name"] == "", "duration": _outside(s["duration_seconds"], 0.1, 120.0),
+            "focal_length": _outside(s["focal_length"], 8.0, 200.0), "distance": _outside(s["distance_cm"], 20.0, 10000.0),
+            "origin": (s["subject"] == "") & still(s["camera_location"], "xyz") & still(s["camera_rotation"], ("pitch", "yaw", "roll")),
+            "motion": ~s["camera_motion"].isin(["", *C.MOTIONS]),
+            "placement_label": F.size(named) < F.size(labels), "placement_twice": F.size(F.array_distinct(named)) < F.size(named),
+            "placement_nan": F.exists(s["actor_placements"], lambda a: F.isnan(a["location"]["x"]) | F.isnan(a["location"]["y"]) | F.isnan(a["location"]["z"])),
+        }, {
+            "zoom_limit": s["camera_motion"].isin("zoom_in", "zoom_out") & (s["focal_length"] >= 190.0),
+            "look_at": (s["subject"] != "") & (s["look_at"] == ""),
+        }
+
+    return _document_rows(p, ids, plan_rules, shot_rules)
 
 
 def media_file_error(path: Column, size: Column) -> Column:

@@ -90,9 +90,8 @@ def frame_budget(starts: DataFrame, keys: Sequence[str], frames: str, budget: in
     """
     numbered = scale.ordinal(starts, keys, ["start_frame"], "__i", block=F.floor(F.col("start_frame") / scale.SPAN))
     counts = starts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy("__i")
-    last = F.coalesce(F.greatest(F.col("start_frame"), F.lead("start_frame").over(w) - 1), F.col(frames) - 1)
-    s = numbered.join(counts, list(keys)).withColumn("__end", last)
+    s = scale.following(numbered, keys, "__i", {"__next": "start_frame"}).join(counts, list(keys))
+    s = s.withColumn("__end", F.coalesce(F.greatest(F.col("start_frame"), F.col("__next") - 1), F.col(frames) - 1))
     many = F.col("__n") > budget
     step = max(1, budget - 1)
     picks = F.transform(F.sequence(F.lit(0), F.lit(budget - 1)),

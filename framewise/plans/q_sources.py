@@ -83,7 +83,11 @@ def _(spark, sf):
 
 @query("k2_quality_report_header", f"WITH {SQL_QUALITY} SELECT count(*) AS rows, count(*) FILTER (WHERE coalesce(segments_compared, 0) > 0) AS measured, count(*) FILTER (WHERE len(reasons) > 0) AS review FROM qf")
 def _(spark, sf):
-    return ST.report_header(quality(spark, sf))
+    """A run is appended to the reports, and its header comes from what was written."""
+    path = f"{jobs.work_folder(spark)}/reports"
+    rows = quality(spark, sf)
+    run = ST.write_quality_report(rows, path)
+    return ST.report_header(spark.read.parquet(path).where(F.col("run_id") == run))
 
 
 @query("k5_quality_summary", f"""WITH {SQL_QUALITY}, n AS (SELECT count(*) AS rows, count(*) FILTER (WHERE coalesce(segments_compared, 0) > 0) AS measured, count(*) FILTER (WHERE len(reasons) > 0) AS review FROM qf)
@@ -109,7 +113,10 @@ def _(spark, sf):
 @query("k4_library_index", f"WITH {B.ES} SELECT 'clip_' || reel || '.mp4' AS path, count(*) AS n_shots, max(people) AS identities, 1 AS version, 'a:1' AS analyzer FROM es GROUP BY reel")
 def _(spark, sf):
     g = B.event_shots(spark, sf).groupBy("reel").agg(F.count(F.lit(1)).alias("n_shots"), F.max("people").alias("identities"))
-    return ST.library_index(g.select(F.concat(F.lit("clip_"), "reel", F.lit(".mp4")).alias("path"), "n_shots", "identities"), "a:1")
+    entries = g.select(F.concat(F.lit("clip_"), "reel", F.lit(".mp4")).alias("path"), "n_shots", "identities")
+    folder = jobs.work_folder(spark)
+    ST.write_library_index(entries, entries.where("n_shots = 0").select("path", F.lit("empty").alias("error")), folder, "a:1")
+    return ST.read_library_index(spark, folder, "path string, n_shots bigint, identities int, version int, analyzer string")
 
 
 @query("k5_render_text_report", f"""WITH {B.ES} SELECT reel, shot_idx, printf('%02d  %.2f-%.2fs  %s | role=%s | %s / %s / %s | confidence %.0f%%', (shot_idx + 1)::INT, (floor("start") / 4)::DOUBLE, (floor("end") / 4)::DOUBLE, name, CASE WHEN people = 1 THEN 'solo' ELSE 'main' END, size, angle, motion, floor(confidence * 100 + 0.5)::DOUBLE) AS line FROM es""")

@@ -206,14 +206,6 @@ def _(spark, sf):
     return P.camera_preview(P.read_cinematic_plans(cinematic_docs(spark, sf)), ["plan"])
 
 
-def cinematic_tables(spark, sf):
-    plans = P.read_cinematic_plans(cinematic_docs(spark, sf)).where("error IS NULL")
-    shots = P.explode_shots(plans, ["plan"]).withColumns({
-        **{f"camera_{a}": F.coalesce(F.col(f"camera_location.{a}"), F.lit(0.0)) for a in "xyz"},
-        **{a: F.coalesce(F.col(f"camera_rotation.{a}"), F.lit(0.0)) for a in ("pitch", "yaw", "roll")}})
-    return plans, shots
-
-
 @query("f2_validate_cinematic_plan", f"""WITH {SQL_CINE}, tt AS (SELECT plan, count(*) AS n, sum(dur) AS total FROM sh GROUP BY plan)
 SELECT plan, NULL::BIGINT AS shot_idx, 'error' AS level, unnest(list_filter([CASE WHEN fr < 1 OR fr > 120 THEN 'frame_rate' END, CASE WHEN aspect < 0.25 OR aspect > 4 THEN 'aspect_ratio' END,
  CASE WHEN n > 100 THEN 'too_many_shots' END, CASE WHEN total > 1800 THEN 'total_duration' END], lambda x: x IS NOT NULL)) AS rule FROM pl JOIN tt USING (plan)
@@ -223,8 +215,7 @@ UNION ALL SELECT plan, shot_idx, CASE WHEN r = 'dialogue_audio' THEN 'warning' E
  CASE WHEN foc < 0 OR foc > 1 THEN 'focus_height' END, CASE WHEN cx > 1000000 THEN 'location' END, CASE WHEN lip_sync <> '' AND subject = '' THEN 'lip_sync_subject' END,
  CASE WHEN dialogue <> '' AND audio_id = '' THEN 'dialogue_audio' END], lambda x: x IS NOT NULL)) AS r FROM sh)""")
 def _(spark, sf):
-    plans, shots = cinematic_tables(spark, sf)
-    return VA.validate_cinematic_plan(plans.select("plan", "title", "frame_rate", "aspect_ratio"), shots, "plan")
+    return VA.validate_cinematic_plan(P.read_cinematic_plans(cinematic_docs(spark, sf)).where("error IS NULL"), ["plan"])
 
 
 @query("f3_validate_blocking", f"""WITH {SQL_CINE}, pc AS (SELECT plan, shot_idx, actor, count(*) AS n FROM pm GROUP BY ALL), pg AS (SELECT plan, shot_idx, bool_or(actor = '') AS emp, bool_or(actor <> '' AND n > 1) AS dup FROM pc GROUP BY ALL)
@@ -235,10 +226,7 @@ UNION ALL SELECT plan, shot_idx, CASE WHEN r IN ('zoom_limit', 'look_at') THEN '
  CASE WHEN subject <> '' AND look_at = '' THEN 'look_at' END], lambda x: x IS NOT NULL)) AS r FROM sh)
 UNION ALL SELECT plan, shot_idx, 'error', unnest(list_filter([CASE WHEN emp THEN 'placement_label' END, CASE WHEN dup THEN 'placement_twice' END], lambda x: x IS NOT NULL)) FROM pg""")
 def _(spark, sf):
-    plans, shots = cinematic_tables(spark, sf)
-    placements = shots.select("plan", "shot_idx", F.explode("actor_placements").alias("a")).select(
-        "plan", "shot_idx", "a.actor", "a.location.x", "a.location.y", "a.location.z")
-    return VA.validate_blocking(plans.select("plan", "frame_rate", "aspect_ratio"), shots, placements, "plan")
+    return VA.validate_blocking(P.read_cinematic_plans(cinematic_docs(spark, sf)).where("error IS NULL"), ["plan"])
 
 
 @query("s8_read_render_report", f"""WITH {B.ES}, r AS (SELECT *, CASE WHEN confidence * 130 > 100 THEN 'composition_score' WHEN people = 3 AND shot_idx % 5 = 0 THEN 'shot_size_score' END AS bad FROM es),

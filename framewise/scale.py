@@ -163,7 +163,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str
     found = ranked.groupBy(*per).agg(at("__k0").alias("__v0"), at("__k1").alias("__v1"))
     v0, v1, frac = F.col("__v0"), F.col("__v1"), F.col("__frac")
     missed = (F.col("__n") > 0) & (v0.isNull() | v1.isNull())
-    value = (F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+    # the bracket is asked for here too, so that both readers of the first pass share one exchange
+    value = (F.when(F.col("__lo").isNull(), F.lit(None).cast("double")).when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
              .when(F.col("__name").isin(list(upper)), v1).when(frac == 0, v0).otherwise(v0 * (1 - frac) + v1 * frac))
     solved = bracket.join(found, per, "left").select(*per, value.alias("__value"))
     out = solved.groupBy(*group).agg(*[F.max(F.when(F.col("__name") == n, F.col("__value"))).alias(n) for n in wanted])
