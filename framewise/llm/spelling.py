@@ -1,8 +1,8 @@
 """Spelling variants: words one edit apart, found in a reduced alphabet and verified as they are written.
 
 Letters are hashed to a few symbols. The whole neighbourhood of a reduced word (each deletion, replacement and insertion of one symbol) is
-joined with the reduced vocabulary. An edit leaves two of the three parts of a word untouched, so a key holds, beside the neighbour, these
-two parts in their real letters: candidates stay few, however many words of a large vocabulary share a reduced form. The words themselves
+joined with the reduced vocabulary. An edit leaves three of the four parts of a word untouched, so a key holds, beside the neighbour, these
+three parts in their real letters: candidates stay few, however many words of a large vocabulary share a reduced form. The words themselves
 decide.
 """
 
@@ -19,7 +19,9 @@ from framewise.scale import bind
 #: Letters of a run (fixed by the contract), as a class of a regular expression and as code points.
 LETTER = "A-Za-zÀ-ÿ"
 LETTERS = "".join(map(chr, [*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]))
-SYMBOLS = "0123"
+SYMBOLS = "012"
+#: Parts of a word, all but one of which an edit spares.
+PARTS = 4
 #: Words whose neighbours one task makes: about 1.5 million keys.
 WORDS_A_TASK = 20_000
 
@@ -50,9 +52,9 @@ def reduced(word: Column) -> Column:
     return F.translate(word, LETTERS, "".join(SYMBOLS[zlib.crc32(c.encode()) % len(SYMBOLS)] for c in LETTERS))
 
 
-def _cuts(size: Column) -> tuple[Column, Column]:
-    """Where the second and the third part of a word of ``size`` letters begin."""
-    return F.floor(size / 3).cast("int"), F.floor(2 * size / 3).cast("int")
+def _cuts(size: Column) -> list[Column]:
+    """Where the parts of a word of ``size`` letters begin, but for the first, and where the last one ends."""
+    return [F.floor(size * k / PARTS).cast("int") for k in range(1, PARTS + 1)]
 
 
 def _first(word: Column, n: Column) -> Column:
@@ -60,10 +62,18 @@ def _first(word: Column, n: Column) -> Column:
 
 
 def _spared(word: Column, size: Column) -> list[Column]:
-    """Hashes of the letters outside each of the three parts, for a word of ``size`` letters that differs from ``word`` in that part alone."""
-    one, two = _cuts(size)
+    """Hashes of the letters outside each part, for a word of ``size`` letters that differs from ``word`` in that part alone."""
+    cuts = [F.lit(0), *_cuts(size)]
     last = lambda n: F.substring(word, F.length(word) - n + 1, n)
-    return [F.xxhash64(F.lit(0), last(size - one)), F.xxhash64(F.lit(1), _first(word, one), last(size - two)), F.xxhash64(F.lit(2), _first(word, two))]
+    return [F.xxhash64(F.lit(k), _first(word, cuts[k]), last(size - cuts[k + 1])) for k in range(PARTS)]
+
+
+def _part(before: list[Column], part: list[Column]) -> Column:
+    """The first of ``part`` whose test in ``before`` holds, else the last: one test for each part but the last."""
+    found = part[-1]
+    for test, value in reversed(list(zip(before, part, strict=False))):
+        found = F.when(test, value).otherwise(found)
+    return found
 
 
 #: Kinds of edits: change of length, letters dropped after the place, symbols put there.
@@ -80,12 +90,11 @@ def neighbour_keys(words: DataFrame) -> DataFrame:
 
     def keys(kind: str) -> Column:
         _, after, puts = EDITS[kind]
-        spared = [F.col(f"{kind}_{k}") for k in range(3)]
-        one, two = F.col(f"{kind}_3"), F.col(f"{kind}_4")
+        spared, cuts = ([F.col(f"{kind}_{k}") for k in r] for r in (range(PARTS), range(PARTS, 2 * PARTS - 1)))
 
         def at(i: Column) -> Column:
             head, tail = _first(form, i), F.substring(form, i + after, F.col("size"))
-            part = F.when(i < one, spared[0]).when(i < two, spared[1]).otherwise(spared[2])
+            part = _part([i < c for c in cuts], spared)
             return F.array(*[F.xxhash64(F.concat(head, F.lit(s), tail), part) for s in (SYMBOLS if puts else ("",))])
 
         places = F.sequence(F.lit(0), F.col("size") if kind == "more" else F.col("size") - 1)
@@ -108,8 +117,7 @@ def near_words(words: DataFrame) -> DataFrame:
     own = own.select("other", "other_n", "part", F.xxhash64("form", "spared").alias("key"))
     found = neighbour_keys(spread).join(own, "key").select(F.col("id").alias("found_id"), "other", "other_n", "part")
     differ = lambda n: _first(F.col("word"), n) != _first(F.col("other"), n)
-    one, two = _cuts(F.length("other"))
-    first = F.when(differ(one), 0).when(differ(two), 1).otherwise(2)
+    first = _part([differ(c) for c in _cuts(F.length("other"))[:-1]], [F.lit(k) for k in range(PARTS)])
     near = (F.levenshtein("word", "other", 1) == 1) & (first == F.col("part"))
     return (words.join(found, (F.col("id") == F.col("found_id")) & near, "left").groupBy("id", "word", "n")
             .agg(F.count("other").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other").alias("word"))).alias("best")).drop("id"))
