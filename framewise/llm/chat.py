@@ -39,7 +39,7 @@ def replies(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     """A linear table as reply trees: ``tree, node, parent, role, text, score``. Each row answers the one before it by turn; ties
     go by role, then text. Null roles and texts become empty; a null conversation id is a conversation of its own."""
     w = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_first(), F.col(role).asc_nulls_first(), F.col(text).asc_nulls_first())
-    name = F.coalesce(F.col(conv).cast("string"), F.lit("null"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("null"))
     at = F.row_number().over(w)
     numbered = rows.select(F.col(conv).alias("tree"), name.alias("name"), at.alias("at"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     return numbered.select("tree", F.concat_ws("/", "name", "at").alias("node"), F.when(F.col("at") > 1, F.concat_ws("/", "name", F.col("at") - 1)).alias("parent"),
@@ -117,7 +117,11 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
 
 
 def conversation_digests(rows: DataFrame) -> DataFrame:
-    """Formats every conversation and returns what is read back from the output, as digests."""
+    """Formats every conversation and returns what is read back from the output, as digests.
+
+    Null ids are one conversation, null roles and texts are empty, equal turns go by role, then text; repeated rows are turns of
+    their own. Other columns are not read. An empty table gives an empty result.
+    """
     back = read_back(format_trees(replies(rows)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(F.col("tree").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one of each component (its smallest id), and all empty texts.
 
-    Rows equal in id and text count as one.
+    Rows equal in id and text count as one; of equal texts the smallest id stays, a null id only if there is no other. Null texts are
+    empty. An empty table stays empty.
     """
     found = groups(docs, doc_id, text, n, percent)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")

@@ -95,7 +95,11 @@ def mixed_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
                     weights: Sequence[float] = (1, 2, 3), most: float = 3) -> DataFrame:
-    """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken."""
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken.
+
+    Texts without words are taken as often as their source is taken whole. A null source is a source of its own, null ids and texts are hashed as
+    empty. Rows equal in id and text have one hash: a threshold takes or leaves them together. An empty table stays empty.
+    """
     names = docs.columns
     sized = stage(docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
                               draw(F.col(doc_id), F.col(text)).alias("hash")), "mix-sizes")

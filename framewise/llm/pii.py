@@ -253,7 +253,11 @@ def redact(text: str, least: float = 0.6) -> str:
 
 
 def redact_documents(docs: DataFrame, text: str = "text", least: float = 0.6) -> DataFrame:
-    """``docs`` with all rows and columns and the personal data in ``text`` replaced. A null text stays null."""
+    """``docs`` with all rows and columns and the personal data in ``text`` replaced.
+
+    A null text stays null, an empty one empty; ids are not read, so null and repeated ones pass; equal texts are changed alike. A run of
+    overlapping spans takes the name of its first kind. An empty table stays empty.
+    """
 
     def clean(texts: list[str | None]) -> tuple:
         return pa.array([None if t is None else redact(t, least) for t in texts], pa.string()),

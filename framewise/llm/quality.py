@@ -177,7 +177,11 @@ def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+    """The rows of ``docs`` that pass, with all their columns.
+
+    Null and empty texts have no words and fail the base rules. Ids are not read; equal texts are judged alike and count as often as they
+    stand there when the rules are learned. An empty table stays empty.
+    """
     model = learn_rules(docs, text, rules)
 
     @F.pandas_udf("boolean")

@@ -19,6 +19,13 @@ def test_digests_of_awkward_conversations(spark):
     assert len(got) == 5
 
 
+def test_columns_of_other_names_and_an_id_that_reads_null(spark):
+    rows = [("null", 0, "user", "a", "x", 1), ("null", 1, "assistant", "b", None, 2), (None, 0, "user", "c", "y", 3), (None, 1, "assistant", "d", "z", None)]
+    kinds = "conv_id string, turn long, role string, text string, node string, tree int"
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.loss_sha256) for r in chat.conversation_digests(spark.createDataFrame(rows, kinds)).collect()}
+    assert got == {i: (2, 1, hashlib.sha256(t.encode()).hexdigest()) for i, t in (("null", "b"), (None, "d"))}
+
+
 def test_empty_table(spark):
     assert chat.conversation_digests(spark.createDataFrame([], COLS)).collect() == []
 

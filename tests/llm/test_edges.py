@@ -26,7 +26,7 @@ def test_edges(spark, name):
     count = lambda rows: sorted((r is None, r or 0) for r in rows)
     assert count(r.doc_id for r in made) == count(r[0] for r in edge_rows())
     twice = [tuple(r) for r in made if r.doc_id == 2]
-    same = {tuple(str(x) for x in r if not isinstance(x, float)) for r in twice} if name not in ("fingerprints", "mixing") else {0}
+    same = {tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in twice} if name not in ("fingerprints", "mixing") else {0}
     assert len(twice) == 2 and len(same) == 1
 
 
