@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table; a table in the shared folder stands between any two."""
+    """All stages over the whole documents table; a table in the shared folder stands between any two.
+
+    Each stage's docstring says what it does with nulls, empty and repeated rows; an empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark)}/framewise-pipeline/{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
