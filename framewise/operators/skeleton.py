@@ -121,11 +121,12 @@ def infer_roles(bones: DataFrame, specs=C.ROLE_SPECS) -> DataFrame:
     """Roles of each mesh: (mesh, role, bone_idx, confidence, name_score, forced).
 
     Name and place scores are columns; only the greedy choice, where one bone
-    serves one role, runs per mesh.
+    serves one role, runs per mesh.  Place scores are rounded, so that bones in
+    like places tie and the first of them is chosen.
     """
     p = bind(placed_bones(bones), __n=T.normal_name(F.col("name")))
     scored = p.select("mesh", "bone_idx", "parent_idx", F.array(*[T.bone_name_score(F.col("__n"), s[1], True) for s in specs]).alias("ns"),
-                      F.array(*[spatial_score(s[3], s[4], F.col("nz"), F.col("lateral"), F.col("left_sign")) for s in specs]).alias("ss"))
+                      F.array(*[F.round(spatial_score(s[3], s[4], F.col("nz"), F.col("lateral"), F.col("left_sign")), 9) for s in specs]).alias("ss"))
     m = scored.groupBy("mesh").agg(F.array_sort(F.collect_list(F.struct("bone_idx", "parent_idx", "ns", "ss"))).alias("b"))
     pick = N.pick_roles([s[0] for s in specs], [s[2] for s in specs], [s[5] for s in specs])(
         F.transform("b", lambda s: F.coalesce(s["parent_idx"], F.lit(-1)).cast("bigint")), F.flatten(F.transform("b", lambda s: s["ns"])),

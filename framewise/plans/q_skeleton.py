@@ -82,9 +82,45 @@ def _(spark, sf):
     return p.select("mesh", "bone_idx", r6(H.spatial_score("Hand", -1, *args)).alias("left_hand"), r6(H.spatial_score("Pelvis", 0, *args)).alias("pelvis"))
 
 
-@query("h3_infer_roles")
+def _sql_name_score(tokens: list[str]) -> str:
+    plain = [t.lower().translate(str.maketrans(".- ", "___")) for t in tokens]
+    any_of = lambda test: " OR ".join(test(t) for t in plain)
+    return (f"CASE WHEN nm IN ({', '.join(repr(t) for t in plain)}) THEN 0.70 WHEN {any_of(lambda t: f'ends_with(nm, {chr(39)}_{t}{chr(39)}) OR starts_with(nm, {chr(39)}{t}_{chr(39)})')} THEN 0.64 "
+            f"WHEN {any_of(lambda t: f'contains(nm, {chr(39)}{t}{chr(39)})')} THEN 0.56 ELSE 0.0 END::DOUBLE")
+
+
+_ZONE = {"Root": "CASE WHEN nz < 0.35 THEN 0.20 ELSE 0.02 END", "Pelvis": "0.20 * greatest(0.0, least(1.0, 1.0 - abs(nz - 0.42) / 0.32))",
+         "CenterUpper": "CASE WHEN nz > 0.45 AND abs(la) < 0.30 THEN 0.20 ELSE 0.04 END", "Head": "CASE WHEN nz > 0.82 THEN 0.20 ELSE nz * 0.12 END",
+         "Arm": "CASE WHEN nz > 0.45 AND abs(la) > 0.18 THEN 0.18 ELSE 0.03 END", "Hand": "CASE WHEN nz > 0.35 AND abs(la) > 0.55 THEN 0.20 ELSE 0.03 END",
+         "Leg": "CASE WHEN nz < 0.55 AND abs(la) > 0.04 THEN 0.18 ELSE 0.03 END", "Foot": "CASE WHEN nz < 0.18 THEN 0.20 ELSE 0.02 END"}
+
+
+def _sql_place_score(zone: str, side: int) -> str:
+    bonus = f"CASE WHEN sign(la) = {'' if side < 0 else '-'}sign(ls) THEN 0.08 ELSE -0.12 END" if side else "CASE WHEN abs(la) < 0.20 THEN 0.05 ELSE 0.0 END"
+    return f"round(greatest(0.0, least(0.28, ({_ZONE[zone]}) + {bonus}))::DOUBLE, 9)"
+
+
+_AT = {s[0]: i + 1 for i, s in enumerate(C.ROLE_SPECS)}
+_ROLES = len(C.ROLE_SPECS)
+# step k looks for role k % 19: at first among bones of a fitting name, in the second round among all that are left
+SQL_CHOOSE = f"""{SQL_PLACED}, {'cl AS' + SQL_CLOSURE.split(', cl AS', 1)[1]}, kd AS (SELECT mesh, ancestor AS bone_idx, count(*) AS kids FROM cl WHERE distance = 1 GROUP BY ALL),
+se AS (SELECT pb.mesh, pb.bone_idx, bo.parent_idx, coalesce(kids, 0) AS kids, [{', '.join(_sql_name_score(s[1]) for s in C.ROLE_SPECS)}] AS ns, [{', '.join(_sql_place_score(s[3], s[4]) for s in C.ROLE_SPECS)}] AS ss
+ FROM pb JOIN bo USING (mesh, bone_idx) LEFT JOIN kd USING (mesh, bone_idx)),
+pk AS (SELECT DISTINCT mesh, 0 AS k, list_transform(range(0, {_ROLES}), lambda v: NULL::BIGINT) AS fb, list_transform(range(0, {_ROLES}), lambda v: 0.0::DOUBLE) AS fc, list_transform(range(0, {_ROLES}), lambda v: 0.0::DOUBLE) AS fn FROM se
+ UNION ALL SELECT mesh, k + 1, CASE WHEN ok THEN list_concat(fb[1:r-1], [bone_idx], fb[r+1:]) ELSE fb END, CASE WHEN ok THEN list_concat(fc[1:r-1], [score], fc[r+1:]) ELSE fc END, CASE WHEN ok THEN list_concat(fn[1:r-1], [name], fn[r+1:]) ELSE fn END
+ FROM (SELECT *, fb[r] IS NULL AND score >= 0.20 AND (({[bool(s[5]) for s in C.ROLE_SPECS]})[r] OR name > 0) AS ok FROM (SELECT *, CASE WHEN list_contains(fb, bone_idx) OR (k < {_ROLES} AND name <= 0) THEN 0.0 ELSE greatest(0.0, least(1.0, name + place + link)) END AS score FROM (
+  SELECT f.mesh, f.k, f.fb, f.fc, f.fn, f.r, e.bone_idx, e.ns[f.r] AS name, e.ss[f.r] AS place,
+   CASE WHEN f.r = {_AT['Root']} AND e.parent_idx IS NULL THEN 0.50 WHEN f.up IS NULL THEN 0.0 WHEN cl.distance IS NULL THEN -0.18 ELSE greatest(0.20, least(0.44, 0.44 - 0.05 * greatest(0, cl.distance - 1))) END
+   + CASE WHEN f.r = {_AT['Pelvis']} AND e.kids >= 3 THEN 0.08 ELSE 0.0 END AS link
+  FROM (SELECT *, fb[nullif(({[_AT.get(s[2], 0) for s in C.ROLE_SPECS]})[r], 0)] AS up FROM (SELECT *, k % {_ROLES} + 1 AS r FROM pk WHERE k < {2 * _ROLES})) f JOIN se e ON e.mesh = f.mesh LEFT JOIN cl ON cl.mesh = f.mesh AND cl.bone_idx = e.bone_idx AND cl.ancestor = f.up))
+  QUALIFY row_number() OVER (PARTITION BY mesh ORDER BY score DESC, bone_idx) = 1)),
+pe AS (SELECT pk.mesh, fb, fc, fn, fb[{_AT['Root']}] IS NOT NULL AND fn[{_AT['Root']}] <= 0 AND bo.mesh IS NOT NULL AS swap FROM pk LEFT JOIN bo ON bo.mesh = pk.mesh AND bo.bone_idx = pk.fb[{_AT['Pelvis']}] AND bo.parent_idx IS NULL WHERE k = {2 * _ROLES}),
+ch AS (SELECT mesh, ({C.ROLE_NAMES})[i] AS role, fb[s] AS bone_idx, fc[s] AS confidence, fn[s] AS name_score FROM (SELECT *, CASE WHEN i = {_AT['Root']} AND swap THEN {_AT['Pelvis']} ELSE i END AS s FROM pe, range(1, {_ROLES + 1}) t(i)))"""
+
+
+@query("h3_infer_roles", f"WITH RECURSIVE {SQL_CHOOSE} SELECT mesh, role, bone_idx, round(confidence, 6) AS confidence, round(name_score, 6) AS name_score, name_score <= 0 AS forced FROM ch WHERE bone_idx IS NOT NULL")
 def _(spark, sf):
-    return H.infer_roles(bones(spark, sf))
+    return H.infer_roles(bones(spark, sf)).withColumns({c: r6(F.col(c)) for c in ("confidence", "name_score")})
 
 
 def stand_in_roles(spark, sf):
