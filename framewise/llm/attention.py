@@ -27,8 +27,10 @@ HEAD, REST, WIDTH, HIDDEN = 191, 64, 16, 32
 SPAN, STEP = 24, 16
 #: Rounds of averaged training, each on its own share of the documents; first rate; windows of a step; windows made at once.
 ROUNDS, RATE, GROUP, BLOCK = 4, 0.004, 128, 1 << 14
+#: Windows computed at once: their arrays stay in a core's cache.
+CACHED = 32
 #: Subwords of a shard, which one task trains on in a row; rows that a task holds as lists.
-SHARD, ROWS = 1 << 22, 512
+SHARD, ROWS = 1 << 20, 512
 #: Share of the attention model in the probability of a word; the rest goes by the word's count.
 SHARE = 0.5
 #: Word counts held by every task; rarer words are joined. 6 MB, whatever the corpus.
@@ -103,11 +105,17 @@ def unpacked(flat: np.ndarray) -> Weights:
 _LATER = np.triu(np.full((SPAN, SPAN), -1e9, np.float32), 1)
 
 
-def forward(w: Weights, x: np.ndarray, bigram: np.ndarray, scored: int = STEP) -> tuple[np.ndarray, tuple]:
-    """Class probabilities (windows, scored, classes) at the last ``scored`` places of windows ``x`` of rows (PAD where there is
-    nothing). Attention is masked to earlier places that hold something."""
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` for one matrix ``b``, as a single product of all rows of ``a``."""
+    return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
+
+
+def forward(w: Weights, x: np.ndarray, bigram: np.ndarray, scored: int = STEP) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Weights of the classes (windows, scored, classes) and their sums at the last ``scored`` places of windows ``x`` of rows (PAD where
+    there is nothing); a weight over its sum is a probability. Attention is masked to earlier places that hold something.
+    Products are made window by window: one of many windows would round each by its place among them."""
     h = w["e"][x] + w["p"]
-    last = h[:, -scored:]
+    last = np.ascontiguousarray(h[:, -scored:])
     q, k, v = last @ w["q"], h @ w["k"], h @ w["v"]
     s = q @ k.transpose(0, 2, 1)
     s *= np.float32(WIDTH**-0.5)
@@ -122,37 +130,50 @@ def forward(w: Weights, x: np.ndarray, bigram: np.ndarray, scored: int = STEP) -
     top = y + act @ w["c"]
     logits = top @ w["u"]
     logits += bigram[np.minimum(x[:, -scored:], HEAD + REST)]
-    return _softmax(logits), (h, last, q, k, v, att, z, y, act, top)
+    if logits.max() > 60:  # far from any trained model; single precision ends at 88
+        logits -= logits.max(-1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits, logits.sum(-1), (h, last, q, k, v, att, z, y, act, top)
 
 
 def gradient(w: Weights, x: np.ndarray, target: np.ndarray, bigram: np.ndarray) -> tuple[float, Weights]:
-    """Mean loss of the places whose target is not -1, and its gradient."""
+    """Mean loss of the places whose target is not -1, and its gradient; CACHED windows at a time."""
+    n = max(1, int((target >= 0).sum()))
+    loss, g = _part(w, x[:CACHED], target[:CACHED], bigram, n)
+    for a in range(CACHED, len(x), CACHED):
+        more, part = _part(w, x[a : a + CACHED], target[a : a + CACHED], bigram, n)
+        loss += more
+        for name in SHAPES:
+            g[name] += part[name]
+    return loss, g
+
+
+def _part(w: Weights, x: np.ndarray, target: np.ndarray, bigram: np.ndarray, n: int) -> tuple[float, Weights]:
+    """What some windows add to the loss and the gradient of ``n`` places."""
     scored = target.shape[1]
-    p, (h, last, q, k, v, att, z, y, act, top) = forward(w, x, bigram, scored)
+    d, total, (h, last, q, k, v, att, z, y, act, top) = forward(w, x, bigram, scored)
     used = target >= 0
-    n = max(1, int(used.sum()))
     i, j = np.nonzero(used)
-    loss = -float(np.log(p[i, j, target[i, j]] + 1e-30).sum()) / n
-    d = p * used[..., None]
-    d[i, j, target[i, j]] -= 1
-    d /= n
+    loss = -float(np.log(d[i, j, target[i, j]] / total[i, j] + 1e-30).sum()) / n
+    d *= (used / (total * n)).astype(d.dtype)[..., None]
+    d[i, j, target[i, j]] -= d.dtype.type(1 / n)
     flat = lambda a: a.reshape(-1, a.shape[-1])
     g = {"u": flat(top).T @ flat(d)}
-    dtop = d @ w["u"].T
-    dact = (dtop @ w["c"].T) * (act > 0)
+    dtop = _times(d, w["u"].T)
+    dact = _times(dtop, w["c"].T) * (act > 0)
     g["c"] = flat(act).T @ flat(dtop)
     g["b"] = flat(dact).sum(0)
     g["a"] = flat(y).T @ flat(dact)
-    dy = dtop + dact @ w["a"].T
+    dy = dtop + _times(dact, w["a"].T)
     g["o"] = flat(z).T @ flat(dy)
-    dz = dy @ w["o"].T
+    dz = _times(dy, w["o"].T)
     datt = dz @ v.transpose(0, 2, 1)
     dv = att.transpose(0, 2, 1) @ dz
     ds = att * (datt - (datt * att).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
     g["q"], g["k"], g["v"] = flat(last).T @ flat(dq), flat(h).T @ flat(dk), flat(h).T @ flat(dv)
-    dh = dk @ w["k"].T + dv @ w["v"].T
-    dh[:, -scored:] += dy + dq @ w["q"].T
+    dh = _times(dk, w["k"].T) + _times(dv, w["v"].T)
+    dh[:, -scored:] += dy + _times(dq, w["q"].T)
     g["p"] = dh.sum(0)
     place = x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
     g["e"] = np.bincount(place.ravel(), dh.ravel(), w["e"].size).reshape(w["e"].shape)
@@ -184,10 +205,10 @@ def log_probabilities(w: Weights, voc: Vocabulary, ids: np.ndarray, counts: np.n
     at = 0
     for a in range(0, int((-(-counts // STEP)).sum()), BLOCK):
         x, target, _ = windows(ids, counts, voc, slice(a, a + BLOCK))
-        for k in range(0, len(x), 512):
-            p, _ = forward(w, x[k : k + 512], voc.bigram)
-            t = target[k : k + 512]
-            got = np.take_along_axis(p, np.maximum(t, 0)[..., None], 2)[..., 0][t >= 0]
+        for k in range(0, len(x), CACHED):
+            p, total, _ = forward(w, x[k : k + CACHED], voc.bigram)
+            t = target[k : k + CACHED]
+            got = (np.take_along_axis(p, np.maximum(t, 0)[..., None], 2)[..., 0] / total)[t >= 0]
             out[at : at + len(got)] = np.log(got + 1e-30)
             at += len(got)
     return out + voc.share[ids]

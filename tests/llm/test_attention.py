@@ -128,8 +128,8 @@ def test_score_against_one_subword_at_a_time(spark):
             seen = np.full(at.SPAN, at.PAD)
             for j in range(first, k + 1):
                 seen[at.SPAN - at.STEP + j - lead] = voc.start if j == 0 else voc.seen[ids[j - 1]]
-            p, _ = at.forward(w, seen[None], voc.bigram, at.STEP)
-            logs.append(float(np.log(p[0, k - lead, voc.out[ids[k]]] + 1e-30)) + float(voc.share[ids[k]]))
+            p, total, _ = at.forward(w, seen[None], voc.bigram, at.STEP)
+            logs.append(float(np.log(p[0, k - lead, voc.out[ids[k]]] / total[0, k - lead] + 1e-30)) + float(voc.share[ids[k]]))
         ends = np.cumsum(per_word)
         words = [*texts[i].split(), None]
         total = sum(math.log10(at.SHARE * math.exp(sum(logs[b - n : b])) + (1 - at.SHARE) * (c[x] + 0.1) / 10**below) for x, b, n in zip(words, ends, per_word, strict=True))
